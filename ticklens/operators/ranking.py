@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticklens.config import RankConfig, ScoreConfig
 from ticklens.functions.predict import score
-from ticklens.plans.slices import SLICE, slice_of, with_slices
+from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
 
 
 def with_score(pred: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -30,3 +28,168 @@ def rank_scores(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
 def top_k(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """Members of the top k per tick (row_number <= k is cut before the shuffle)."""
     return rank_scores(scored, cfg).filter(F.col("position") <= cfg.top_k)
+
+
+# States of the membership machine.
+OUT, ENTERING, IN, LEAVING = "NOT_IN_TOP_K", "PENDING_ENTER", "IN_TOP_K", "PENDING_EXIT"
+OLD = -(2**62)  # a state held for longer than any threshold looks back
+
+
+def _settle(ts, member, state: str, since: int, cfg: RankConfig):
+    """Walk the runs of equal membership; yields (index, new state, since)."""
+    n = len(ts)
+    i = 0
+    while i < n:
+        j = i + 1
+        while j < n and member[j] == member[i]:
+            j += 1
+        k = i
+        while k < j:
+            if member[i]:
+                if state == OUT:
+                    state = ENTERING if cfg.enter_ms else IN
+                    since = int(ts[k])
+                elif state == LEAVING:
+                    state, since = IN, int(ts[k])
+                elif state == ENTERING:
+                    k = max(k, bisect.bisect_left(ts, since + cfg.enter_ms, k, j))
+                    if k == j:
+                        break
+                    state, since = IN, int(ts[k])
+                else:
+                    break
+            else:
+                if state == ENTERING:
+                    state, since = OUT, int(ts[k])
+                elif state == IN:
+                    k = bisect.bisect_left(ts, since + cfg.min_dwell_ms, k, j)
+                    if k == j:
+                        break
+                    state = LEAVING if cfg.exit_ms else OUT
+                    since = int(ts[k])
+                elif state == LEAVING:
+                    k = bisect.bisect_left(ts, since + cfg.exit_ms, k, j)
+                    if k == j:
+                        break
+                    state, since = OUT, int(ts[k])
+                else:
+                    break
+            yield k, state, since
+            k += 1
+        i = j
+
+
+def hysteresis(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """State of each (symbol, tick) and the ENTER/EXIT events.
+
+    ``membership``: symbol, ts, member (and any columns to keep). A symbol's ticks
+    are cut into slices; each slice is first reduced to "state in -> state out" for
+    every state that can come in, the reductions of a symbol are chained, then every
+    slice runs with its true entry state.
+    """
+    back = max(cfg.enter_ms, cfg.exit_ms, cfg.min_dwell_ms)
+    cells = ["symbol", SLICE]
+    slim = membership.select("symbol", "ts", "member")
+    rows = with_slices(slim, "ts", cfg.slice_ms, back_ms=back)
+
+    def reduce_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        symbol, sl = key
+        pdf = pdf.sort_values("ts")
+        own = (pdf["ts"] // cfg.slice_ms == sl).to_numpy()
+        if not own.any():
+            return pd.DataFrame(columns=["symbol", SLICE, "s_in", "t_in", "s_out", "t_out"])
+        before = pdf["ts"].to_numpy()[~own].tolist()
+        ts, member = pdf["ts"].to_numpy()[own].tolist(), pdf["member"].to_numpy()[own].tolist()
+        ins = [(OUT, OLD)] + [(s, t) for s in (ENTERING, IN, LEAVING) for t in [OLD, *before]]
+        out = []
+        for s_in, t_in in ins:
+            s, t = s_in, t_in
+            for _, s, t in _settle(ts, member, s_in, t_in, cfg):
+                pass
+            out.append((symbol, sl, s_in, t_in, s, OLD if s == OUT else t))
+        return pd.DataFrame(out, columns=["symbol", SLICE, "s_in", "t_in", "s_out", "t_out"])
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, since = OUT, OLD
+        out = []
+        for sl, part in pdf.sort_values(SLICE).groupby(SLICE, sort=True):
+            table = {
+                (a, b): (c, d)
+                for a, b, c, d in zip(part["s_in"], part["t_in"], part["s_out"], part["t_out"], strict=True)
+            }
+            if (state, since) not in table:
+                since = OLD  # older than anything this slice can tell apart
+            out.append((key[0], sl, state, since))
+            state, since = table[(state, since)]
+        return pd.DataFrame(out, columns=["symbol", SLICE, "s_in", "t_in"])
+
+    keep = [f for f in membership.schema.fields if f.name not in ("symbol", "ts", "member")]
+    names = [f.name for f in keep]
+
+    def run_slice(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        ts, member = pdf["ts"].tolist(), pdf["member"].tolist()
+        state, since = entry["s_in"].iloc[0], int(entry["t_in"].iloc[0])
+        states, events, at = [], [None] * len(ts), 0
+        for k, new, t in _settle(ts, member, state, since, cfg):
+            states += [state] * (k - at)
+            if new == IN and state in (OUT, ENTERING):
+                events[k] = "SYMBOL_ENTER"
+            elif new == OUT and state in (IN, LEAVING):
+                events[k] = "SYMBOL_EXIT"
+            state, at = new, k
+        states += [state] * (len(ts) - at)
+        pdf["state"], pdf["event"] = states, events
+        return pdf[["symbol", "ts", "member", *names, "state", "event"]]
+
+    maps = rows.groupBy(*cells).applyInPandas(
+        reduce_slice, f"symbol string, {SLICE} long, s_in string, t_in long, s_out string, t_out long"
+    )
+    entries = maps.groupBy("symbol").applyInPandas(
+        chain, f"symbol string, {SLICE} long, s_in string, t_in long"
+    )
+    schema = slim.select("symbol", "ts", "member").schema
+    for f in keep:
+        schema = schema.add(f)
+    schema = schema.add("state", "string").add("event", "string")
+    own = membership.withColumn(SLICE, slice_of(F.col("ts"), cfg.slice_ms))
+    return (
+        own.groupBy(*cells).cogroup(entries.groupBy(*cells)).applyInPandas(run_slice, schema)
+    )
+
+
+def membership(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """symbol, ts, score, position (null under the threshold), member of the raw top k."""
+    over = F.col("score") >= cfg.score_threshold
+    w = Window.partitionBy("ts").orderBy(over.desc(), F.col("score").desc(), "symbol")
+    position = F.when(over, F.row_number().over(w))
+    rows = scored.select("symbol", "ts", "score", position.alias("position"))
+    return rows.withColumn("member", F.coalesce(F.col("position") <= cfg.top_k, F.lit(False)))
+
+
+def confirmed_top_k(states: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """Add ``rank`` (0-based place in the confirmed list, null outside of it)."""
+    listed = F.col("position").isNotNull() & (F.col("state") != OUT)
+    w = Window.partitionBy("ts").orderBy(listed.desc(), F.col("score").desc(), "symbol")
+    place = F.row_number().over(w) - 1
+    return states.withColumn("rank", F.when(listed & (place < cfg.top_k), place))
+
+
+def ranked_states(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """Hysteresis states with ``rank``, ``prev_rank`` (last tick's list) and ``held_rank``."""
+    ranked = confirmed_top_k(hysteresis(membership(scored, cfg), cfg), cfg)
+    runs = [
+        Run("_prev", "last", F.struct("rank"), inclusive=False),
+        Run("held_rank", "last", F.col("rank"), inclusive=False),
+    ]
+    out = running(ranked, ["symbol"], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], runs)
+    return out.withColumn("prev_rank", F.col("_prev.rank")).drop("_prev")
+
+
+def rank_events(states: DataFrame) -> DataFrame:
+    """ENTER carries the place in the previous list (0 if absent), EXIT the last held one."""
+    entered = F.col("event") == "SYMBOL_ENTER"
+    rank = F.when(entered, F.col("prev_rank")).otherwise(F.col("held_rank"))
+    return states.filter(F.col("event").isNotNull()).select(
+        "ts", "event", "symbol", F.coalesce(rank, F.lit(0)).cast("int").alias("rank"), "score"
+    )

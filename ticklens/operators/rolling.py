@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ticklens.config import RANGE_WINDOW_MS, WINDOWS_MS, FeatureConfig
@@ -26,16 +26,25 @@ def _ceil_to(ts: Column, step: int) -> Column:
     return (F.ceil(ts / F.lit(step)) * F.lit(step)).cast("long")
 
 
-def bucket_tape(tape: DataFrame, bucket_ms: int) -> DataFrame:
+def bucket_tape(
+    tape: DataFrame, bucket_ms: int, order: Sequence[str] = ("ts", "seq"), cut: DataFrame | None = None
+) -> DataFrame:
     """One row per (symbol, bucket end): mergeable trade sums and the last book.
 
     Price order inside a bucket matters for direction reversals, hence one
-    shuffle of the raw rows by (symbol, bucket); lags and sums share it.
+    shuffle of the raw rows by (symbol, bucket); lags and sums share it. With
+    ``cut`` (ts, by) the rows of an instant after ``by`` form a bucket of their own.
     """
-    order = F.struct("ts", "seq")
-    rows = tape.withColumn("bts", _ceil_to(F.col("ts"), bucket_ms)).repartition("symbol", "bts")
+    place = F.struct(*order)
+    late = F.lit(0)
+    if cut is not None:
+        tape = tape.join(cut.select("ts", "by"), "ts", "left")
+        late = F.coalesce((place > F.col("by")).cast("int"), F.lit(0))
+    rows = tape.select(
+        "*", _ceil_to(F.col("ts"), bucket_ms).alias("bts"), late.alias("late")
+    ).repartition("symbol", "bts")
     # Trades sort before books, so the lags of a trade only ever see trades.
-    w = Window.partitionBy("symbol", "bts").orderBy(F.col("is_trade").desc(), "ts", "seq")
+    w = Window.partitionBy("symbol", "bts", "late").orderBy(F.col("is_trade").desc(), *order)
     rows = rows.select(
         "*",
         F.row_number().over(w).alias("rn"),
@@ -44,9 +53,9 @@ def bucket_tape(tape: DataFrame, bucket_ms: int) -> DataFrame:
     )
     trade = F.col("is_trade")
     seller = F.col("is_buyer_maker")
-    on_trade = F.when(trade, order)
+    on_trade = F.when(trade, place)
     turn = (F.col("price") - F.col("p1")) * (F.col("p1") - F.col("p2")) < 0
-    return rows.groupBy("symbol", "bts").agg(
+    return rows.groupBy("symbol", "bts", "late").agg(
         F.count_if(trade).alias("n"),
         F.sum("qty").alias("vol"),
         F.sum(F.when(~seller, F.col("qty")).when(seller, F.lit(0.0))).alias("buy"),
@@ -63,7 +72,7 @@ def bucket_tape(tape: DataFrame, bucket_ms: int) -> DataFrame:
         F.max(F.when(trade, F.col("ts"))).alias("trade_ts"),
         F.max(F.when(~trade, F.col("ts"))).alias("book_ts"),
         F.max_by(
-            F.struct("bid", "ask", "bid_qty", "ask_qty"), F.when(~trade, order)
+            F.struct("bid", "ask", "bid_qty", "ask_qty"), F.when(~trade, place)
         ).alias("book"),
     )
 
@@ -74,7 +83,9 @@ _BUCKET_COLS = [
 ]
 
 
-def _carry_in(tape: DataFrame, slice_ms: int, end_ts: Column) -> DataFrame:
+def _carry_in(
+    tape: DataFrame, slice_ms: int, end_ts: Column, order: Sequence[str] = ("ts", "seq")
+) -> DataFrame:
     """Every slice of every symbol up to ``end_ts`` with the state that comes into it.
 
     Partial aggregates per (symbol, slice) straight from the tape, then a scan over
@@ -87,7 +98,7 @@ def _carry_in(tape: DataFrame, slice_ms: int, end_ts: Column) -> DataFrame:
         .agg(
             F.min("ts").alias("first_ts"),
             F.max(
-                F.when(~trade, F.struct("ts", "seq", "bid", "ask", "bid_qty", "ask_qty"))
+                F.when(~trade, F.struct(*order, "bid", "ask", "bid_qty", "ask_qty"))
             ).alias("quote"),
             F.max(F.when(trade, F.col("ts"))).alias("trade_ts"),
         )
@@ -119,13 +130,22 @@ def _carry_in(tape: DataFrame, slice_ms: int, end_ts: Column) -> DataFrame:
     return entered.unionByName(fresh, allowMissingColumns=True)
 
 
+# Rows of one instant, in order: what a tick sees, the tick, what comes after it.
+_STEPS = 4
+_SEEN, _TICK, _AFTER, _STATE = range(_STEPS)
+
+
+def _pos(t: Column, step: int | Column) -> Column:
+    """Place in time: one number, so range frames can end before or after a tick."""
+    return t * _STEPS + step
+
+
 def _state_rows(spine: DataFrame, slice_ms: int) -> DataFrame:
     """One row right in front of each slice that holds the state coming in."""
     return spine.select(
         "symbol",
         SLICE,
-        (F.col(SLICE) * slice_ms - 1).alias("t"),
-        F.lit(False).alias("is_tick"),
+        _pos(F.col(SLICE) * slice_ms - 1, _STATE).alias("pos"),
         "book",
         "book_ts",
         "trade_ts",
@@ -141,7 +161,6 @@ def _grid(spine: DataFrame, cadence_ms: int, slice_ms: int, end_ts: Column) -> D
         spine.select("symbol", SLICE, lo.alias("lo"), hi.alias("hi"))
         .filter(F.col("hi") >= F.col("lo"))
         .select("symbol", SLICE, F.explode(F.sequence("lo", "hi", step)).alias("t"))
-        .withColumn("is_tick", F.lit(True))
     )
 
 
@@ -149,6 +168,8 @@ def rolling_columns(
     tape: DataFrame,
     cfg: FeatureConfig = FeatureConfig(),
     ticks: DataFrame | None = None,
+    cut: DataFrame | None = None,
+    order: Sequence[str] = ("ts", "seq"),
     windows: dict[str, int] | None = None,
     range_ms: int = RANGE_WINDOW_MS,
 ) -> DataFrame:
@@ -156,7 +177,8 @@ def rolling_columns(
 
     Without ``ticks`` the instants are the epoch grid of ``cfg.cadence_ms`` from a
     symbol's first event to the end of the tape. With ``ticks`` (columns symbol,
-    ts) any instants do, at the price of 1 ms buckets.
+    ts) any instants do, at the price of 1 ms buckets; ``cut`` (ts, by) then names
+    the last event, in ``order``, that the tick of an instant sees.
     """
     windows = WINDOWS_MS if windows is None else windows
     if max(windows.values()) > range_ms:
@@ -165,27 +187,26 @@ def rolling_columns(
     bucket_ms = reduce(gcd, [*windows.values(), range_ms, cfg.cadence_ms]) if on_grid else 1
     # One slice is one range window: a frame spans its own slice and the one before.
     slice_ms = range_ms
+    step = F.when(F.col("late") == 1, _AFTER).otherwise(_SEEN)
     copies = with_slices(
-        bucket_tape(tape, bucket_ms), "bts", slice_ms, back_ms=range_ms - bucket_ms
-    ).select("symbol", SLICE, F.col("bts").alias("t"), F.lit(False).alias("is_tick"), *_BUCKET_COLS)
+        bucket_tape(tape, bucket_ms, order, cut), "bts", slice_ms, back_ms=range_ms - bucket_ms
+    ).select("symbol", SLICE, _pos(F.col("bts"), step).alias("pos"), *_BUCKET_COLS)
     if on_grid:
         end_ts = tape.agg(_ceil_to(F.max("ts"), cfg.cadence_ms)).scalar()
-        spine = _carry_in(tape, slice_ms, end_ts)
+        spine = _carry_in(tape, slice_ms, end_ts, order)
         asked = _grid(spine, cfg.cadence_ms, slice_ms, end_ts)
     else:
-        spine = _carry_in(tape, slice_ms, ticks.agg(F.max("ts")).scalar())
+        spine = _carry_in(tape, slice_ms, ticks.agg(F.max("ts")).scalar(), order)
         t = F.col("ts")
-        asked = ticks.select(
-            "symbol", slice_of(t, slice_ms).alias(SLICE), t.alias("t"), F.lit(True).alias("is_tick")
-        )
+        asked = ticks.select("symbol", slice_of(t, slice_ms).alias(SLICE), t.alias("t"))
+    asked = asked.select("symbol", SLICE, _pos(F.col("t"), _TICK).alias("pos"))
     rows = copies.unionByName(_state_rows(spine, slice_ms), allowMissingColumns=True)
     rows = rows.unionByName(asked, allowMissingColumns=True)
 
     part = Window.partitionBy("symbol", SLICE)
-    # Order inside one instant: events and state first, the tick last.
-    by_row = part.orderBy("t", "is_tick")
-    so_far = by_row.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = by_row.rowsBetween(Window.unboundedPreceding, -1)
+    by_pos = part.orderBy("pos")
+    so_far = by_pos.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = by_pos.rowsBetween(Window.unboundedPreceding, -1)
     has = F.col("n") > 0
 
     # Prices just before a bucket, for the reversals across bucket borders.
@@ -204,45 +225,42 @@ def rolling_columns(
     rows = rows.withColumn("all_turns", F.col("turns") + F.col("edge.f1") + F.col("edge.f2"))
     # A frame's first two prices carry no reversal: what to take off again when a
     # frame starts right after this bucket.
-    ahead = "lead(edge, {}) ignore nulls over (partition by symbol, slice order by t, is_tick)"
+    ahead = "lead(edge, {}) ignore nulls over (partition by symbol, slice order by pos)"
     zero = F.lit(0)
     rows = rows.withColumn("e1", F.expr(ahead.format(1))).withColumn("e2", F.expr(ahead.format(2)))
     off = F.coalesce(F.col("e1.f1") + F.col("e1.f2"), zero) + F.when(
         F.col("e1.n") == 1, F.coalesce(F.col("e2.f1"), zero)
     ).otherwise(zero)
 
-    # Growing sums; a window's sum is the difference of two of them.
-    by_time = part.orderBy("t")
-    until_now = by_time.rangeBetween(Window.unboundedPreceding, 0)
-    home = F.col("t") >= F.col(SLICE) * slice_ms
+    # Growing sums; a window's sum is the difference of two of them. Offsets count
+    # from a tick's place: the frame of w ends after all rows of the instant t - w.
+    home = F.col("pos") >= F.col(SLICE) * (slice_ms * _STEPS)
     sums = ["n", "vol", "buy", "sell", "pv", "psum", "all_turns"]
     rows = rows.select(
         "symbol",
         SLICE,
-        "t",
-        "is_tick",
+        "pos",
         F.when(has, off).alias("off"),
-        F.struct(*[F.coalesce(F.sum(c).over(until_now), zero).alias(c) for c in sums]).alias("cum"),
+        F.struct(*[F.coalesce(F.sum(c).over(so_far), zero).alias(c) for c in sums]).alias("cum"),
         F.last("book", ignorenulls=True).over(so_far).alias("last_book"),
         F.max("book_ts").over(so_far).alias("last_book_ts"),
         F.max("trade_ts").over(so_far).alias("last_trade_ts"),
         F.when(~home, F.col("pmin")).alias("pmin_before"),
         F.when(~home, F.col("pmax")).alias("pmax_before"),
-        F.min(F.when(home, F.col("pmin"))).over(until_now).alias("pmin_home"),
-        F.max(F.when(home, F.col("pmax"))).over(until_now).alias("pmax_home"),
+        F.min(F.when(home, F.col("pmin"))).over(so_far).alias("pmin_home"),
+        F.max(F.when(home, F.col("pmax"))).over(so_far).alias("pmax_home"),
     )
     frames = {**windows, "range": range_ms}
-    olds = [
-        F.last("cum").over(by_time.rangeBetween(Window.unboundedPreceding, -w)).alias(f"old_{k}")
-        for k, w in frames.items()
-    ]
-    gone = F.last("off", ignorenulls=True).over(
-        by_time.rangeBetween(Window.unboundedPreceding, -range_ms)
-    )
+
+    def gone_by(w: int) -> WindowSpec:
+        return by_pos.rangeBetween(Window.unboundedPreceding, (_STEPS - 1 - _TICK) - w * _STEPS)
+
+    olds = [F.last("cum").over(gone_by(w)).alias(f"old_{k}") for k, w in frames.items()]
+    gone = F.last("off", ignorenulls=True).over(gone_by(range_ms))
     # Rows of the slice before that are still in the frame: a growing frame as well,
     # when time runs backwards.
-    backwards = part.orderBy(F.col("t").desc()).rangeBetween(
-        Window.unboundedPreceding, range_ms - bucket_ms
+    backwards = part.orderBy(F.col("pos").desc()).rangeBetween(
+        Window.unboundedPreceding, (range_ms - 1) * _STEPS + _TICK
     )
     rows = rows.select("*", *olds, F.coalesce(gone, zero).alias("gone")).select(
         "*",
@@ -253,9 +271,9 @@ def rolling_columns(
     def grown(c: str, k: str) -> Column:
         return F.col(f"cum.{c}") - F.coalesce(F.col(f"old_{k}.{c}"), zero)
 
-    return rows.filter("is_tick").select(
+    return rows.filter(F.col("pos") % _STEPS == _TICK).select(
         "symbol",
-        F.col("t").alias("ts"),
+        F.floor(F.col("pos") / _STEPS).cast("long").alias("ts"),
         *[grown(c, k).alias(f"{c}_{k}") for k in windows for c in ("n", "vol", "buy", "sell", "pv")],
         grown("n", "range").alias("n_range"),
         grown("psum", "range").alias("psum_range"),
@@ -328,10 +346,14 @@ FEATURES = [
 
 
 def feature_snapshots(
-    tape: DataFrame, cfg: FeatureConfig = FeatureConfig(), ticks: DataFrame | None = None
+    tape: DataFrame,
+    cfg: FeatureConfig = FeatureConfig(),
+    ticks: DataFrame | None = None,
+    cut: DataFrame | None = None,
+    order: Sequence[str] = ("ts", "seq"),
 ) -> DataFrame:
     """Nested snapshot rows: ts, symbol, features, windows, data_health."""
-    flat = feature_columns(rolling_columns(tape, cfg, ticks), cfg)
+    flat = feature_columns(rolling_columns(tape, cfg, ticks, cut, order), cfg)
     return flat.select(
         "ts",
         "symbol",
@@ -347,12 +369,3 @@ def limit_symbols(tape: DataFrame, max_symbols: int = 500) -> DataFrame:
     kept = first.orderBy("first", "symbol").limit(max_symbols).select("symbol")
     # At most max_symbols rows by construction.
     return tape.join(F.broadcast(kept) if max_symbols <= 100_000 else kept, "symbol", "left_semi")
-
-
-def with_features(snap: DataFrame) -> DataFrame:
-    """Flatten nested snapshots back to plain columns."""
-    return snap.select("ts", "symbol", "features.*", "windows", "data_health")
-
-
-def select_flat(snap: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    return snap.select("ts", "symbol", "features.*", *extra)
