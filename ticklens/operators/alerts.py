@@ -8,7 +8,6 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticklens.config import STATUS_ALERTS, AlertConfig
 from ticklens.operators.runs import status_runs
@@ -88,21 +87,15 @@ def alert_decisions(
     """
     rows = candidates(pred, cfg)
     taken = accept(rows.filter("stable"), cfg).withColumn("taken", F.lit(True))
-    # What the cap sees at an instant: the minute before it, and the accepted symbols
-    # of the instant itself (never more than the cap).
-    minute = minute_counts(taken, cfg.slice_ms)
+    # What the cap sees: the minute before the instant, and the accepted symbols of the
+    # instant itself (never more than the cap).
     names = taken.groupBy("ts").agg(F.collect_set("symbol").alias("names"))
-    seen = minute.join(names, "ts").select(
-        F.col("ts").alias("at"), (F.col("in_minute") - F.col("n")).alias("before"), "names"
-    )
     rows = rows.join(taken, ["ts", "symbol", "event"], "left")
-    # Instants without an accepted alert look at the last minute as well.
-    stamps = rows.select("ts").distinct().join(taken.groupBy("ts").agg(F.count("symbol").alias("n")), "ts", "left")
+    stamps = rows.groupBy("ts").agg(F.count("taken").alias("n"))
     near = with_slices(stamps, "ts", cfg.slice_ms, back_ms=MINUTE_MS)
     w = Window.partitionBy(SLICE).orderBy("ts").rangeBetween(-MINUTE_MS, -1)
     near = home_rows(near.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))), "ts", cfg.slice_ms)
     near = near.join(names, "ts", "left").select("ts", "before", "names")
-    del seen
     ahead = F.coalesce(F.size(F.filter("names", lambda x: x < F.col("symbol"))), F.lit(0))
     ahead = F.when(F.col("names").isNull(), 0).otherwise(ahead)
     decision = (

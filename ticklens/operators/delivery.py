@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklens.config import DeliveryConfig
+from ticklens.functions.text import format_event, utc_text
 from ticklens.plans.handoff import handoff_fold
 
 MINUTE_MS = 60_000
@@ -72,3 +73,34 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
 
 def delivery_metrics(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def messages(events: DataFrame, dashboard_url: str = "") -> DataFrame:
+    """One message per event in the three formats."""
+    kinds = ("text", "html", "markdown")
+    return events.select("*", *[format_event(k, dashboard_url=dashboard_url).alias(k) for k in kinds])
+
+
+def format_digest(events: DataFrame, batch: str, dashboard_url: str = "") -> DataFrame:
+    """Several events in one message per ``batch``, under a header with their number.
+
+    A batch is what one delivery sends: the rows that passed the cap.
+    """
+    rows = messages(events, dashboard_url)
+    parts = F.sort_array(F.collect_list(F.struct("ts", "symbol", "event", "text", "html", "markdown")))
+    got = rows.groupBy(batch).agg(parts.alias("parts"))
+    n = F.size("parts")
+    head = F.concat(
+        F.lit("=== "),
+        n.cast("string"),
+        F.lit(" Alerts ("),
+        utc_text(F.col("parts")[0]["ts"]),
+        F.lit(") ==="),
+    )
+    marks = {"text": ("", ""), "html": ("<b>", "</b>"), "markdown": ("*", "*")}
+    out = []
+    for kind, (a, b) in marks.items():
+        body = F.array_join(F.transform("parts", lambda p, k=kind: p[k]), "\n\n")
+        many = F.concat(F.lit(a), head, F.lit(b + "\n\n"), body)
+        out.append(F.when(n == 1, body).otherwise(F.rtrim(many)).alias(kind))
+    return got.select(batch, n.alias("n"), *out)

@@ -176,11 +176,13 @@ def confirmed_top_k(states: DataFrame, cfg: RankConfig = RankConfig()) -> DataFr
 
 
 def ranked_states(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
-    """Hysteresis states with ``rank``, ``prev_rank`` (last tick's list) and ``held_rank``."""
+    """Hysteresis states with ``rank``, ``prev_rank`` (last tick's list), ``held_rank`` (last
+    one before this tick) and ``last_rank`` (this tick included)."""
     ranked = confirmed_top_k(hysteresis(membership(scored, cfg), cfg), cfg)
     runs = [
         Run("_prev", "last", F.struct("rank"), inclusive=False),
         Run("held_rank", "last", F.col("rank"), inclusive=False),
+        Run("last_rank", "last", F.col("rank")),
     ]
     out = running(ranked, ["symbol"], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], runs)
     return out.withColumn("prev_rank", F.col("_prev.rank")).drop("_prev")
