@@ -177,7 +177,7 @@ def parse_model_version(version: Column) -> Column:
     at_base = lambda i: F.regexp_extract(version, BASELINE_VERSION, i)
     semver = F.when(full, at(1)).otherwise(at_base(1))
     nothing = F.lit("00000000")
-    number = lambda i: F.split(semver, r"\.")[i].cast("int")
+    number = lambda i: F.get(F.split(semver, r"\."), F.lit(i)).cast("int")
     return F.when(
         full | base,
         F.struct(

@@ -14,6 +14,7 @@ from ticklens.operators.runs import status_runs
 from ticklens.operators.thin import thin_by_gap
 from ticklens.plans.handoff import handoff_fold
 from ticklens.plans.slices import SLICE, Run, home_rows, running, slice_of, with_slices
+from ticklens.session import cut_lineage
 
 MINUTE_MS = 60_000
 
@@ -41,7 +42,9 @@ def candidates(pred: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     )
 
 
-def accept(stable: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
+def accept(
+    stable: DataFrame, cfg: AlertConfig = AlertConfig(), materialized: bool = False
+) -> DataFrame:
     """(ts, symbol, event) of the alerts that pass the cap and the cooldown.
 
     Without the global cap this is thinning per (symbol, event), in parallel. If no
@@ -49,6 +52,7 @@ def accept(stable: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     result. Otherwise the sequential rule runs as a handoff fold.
     """
     slim = stable.select("ts", "symbol", "event")
+    slim = slim if materialized else cut_lineage(slim)
     free = thin_by_gap(slim, ["symbol", "event"], "ts", cfg.cooldown_ms)
     over = minute_counts(free, cfg.slice_ms).filter(F.col("in_minute") > cfg.max_per_min)
     if over.isEmpty():
@@ -85,8 +89,8 @@ def alert_decisions(
 
     The order of the checks is stability, cap, cooldown; a global tie goes by symbol.
     """
-    rows = candidates(pred, cfg)
-    taken = accept(rows.filter("stable"), cfg).withColumn("taken", F.lit(True))
+    rows = cut_lineage(candidates(pred, cfg))  # read several times below
+    taken = accept(rows.filter("stable"), cfg, True).withColumn("taken", F.lit(True))
     # What the cap sees: the minute before the instant, and the accepted symbols of the
     # instant itself (never more than the cap).
     names = taken.groupBy("ts").agg(F.collect_set("symbol").alias("names"))
@@ -117,6 +121,7 @@ def alert_metrics(decisions: DataFrame) -> DataFrame:
 
 def cached_text(alerts: DataFrame, text: str = "text", cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """Replace ``text`` by the symbol's last text made, which is renewed every 60 s."""
+    alerts = cut_lineage(alerts)  # few rows, read twice
     made = thin_by_gap(alerts.select("symbol", "ts"), ["symbol"], "ts", cfg.text_cooldown_ms)
     rows = alerts.join(made.distinct().withColumn("made", F.lit(True)), ["symbol", "ts"], "left")
     run = Run("cached", "last", F.when(F.col("made"), F.col(text)))

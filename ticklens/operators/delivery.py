@@ -94,13 +94,13 @@ def format_digest(events: DataFrame, batch: str, dashboard_url: str = "") -> Dat
         F.lit("=== "),
         n.cast("string"),
         F.lit(" Alerts ("),
-        utc_text(F.col("parts")[0]["ts"]),
+        utc_text(F.get("parts", F.lit(0))["ts"]),
         F.lit(") ==="),
     )
     marks = {"text": ("", ""), "html": ("<b>", "</b>"), "markdown": ("*", "*")}
     out = []
     for kind, (a, b) in marks.items():
-        body = F.array_join(F.transform("parts", lambda p, k=kind: p[k]), "\n\n")
+        body = F.array_join(F.col(f"parts.{kind}"), "\n\n")
         many = F.concat(F.lit(a), head, F.lit(b + "\n\n"), body)
         out.append(F.when(n == 1, body).otherwise(F.rtrim(many)).alias(kind))
     return got.select(batch, n.alias("n"), *out)

@@ -55,7 +55,7 @@ def validate_or_fallback(df: DataFrame) -> DataFrame:
     """Replace an output with violations by the template; ``was_valid`` says which."""
     checked = check_explanations(df)
     ok = F.size("violations") == 0
-    code = F.when(F.size("reasons") > 0, F.col("reasons")[0]["code"])
+    code = F.get("reasons", F.lit(0))["code"]
     safe = fallback_headline(F.col("symbol"), F.col("status"), code, F.col("max_chars"))
     return checked.withColumns(
         {

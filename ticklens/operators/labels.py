@@ -151,7 +151,7 @@ def labels_wide(labels: DataFrame) -> DataFrame:
     i = 0
     for h in HORIZONS_MS:
         for p in PROFILES:
-            lab = F.col("labels")[i]
+            lab = F.get("labels", F.lit(i))
             for c in ("i_tradeable", "mfe_bps", "mae_bps", "cost_bps", "net_edge_bps"):
                 cols.append(lab[c].alias(f"{c}_{h}_{p}"))
             cols.append(lab["gates_passed"].cast("int").alias(f"gates_passed_{h}_{p}"))

@@ -88,7 +88,7 @@ def quote_intents(rows: DataFrame, cfg: QuoteConfig = QuoteConfig()) -> DataFram
             F.when(enter & room_down, _order("SELL", ask, qty, name("enter_short"))),
         )
     )
-    first = F.col("reason_codes")[0]
+    first = F.get("reason_codes", F.lit(0))
     flatten = F.array_compact(
         F.array(
             F.when(pos > 0, _order("SELL", F.col("bid"), F.abs(pos), first)),

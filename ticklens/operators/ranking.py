@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticklens.config import RankConfig, ScoreConfig
 from ticklens.functions.predict import score
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
+from ticklens.session import cut_lineage
 
 
 def with_score(pred: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -18,11 +19,14 @@ def with_score(pred: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
 
 
 def rank_scores(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
-    """1-based position per tick by (score desc, symbol) among scores over the threshold."""
-    w = Window.partitionBy("ts").orderBy(F.col("score").desc(), "symbol")
-    return scored.filter(F.col("score") >= cfg.score_threshold).withColumn(
-        "position", F.row_number().over(w)
-    )
+    """1-based position per tick by (score desc, symbol) among scores over the threshold.
+
+    The threshold goes last: as a filter under the window it would push the whole score
+    expression down to the scan, which costs the optimizer more than it saves.
+    """
+    over = F.col("score") >= cfg.score_threshold
+    w = Window.partitionBy("ts").orderBy(over.desc(), F.col("score").desc(), "symbol")
+    return scored.withColumn("position", F.row_number().over(w)).filter(over)
 
 
 def top_k(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
@@ -178,7 +182,8 @@ def confirmed_top_k(states: DataFrame, cfg: RankConfig = RankConfig()) -> DataFr
 def ranked_states(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """Hysteresis states with ``rank``, ``prev_rank`` (last tick's list), ``held_rank`` (last
     one before this tick) and ``last_rank`` (this tick included)."""
-    ranked = confirmed_top_k(hysteresis(membership(scored, cfg), cfg), cfg)
+    members = cut_lineage(membership(scored, cfg))  # read twice below
+    ranked = confirmed_top_k(hysteresis(members, cfg), cfg)
     runs = [
         Run("_prev", "last", F.struct("rank"), inclusive=False),
         Run("held_rank", "last", F.col("rank"), inclusive=False),
@@ -195,3 +200,80 @@ def rank_events(states: DataFrame) -> DataFrame:
     return states.filter(F.col("event").isNotNull()).select(
         "ts", "event", "symbol", F.coalesce(rank, F.lit(0)).cast("int").alias("rank"), "score"
     )
+
+
+def score_deltas(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """Largest score change per tick among listed symbols, against the tick before."""
+    was = Run("was", "last", F.col("score"), inclusive=False)
+    rows = scored.select("symbol", "ts", "score")
+    rows = running(rows, ["symbol"], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [was])
+    delta = F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))
+    return (
+        rows.filter(F.col("score") >= cfg.score_threshold)
+        .groupBy("ts")
+        .agg(F.max(delta).alias("max_delta"))
+    )
+
+
+def ranker_metrics(states: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """One row: updates, enter and exit events, list changes, throttled updates.
+
+    Ticks a cadence apart are never throttled, hence 0 there; ``throttle`` is for
+    faster clocks.
+    """
+    listed = F.when(F.col("rank").isNotNull(), F.struct("rank", "symbol"))
+    ticks = states.groupBy("ts").agg(
+        F.sort_array(F.collect_list(listed)).alias("names"),  # at most k per tick
+        F.count_if(F.col("event") == "SYMBOL_ENTER").alias("entered"),
+        F.count_if(F.col("event") == "SYMBOL_EXIT").alias("left"),
+    )
+    was = Run("was", "last", F.col("names"), inclusive=False)
+    rows = running(ticks, [], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [was])
+    empty = F.size("names") == 0
+    changed = F.when(F.col("was").isNull(), ~empty).otherwise(F.col("names") != F.col("was"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("updates_processed"),
+        F.sum("entered").alias("enter_events"),
+        F.sum("left").alias("exit_events"),
+        F.count_if(changed).alias("rank_changes"),
+        F.lit(0).cast("long").alias("updates_throttled"),
+    )
+
+
+def throttle(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+    """(ts, accepted) per tick: an update soon after the last accepted one is skipped
+    unless a score moved by ``burst_delta`` since the last accepted update.
+
+    Whether a score moved depends on which update came last, so the rule is
+    sequential; a tick at least an interval after the tick before is always accepted,
+    and such ticks cut the sequence. Only the stretches between them are folded.
+    """
+    ticks = scored.select("ts").distinct()
+    was = Run("was", "last", F.col("ts"), inclusive=False)
+    ticks = running(ticks, [], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [was])
+    free = F.col("was").isNull() | (F.col("ts") - F.col("was") >= cfg.update_interval_ms)
+    part = Run("part", "last", F.when(free, F.col("ts")))
+    ticks = running(ticks, [], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [part])
+    # The scores a stretch starts from are those of its first tick; one tick alone needs no fold.
+    size = ticks.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    single = size.filter("n = 1").select(F.col("part").alias("ts"), F.lit(True).alias("accepted"))
+    busy = ticks.join(size.filter("n > 1").select("part"), "part", "left_semi").select("ts", "part")
+    rows = scored.select("ts", "symbol", "score").join(busy, "ts")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[str, float] = {}
+        last, out = None, []
+        for ts, g in pdf.groupby("ts", sort=True):
+            now = dict(zip(g["symbol"], g["score"], strict=True))
+            moved = max(
+                (abs(v - seen[s]) for s, v in now.items() if v >= cfg.score_threshold and s in seen), default=0.0
+            )
+            ok = last is None or ts - last >= cfg.update_interval_ms or moved >= cfg.burst_delta
+            if ok:
+                seen.update(now)
+                last = ts
+            out.append((ts, ok))
+        return pd.DataFrame(out, columns=["ts", "accepted"])
+
+    folded = rows.groupBy("part").applyInPandas(fold, "ts long, accepted boolean")
+    return single.unionByName(folded)

@@ -63,7 +63,7 @@ def chain_events(scored: DataFrame, cfg: ChainConfig = ChainConfig()) -> DataFra
     rows = attach_rank(scored, states)
     log = alert_decisions(scored.select("ts", "symbol", "status"), cfg.alert)
     fired = log.filter(F.col("decision") == "generated").select("ts", "symbol", "event")
-    code = F.when(F.size("reasons") > 0, F.col("reasons")[0]["code"])
+    code = F.get("reasons", F.lit(0))["code"]
     text = rule_headline(F.col("symbol"), F.col("status"), code, F.lit(180))
     alerts = fired.join(rows, ["symbol", "ts"]).select(
         "ts",
