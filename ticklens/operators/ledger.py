@@ -52,21 +52,24 @@ def position_ledger(
     slice_ms: int = 30 * DAY_MS,
     fee: float = MAKER_FEE,
     keep_entry_on_flip: bool = False,
+    stretch: int = 20_000,
 ) -> DataFrame:
     """Running position, average entry and realized PnL per fill.
 
     ``fills``: session_id, symbol, ts, order_id, trade_id, side, fill_qty, fill_price.
     The position is a running sum. The entry price is a chain of weighted means, and
-    a stretch of it is ``a * entry + b``: each time slice is reduced to (a, b), the
-    slices of a key are chained, then each slice walks its fills with its true entry.
+    a stretch of it is ``a * entry + b``: each stretch of ``stretch`` fills is reduced
+    to (a, b), the stretches of a key are chained, then each walks its fills with its
+    true entry. No group holds more than a stretch.
     """
     keys, order = ["session_id", "symbol"], ["ts", "order_id", "trade_id"]
     cells = [*keys, SLICE]
     signed = F.when(F.col("side") == "BUY", F.col("fill_qty")).otherwise(-F.col("fill_qty"))
-    run = Run("q1", "sum", F.col("d"))
+    runs = [Run("q1", "sum", F.col("d")), Run("_n", "sum", F.col("_one"), inclusive=False)]
     at = slice_of(F.col("ts"), slice_ms)
-    rows = running(fills.withColumn("d", signed), keys, at, order, [run])
-    rows = rows.withColumn("q0", F.col("q1") - F.col("d")).withColumn(SLICE, at)
+    rows = running(fills.withColumns({"d": signed, "_one": F.lit(1)}), keys, at, order, runs)
+    rows = rows.withColumn("q0", F.col("q1") - F.col("d"))
+    rows = rows.withColumn(SLICE, F.floor(F.col("_n") / stretch).cast("long")).drop("_one", "_n")
     num = fills.schema["fill_price"].dataType
     out_num = T.DecimalType(38, 18) if isinstance(num, T.DecimalType) else T.DoubleType()
     key_fields = [rows.schema[c] for c in cells]

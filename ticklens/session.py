@@ -23,20 +23,27 @@ def local_session(cpus: str = "8", app: str = "ticklens") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so a lost executor costs a re-read only.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
-    the setting is absent and the session is local, a temporary one is set; a
-    cluster without the setting is an error, since a local path would be lost
-    with its machine.
+    Where the setting is absent and the session is local, a temporary one is set; a
+    cluster without the setting is an error, since a local path would be lost with
+    its machine.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="ticklens-checkpoint-")
         sc.setCheckpointDir(folder)
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder: a lost executor costs a re-read only."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
