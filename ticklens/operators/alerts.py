@@ -29,7 +29,7 @@ def minute_counts(accepted: DataFrame, slice_ms: int) -> DataFrame:
 
 def candidates(pred: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     """Rows whose status can raise an alert, with the alert type and ``stable``."""
-    runs = status_runs(pred, ["symbol"], slice_ms=cfg.slice_ms)
+    runs = status_runs(pred, ["symbol"], slice_ms=cfg.slice_ms, materialize=True)
     kind = F.create_map(*[F.lit(x) for kv in STATUS_ALERTS.items() for x in kv])
     issue = F.col("status") == "DATA_ISSUE"
     held = F.when(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ticklens.operators.asof import asof_join
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
+from ticklens.session import cut_lineage, spread
 
 DAY_MS = 86_400_000
 MAKER_FEE = 0.0002
@@ -70,6 +71,7 @@ def position_ledger(
     rows = running(fills.withColumns({"d": signed, "_one": F.lit(1)}), keys, at, order, runs)
     rows = rows.withColumn("q0", F.col("q1") - F.col("d"))
     rows = rows.withColumn(SLICE, F.floor(F.col("_n") / stretch).cast("long")).drop("_one", "_n")
+    rows = spread(rows, *cells)
     num = fills.schema["fill_price"].dataType
     out_num = T.DecimalType(38, 18) if isinstance(num, T.DecimalType) else T.DoubleType()
     key_fields = [rows.schema[c] for c in cells]
@@ -126,7 +128,7 @@ def position_ledger(
         reduce_slice,
         T.StructType([*key_fields, T.StructField("a", out_num), T.StructField("b", out_num)]),
     )
-    entries = ab.groupBy(*keys).applyInPandas(
+    entries = spread(ab, *keys).groupBy(*keys).applyInPandas(
         chain, T.StructType([*key_fields, T.StructField("entry", out_num)])
     )
     schema = T.StructType([*fills.schema.fields, *[T.StructField(c, out_num) for c in extra]])
@@ -137,6 +139,7 @@ def realized_so_far(ledger: DataFrame, slice_ms: int = 30 * DAY_MS) -> DataFrame
     """Add ``realized_pnl_session``, the running sum per (session, symbol)."""
     order = ["ts", "order_id", "trade_id"]
     run = Run("realized_pnl_session", "sum", F.col("realized_pnl"))
+    ledger = cut_lineage(ledger)  # rows and slice sums both read it
     return running(ledger, ["session_id", "symbol"], slice_of(F.col("ts"), slice_ms), order, [run])
 
 
@@ -312,11 +315,12 @@ def first_touch_fills(
     Trades are first reduced to low and high per instant, so a slice holds at most
     one row per millisecond; no order is paired with more than one trade row.
     """
-    slice_ms = horizon_ms if slice_ms is None else slice_ms
+    slice_ms = max(horizon_ms, 600_000) if slice_ms is None else slice_ms
     per_ts = trades.groupBy("symbol", "ts").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
     ahead = with_slices(per_ts, "ts", slice_ms, forward_ms=horizon_ms)
-    resting = orders.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
     cells = ["symbol", SLICE]
+    resting = spread(orders.withColumn(SLICE, slice_of(F.col("ts"), slice_ms)), *cells)
+    ahead = spread(ahead, *cells)
 
     def match(key: tuple, o: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ts")

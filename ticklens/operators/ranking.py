@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ticklens.config import RankConfig, ScoreConfig
 from ticklens.functions.predict import score
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
-from ticklens.session import cut_lineage
+from ticklens.session import cut_lineage, spread
 
 
 def with_score(pred: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -94,7 +94,7 @@ def hysteresis(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFra
     back = max(cfg.enter_ms, cfg.exit_ms, cfg.min_dwell_ms)
     cells = ["symbol", SLICE]
     slim = membership.select("symbol", "ts", "member")
-    rows = with_slices(slim, "ts", cfg.slice_ms, back_ms=back)
+    rows = spread(with_slices(slim, "ts", cfg.slice_ms, back_ms=back), *cells)
 
     def reduce_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         symbol, sl = key
@@ -149,14 +149,14 @@ def hysteresis(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFra
     maps = rows.groupBy(*cells).applyInPandas(
         reduce_slice, f"symbol string, {SLICE} long, s_in string, t_in long, s_out string, t_out long"
     )
-    entries = maps.groupBy("symbol").applyInPandas(
+    entries = spread(maps, "symbol").groupBy("symbol").applyInPandas(
         chain, f"symbol string, {SLICE} long, s_in string, t_in long"
     )
     schema = slim.select("symbol", "ts", "member").schema
     for f in keep:
         schema = schema.add(f)
     schema = schema.add("state", "string").add("event", "string")
-    own = membership.withColumn(SLICE, slice_of(F.col("ts"), cfg.slice_ms))
+    own = spread(membership.withColumn(SLICE, slice_of(F.col("ts"), cfg.slice_ms)), *cells)
     return (
         own.groupBy(*cells).cogroup(entries.groupBy(*cells)).applyInPandas(run_slice, schema)
     )
@@ -183,7 +183,7 @@ def ranked_states(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFram
     """Hysteresis states with ``rank``, ``prev_rank`` (last tick's list), ``held_rank`` (last
     one before this tick) and ``last_rank`` (this tick included)."""
     members = cut_lineage(membership(scored, cfg))  # read twice below
-    ranked = confirmed_top_k(hysteresis(members, cfg), cfg)
+    ranked = cut_lineage(confirmed_top_k(hysteresis(members, cfg), cfg))
     runs = [
         Run("_prev", "last", F.struct("rank"), inclusive=False),
         Run("held_rank", "last", F.col("rank"), inclusive=False),

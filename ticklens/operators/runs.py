@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklens.plans.slices import SLICE, slice_of
+from ticklens.session import cut_lineage
 
 
 def status_runs(
@@ -17,9 +18,11 @@ def status_runs(
     status: str = "status",
     slice_ms: int = 3_600_000,
     tie: Sequence[str] = (),
+    materialize: bool = False,
 ) -> DataFrame:
     """Add ``status_since`` (start of the current unbroken run) and ``status_ms`` (its age)."""
     keys = list(keys)
+    df = cut_lineage(df) if materialize else df  # rows and slice heads both read it
     order = [ts, *tie]
     rows = df.withColumn(SLICE, slice_of(F.col(ts), slice_ms))
     w = Window.partitionBy(*keys, SLICE).orderBy(*order)

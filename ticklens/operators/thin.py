@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklens.plans.slices import SLICE, slice_of
+from ticklens.session import cut_lineage, spread
 
 THIN_SLICE_MS = 10_800_000
 
@@ -50,6 +51,7 @@ def thin_stamps(
     keys = list(keys)
     cells = [*keys, SLICE]
     stamps = stamps.select(*keys, "t").withColumn(SLICE, slice_of(F.col("t"), slice_ms))
+    stamps = cut_lineage(stamps)  # read twice below
     key_fields = [stamps.schema[k] for k in cells]
     schema = lambda *names: T.StructType(
         key_fields + [T.StructField(n, T.LongType()) for n in names]
@@ -92,8 +94,9 @@ def thin_stamps(
             out[name] = value
         return out[[*cells, "t"]]
 
+    stamps = spread(stamps, *cells)
     tables = stamps.groupBy(*cells).applyInPandas(transfer, schema("from_t", "last_t"))
-    grouped = tables.groupBy(*keys) if keys else tables.groupBy(F.lit(0).alias("all"))
+    grouped = spread(tables, *keys).groupBy(*keys) if keys else tables.groupBy(F.lit(0).alias("all"))
     if keys:
         entries = grouped.applyInPandas(chain, schema("ready"))
     else:

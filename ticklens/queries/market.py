@@ -303,7 +303,7 @@ def limited_symbols(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "asof_book",
     TAPE + """ SELECT t.symbol, t.seq, t.ts, arg_max(b.bid, (b.ts, b.seq)) AS bid, arg_max(b.ask, (b.ts, b.seq)) AS ask,
-    max(b.ts) AS book_ts FROM tape t LEFT JOIN tape b ON b.symbol = t.symbol AND NOT b.is_trade AND b.ts <= t.ts
+    coalesce(max(b.ts), -1) AS book_ts FROM tape t LEFT JOIN tape b ON b.symbol = t.symbol AND NOT b.is_trade AND b.ts <= t.ts
     WHERE t.is_trade GROUP BY 1, 2, 3""",
 )
 def asof_book(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +311,7 @@ def asof_book(spark: SparkSession, sf: str) -> DataFrame:
     books = t.filter("NOT is_trade").select("symbol", "ts", "bid", "ask", F.col("seq").alias("book_seq"))
     trades = t.filter("is_trade").select("symbol", "seq", "ts")
     rows = asof.asof_join(trades, books, ["symbol"], "book", tie="book_seq")
-    return rows.select("symbol", "seq", "ts", "book.bid", "book.ask", F.col("book.ts").alias("book_ts"))
+    return rows.select("symbol", "seq", "ts", "book.bid", "book.ask", F.coalesce("book.ts", F.lit(-1)).alias("book_ts"))
 
 
 @query(
@@ -377,7 +377,7 @@ _RANK_CTE = f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER
 )
 def scores_topk(spark: SparkSession, sf: str) -> DataFrame:
     top = ranking.top_k(preds_of(spark, sf), RC)
-    return top.select("ts", "symbol", "position", rnd(F.col("score"), 8).alias("score"), "status")
+    return top.select("ts", "symbol", F.col("position").cast("long").alias("position"), rnd(F.col("score"), 8).alias("score"), "status")
 
 
 @query(
@@ -534,7 +534,7 @@ _RUNS = """, chg AS (SELECT symbol, ts, status, CASE WHEN status IS DISTINCT FRO
 
 @query("status_runs", PRED + _RUNS + " SELECT symbol, ts, status, since AS status_since, ts - since AS status_ms FROM runs")
 def status_runs_q(spark: SparkSession, sf: str) -> DataFrame:
-    return status_runs(preds_of(spark, sf).select("symbol", "ts", "status"), ["symbol"])
+    return status_runs(preds_of(spark, sf).select("symbol", "ts", "status"), ["symbol"], materialize=True)
 
 
 # The sequential rule as recursion over ticks; the state is the list of alerts of the last 120 s.
@@ -587,7 +587,7 @@ _MOVES = """, moves AS (SELECT symbol, ts, status, 'STATUS' AS event FROM runs W
 
 def _moves(spark: SparkSession, sf: str) -> DataFrame:
     """One event per change of a symbol's status."""
-    runs = status_runs(preds_of(spark, sf).select("symbol", "ts", "status"), ["symbol"])
+    runs = status_runs(preds_of(spark, sf).select("symbol", "ts", "status"), ["symbol"], materialize=True)
     return runs.filter("status_ms = 0").select("symbol", "ts", "status", F.lit("STATUS").alias("event"))
 
 
@@ -651,7 +651,7 @@ _SAID = PRED + _RUNS + ", said AS (SELECT p.* FROM pred p JOIN runs r USING (sym
 
 
 def _said(spark: SparkSession, sf: str) -> DataFrame:
-    runs = status_runs(preds_of(spark, sf), ["symbol"]).filter("status_ms = 0")
+    runs = status_runs(preds_of(spark, sf), ["symbol"], materialize=True).filter("status_ms = 0")
     kind = (
         F.when(F.col("status") == "TRADEABLE", "ALERT_TRADABLE")
         .when(F.col("status") == "TRAP", "ALERT_TRAP")

@@ -220,10 +220,11 @@ def _touched(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_touch_fills",
-    TAPE + f", {_RESTING} SELECT o.symbol, o.order_id, o.side, fill_ts, CASE WHEN fill_ts IS NOT NULL THEN price END AS fill_price FROM o LEFT JOIN fl USING (symbol, order_id)",
+    TAPE + f", {_RESTING} SELECT o.symbol, o.order_id, o.side, coalesce(fill_ts, -1) AS fill_ts, CASE WHEN fill_ts IS NOT NULL THEN price END AS fill_price FROM o LEFT JOIN fl USING (symbol, order_id)",
 )
 def first_touch_fills(spark: SparkSession, sf: str) -> DataFrame:
-    return _touched(spark, sf).select("symbol", "order_id", "side", "fill_ts", "fill_price")
+    rows = _touched(spark, sf).withColumn("fill_ts", F.coalesce("fill_ts", F.lit(-1)))
+    return rows.select("symbol", "order_id", "side", "fill_ts", "fill_price")
 
 
 @query(
@@ -231,11 +232,11 @@ def first_touch_fills(spark: SparkSession, sf: str) -> DataFrame:
     TAPE + f""", {_RESTING}, bk AS (SELECT symbol, ts, seq, max(CASE WHEN NOT is_trade THEN ts END) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS book_ts FROM tape),
     st AS (SELECT symbol, ts FROM bk WHERE ts - book_ts > 5000),
     c AS (SELECT o.symbol, o.order_id, fill_ts, min(st.ts) AS hit FROM o LEFT JOIN fl USING (symbol, order_id) LEFT JOIN st ON st.symbol = o.symbol AND st.ts > o.ts GROUP BY 1, 2, 3)
-    SELECT symbol, order_id, CASE WHEN fill_ts IS NULL OR fill_ts > hit THEN hit END AS cancel_ts FROM c""",
+    SELECT symbol, order_id, coalesce(CASE WHEN fill_ts IS NULL OR fill_ts > hit THEN hit END, -1) AS cancel_ts FROM c""",
 )
 def stale_quote_cancels(spark: SparkSession, sf: str) -> DataFrame:
     rows = ledger.stale_quote_cancels(_touched(spark, sf), tape_of(spark, sf), 5_000)
-    return rows.select("symbol", "order_id", "cancel_ts")
+    return rows.select("symbol", "order_id", F.coalesce("cancel_ts", F.lit(-1)).alias("cancel_ts"))
 
 
 _MARKS = """ps AS (SELECT symbol, ts, seq, CASE WHEN seq % 2 = 0 THEN qty ELSE -qty END AS position_qty, price AS entry_price FROM tape WHERE is_trade),
@@ -263,7 +264,7 @@ def unrealized_pnl(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "ledger_measures",
     TAPE + f""", {_MARKS} SELECT symbol, seq, {S.rnd("abs(q) / 8", 6)} AS inventory_ratio, abs(q) * coalesce(mid, 0) AS notional,
-    ts - book_ts AS book_age_ms, CASE WHEN mid > 0 AND q <> 0 THEN q * (mid - e) ELSE 0 END + q AS total_pnl FROM mk""",
+    coalesce(ts - book_ts, -1) AS book_age_ms, CASE WHEN mid > 0 AND q <> 0 THEN q * (mid - e) ELSE 0 END + q AS total_pnl FROM mk""",
 )
 def ledger_measures(spark: SparkSession, sf: str) -> DataFrame:
     from ticklens.operators.asof import asof_join
@@ -277,7 +278,7 @@ def ledger_measures(spark: SparkSession, sf: str) -> DataFrame:
         "seq",
         rnd(ledger.inventory_ratio(q, F.lit(8.0)), 6).alias("inventory_ratio"),
         ledger.notional(F.abs(q), F.col("mark_price")).alias("notional"),
-        ledger.book_age_ms(F.col("ts"), F.col("b.ts")).alias("book_age_ms"),
+        F.coalesce(ledger.book_age_ms(F.col("ts"), F.col("b.ts")), F.lit(-1)).alias("book_age_ms"),
         ledger.total_pnl(q, F.col("unrealized_pnl")).alias("total_pnl"),
     )
 
