@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklens.operators.asof import asof_join
+from ticklens.plans.cells import by_cell, by_cell_with
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
-from ticklens.session import cut_lineage, spread
+from ticklens.session import cut_lineage
 
 DAY_MS = 86_400_000
 MAKER_FEE = 0.0002
@@ -71,7 +72,7 @@ def position_ledger(
     rows = running(fills.withColumns({"d": signed, "_one": F.lit(1)}), keys, at, order, runs)
     rows = rows.withColumn("q0", F.col("q1") - F.col("d"))
     rows = rows.withColumn(SLICE, F.floor(F.col("_n") / stretch).cast("long")).drop("_one", "_n")
-    rows = spread(rows, *cells)
+    rows = cut_lineage(rows)  # read twice below
     num = fills.schema["fill_price"].dataType
     out_num = T.DecimalType(38, 18) if isinstance(num, T.DecimalType) else T.DoubleType()
     key_fields = [rows.schema[c] for c in cells]
@@ -124,15 +125,11 @@ def position_ledger(
         )
         return got[[*names, *extra]]
 
-    ab = rows.groupBy(*cells).applyInPandas(
-        reduce_slice,
-        T.StructType([*key_fields, T.StructField("a", out_num), T.StructField("b", out_num)]),
-    )
-    entries = spread(ab, *keys).groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, T.StructField("entry", out_num)])
-    )
+    number = lambda n: T.StructField(n, out_num)
+    ab = by_cell(rows, cells, reduce_slice, T.StructType([*key_fields, number("a"), number("b")]))
+    entries = by_cell(ab, keys, chain, T.StructType([*key_fields, number("entry")]))
     schema = T.StructType([*fills.schema.fields, *[T.StructField(c, out_num) for c in extra]])
-    return rows.groupBy(*cells).cogroup(entries.groupBy(*cells)).applyInPandas(walk, schema)
+    return by_cell_with(rows, entries, cells, walk, schema)
 
 
 def realized_so_far(ledger: DataFrame, slice_ms: int = 30 * DAY_MS) -> DataFrame:
@@ -319,8 +316,7 @@ def first_touch_fills(
     per_ts = trades.groupBy("symbol", "ts").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
     ahead = with_slices(per_ts, "ts", slice_ms, forward_ms=horizon_ms)
     cells = ["symbol", SLICE]
-    resting = spread(orders.withColumn(SLICE, slice_of(F.col("ts"), slice_ms)), *cells)
-    ahead = spread(ahead, *cells)
+    resting = orders.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
 
     def match(key: tuple, o: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ts")
@@ -341,11 +337,12 @@ def first_touch_fills(
         out["later_ts"] = hit
         return out
 
-    later = (
-        resting.select("symbol", SLICE, "order_id", "ts", "side", "price")
-        .groupBy(*cells)
-        .cogroup(ahead.select("symbol", SLICE, "ts", "lo", "hi").groupBy(*cells))
-        .applyInPandas(match, "symbol string, order_id long, later_ts long")
+    later = by_cell_with(
+        resting.select("symbol", SLICE, "order_id", "ts", "side", "price"),
+        ahead.select("symbol", SLICE, "ts", "lo", "hi"),
+        cells,
+        match,
+        "symbol string, order_id long, later_ts long",
     )
     # The order's own instant: the last rows of it decide, lows and highs after its seq.
     same = running(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ticklens.config import RankConfig, ScoreConfig
 from ticklens.functions.predict import score
+from ticklens.plans.cells import by_cell, by_cell_with
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
-from ticklens.session import cut_lineage, spread
+from ticklens.session import cut_lineage
 
 
 def with_score(pred: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -94,7 +95,7 @@ def hysteresis(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFra
     back = max(cfg.enter_ms, cfg.exit_ms, cfg.min_dwell_ms)
     cells = ["symbol", SLICE]
     slim = membership.select("symbol", "ts", "member")
-    rows = spread(with_slices(slim, "ts", cfg.slice_ms, back_ms=back), *cells)
+    rows = with_slices(slim, "ts", cfg.slice_ms, back_ms=back)
 
     def reduce_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         symbol, sl = key
@@ -146,20 +147,15 @@ def hysteresis(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFra
         pdf["state"], pdf["event"] = states, events
         return pdf[["symbol", "ts", "member", *names, "state", "event"]]
 
-    maps = rows.groupBy(*cells).applyInPandas(
-        reduce_slice, f"symbol string, {SLICE} long, s_in string, t_in long, s_out string, t_out long"
-    )
-    entries = spread(maps, "symbol").groupBy("symbol").applyInPandas(
-        chain, f"symbol string, {SLICE} long, s_in string, t_in long"
-    )
+    state_in = f"symbol string, {SLICE} long, s_in string, t_in long"
+    maps = by_cell(rows, cells, reduce_slice, f"{state_in}, s_out string, t_out long")
+    entries = by_cell(maps, ["symbol"], chain, state_in)
     schema = slim.select("symbol", "ts", "member").schema
     for f in keep:
         schema = schema.add(f)
     schema = schema.add("state", "string").add("event", "string")
-    own = spread(membership.withColumn(SLICE, slice_of(F.col("ts"), cfg.slice_ms)), *cells)
-    return (
-        own.groupBy(*cells).cogroup(entries.groupBy(*cells)).applyInPandas(run_slice, schema)
-    )
+    own = membership.withColumn(SLICE, slice_of(F.col("ts"), cfg.slice_ms))
+    return by_cell_with(own, entries, cells, run_slice, schema)
 
 
 def membership(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:

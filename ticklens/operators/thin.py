@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticklens.plans.cells import by_cell, by_cell_with
 from ticklens.plans.slices import SLICE, slice_of
-from ticklens.session import cut_lineage, spread
+from ticklens.session import cut_lineage
 
 THIN_SLICE_MS = 10_800_000
 
@@ -94,14 +95,12 @@ def thin_stamps(
             out[name] = value
         return out[[*cells, "t"]]
 
-    stamps = spread(stamps, *cells)
-    tables = stamps.groupBy(*cells).applyInPandas(transfer, schema("from_t", "last_t"))
-    grouped = spread(tables, *keys).groupBy(*keys) if keys else tables.groupBy(F.lit(0).alias("all"))
+    tables = by_cell(stamps, cells, transfer, schema("from_t", "last_t"))
     if keys:
-        entries = grouped.applyInPandas(chain, schema("ready"))
+        entries = by_cell(tables, keys, chain, schema("ready"))
     else:
-        entries = grouped.applyInPandas(lambda key, pdf: chain((), pdf), schema("ready"))
-    kept = stamps.groupBy(*cells).cogroup(entries.groupBy(*cells)).applyInPandas(walk, schema("t"))
+        entries = tables.groupBy().applyInPandas(lambda pdf: chain((), pdf), schema("ready"))
+    kept = by_cell_with(stamps, entries, cells, walk, schema("t"))
     return kept.drop(SLICE)
 
 

@@ -43,16 +43,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return current.get()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` by ``keys`` into the session's number of shuffle partitions.
-
-    For the grouped Python helpers: their rows are few but not cheap, so partitions
-    must not be merged by size.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder: a lost executor costs a re-read only."""
     checkpoint_folder(df.sparkSession)
