@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,11 @@ def _step(entry, q0, q1, qty, price, keep_entry_on_flip):
     return entry
 
 
+def _stored(x):
+    """A Decimal at the 18 places a ledger stores; other numbers as they are."""
+    return x.quantize(Decimal("1E-18")) if isinstance(x, Decimal) else x
+
+
 def position_ledger(
     fills: DataFrame,
     slice_ms: int = 30 * DAY_MS,
@@ -91,13 +97,13 @@ def position_ledger(
             b = _step(b, q0, q1, qty, price, keep_entry_on_flip)
             # How the incoming entry fades: by the old share, or not at all, or fully.
             a = _step(a, q0, q1, qty, price * 0, keep_entry_on_flip)
-        return pd.DataFrame([(*key, a, b)], columns=[*cells, "a", "b"])
+        return pd.DataFrame([(*key, _stored(a), _stored(b))], columns=[*cells, "a", "b"])
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
         entry, got = pdf["b"].iloc[0] * 0, []
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            got.append(entry)
+            got.append(_stored(entry))
             entry = a * entry + b
         return pdf[cells].assign(entry=got)
 
@@ -114,14 +120,12 @@ def position_ledger(
                 closed = min(qty, abs(q0))
                 gain = closed * (price - entry) if q0 > 0 else closed * (entry - price)
             entry = _step(entry, q0, q1, qty, price, keep_entry_on_flip)
-            entries.append(entry)
-            pnl.append(gain)
+            entries.append(_stored(entry))
+            pnl.append(_stored(gain))
         rate = type(pdf["fill_price"].iloc[0])(str(fee))
+        fees = (pdf["fill_price"] * pdf["fill_qty"] * rate).map(_stored)
         got = pdf.assign(
-            position_qty=pdf["q1"],
-            entry_price=entries,
-            realized_pnl=pnl,
-            commission=pdf["fill_price"] * pdf["fill_qty"] * rate,
+            position_qty=pdf["q1"].map(_stored), entry_price=entries, realized_pnl=pnl, commission=fees
         )
         return got[[*names, *extra]]
 
