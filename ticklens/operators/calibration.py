@@ -113,7 +113,7 @@ def calibrators_table(like: DataFrame, params: dict[str, tuple[float, float]]) -
 
 def apply_calibrators(long: DataFrame, calibrators: DataFrame) -> DataFrame:
     """Add ``calibrated``; a head without parameters keeps its raw score."""
-    rows = long.join(F.broadcast(calibrators), "head", "left")  # one row per head
+    rows = long.join(calibrators, "head", "left")
     cal = platt(F.col("score"), F.col("a"), F.col("b"))
     return rows.withColumn(
         "calibrated", F.when(F.col("a").isNotNull(), cal).otherwise(F.col("score"))

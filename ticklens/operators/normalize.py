@@ -130,6 +130,10 @@ def _fails(r: Rule, raw: str) -> Column:
     return name
 
 
+def _unknown(keys: Column, prefix: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k, F.lit(": unknown")))
+
+
 def validate_contract(df: DataFrame, contract: str, raw: str = "raw") -> DataFrame:
     """Add ``failures`` (array of texts) and ``ok`` for JSON rows of a contract.
 
@@ -139,14 +143,14 @@ def validate_contract(df: DataFrame, contract: str, raw: str = "raw") -> DataFra
     rules = CONTRACTS[contract]
     known = sorted({r.path.split(".")[0] for r in rules})
     keys = F.json_object_keys(raw)
-    extra = [F.transform(F.array_except(keys, F.array(*map(F.lit, known))), lambda k: F.concat(k, F.lit(": unknown")))]
+    extra = [_unknown(F.array_except(keys, F.array(*map(F.lit, known))), "")]
     for parent in sorted({r.path.split(".")[0] for r in rules if "." in r.path}):
         inner = sorted(r.path.split(".")[1] for r in rules if r.path.startswith(parent + "."))
         found = F.coalesce(
             F.json_object_keys(F.get_json_object(raw, f"$.{parent}")), F.array().cast("array<string>")
         )
         over = F.array_except(found, F.array(*map(F.lit, inner)))
-        extra.append(F.transform(over, lambda k, p=parent: F.concat(F.lit(p + "."), k, F.lit(": unknown"))))
+        extra.append(_unknown(over, f"{parent}."))
     broken = F.when(keys.isNull(), F.array(F.lit("not a JSON object")))
     found = F.concat(F.array_compact(F.array(*[_fails(r, raw) for r in rules])), *extra)
     df = df.withColumn("failures", F.coalesce(broken, found))

@@ -26,6 +26,9 @@ def _ceil_to(ts: Column, step: int) -> Column:
     return (F.ceil(ts / F.lit(step)) * F.lit(step)).cast("long")
 
 
+_TAPE_COLS = ["is_trade", "price", "qty", "is_buyer_maker", "bid", "ask", "bid_qty", "ask_qty"]
+
+
 def bucket_tape(
     tape: DataFrame, bucket_ms: int, order: Sequence[str] = ("ts", "seq"), cut: DataFrame | None = None
 ) -> DataFrame:
@@ -37,11 +40,12 @@ def bucket_tape(
     """
     place = F.struct(*order)
     late = F.lit(0)
+    tape = tape.select("symbol", *order, *_TAPE_COLS)
     if cut is not None:
         tape = tape.join(cut.select("ts", "by"), "ts", "left")
         late = F.coalesce((place > F.col("by")).cast("int"), F.lit(0))
     rows = tape.select(
-        "*", _ceil_to(F.col("ts"), bucket_ms).alias("bts"), late.alias("late")
+        "symbol", *order, *_TAPE_COLS, _ceil_to(F.col("ts"), bucket_ms).alias("bts"), late.alias("late")
     ).repartition("symbol", "bts")
     # Trades sort before books, so the lags of a trade only ever see trades.
     w = Window.partitionBy("symbol", "bts", "late").orderBy(F.col("is_trade").desc(), *order)
@@ -367,5 +371,5 @@ def limit_symbols(tape: DataFrame, max_symbols: int = 500) -> DataFrame:
     """Keep only the first ``max_symbols`` symbols by first arrival; the rest are ignored."""
     first = tape.groupBy("symbol").agg(F.min(F.struct("ts", "recv_ts", "seq")).alias("first"))
     kept = first.orderBy("first", "symbol").limit(max_symbols).select("symbol")
-    # At most max_symbols rows by construction.
-    return tape.join(F.broadcast(kept) if max_symbols <= 100_000 else kept, "symbol", "left_semi")
+    # Spark knows the limit's size and broadcasts it when it is small enough.
+    return tape.join(kept, "symbol", "left_semi")
