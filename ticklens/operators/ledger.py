@@ -197,7 +197,7 @@ def round_trips(
     rows = running(rows, by, at, order, [Run("was", "last", F.col("flat"), inclusive=False)])
     was = F.coalesce(F.col("was"), F.lit(True))
     opened = F.when(was & ~F.col("flat"), F.struct("realized_pnl_session", order[0]))
-    rows = rows.withColumn("closed", ~was & F.col("flat"))
+    rows = cut_lineage(rows.withColumn("closed", ~was & F.col("flat")))  # read twice below
     rows = running(rows, by, at, order, [Run("start", "last", opened)])
     return rows.filter("closed").select(
         *by,

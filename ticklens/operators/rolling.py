@@ -39,16 +39,16 @@ def bucket_tape(
     ``cut`` (ts, by) the rows of an instant after ``by`` form a bucket of their own.
     """
     place = F.struct(*order)
-    late = F.lit(0)
+    cols = ["symbol", *order, *_TAPE_COLS, _ceil_to(F.col("ts"), bucket_ms).alias("bts")]
+    keys = ["symbol", "bts"]
     tape = tape.select("symbol", *order, *_TAPE_COLS)
     if cut is not None:
         tape = tape.join(cut.select("ts", "by"), "ts", "left")
-        late = F.coalesce((place > F.col("by")).cast("int"), F.lit(0))
-    rows = tape.select(
-        "symbol", *order, *_TAPE_COLS, _ceil_to(F.col("ts"), bucket_ms).alias("bts"), late.alias("late")
-    ).repartition("symbol", "bts")
+        cols.append(F.coalesce((place > F.col("by")).cast("int"), F.lit(0)).alias("late"))
+        keys.append("late")
+    rows = tape.select(*cols).repartition("symbol", "bts")
     # Trades sort before books, so the lags of a trade only ever see trades.
-    w = Window.partitionBy("symbol", "bts", "late").orderBy(F.col("is_trade").desc(), *order)
+    w = Window.partitionBy(*keys).orderBy(F.col("is_trade").desc(), *order)
     rows = rows.select(
         "*",
         F.row_number().over(w).alias("rn"),
@@ -59,7 +59,7 @@ def bucket_tape(
     seller = F.col("is_buyer_maker")
     on_trade = F.when(trade, place)
     turn = (F.col("price") - F.col("p1")) * (F.col("p1") - F.col("p2")) < 0
-    return rows.groupBy("symbol", "bts", "late").agg(
+    return rows.groupBy(*keys).agg(
         F.count_if(trade).alias("n"),
         F.sum("qty").alias("vol"),
         F.sum(F.when(~seller, F.col("qty")).when(seller, F.lit(0.0))).alias("buy"),
@@ -191,7 +191,7 @@ def rolling_columns(
     bucket_ms = reduce(gcd, [*windows.values(), range_ms, cfg.cadence_ms]) if on_grid else 1
     # One slice is one range window: a frame spans its own slice and the one before.
     slice_ms = range_ms
-    step = F.when(F.col("late") == 1, _AFTER).otherwise(_SEEN)
+    step = F.lit(_SEEN) if cut is None else F.when(F.col("late") == 1, _AFTER).otherwise(_SEEN)
     copies = with_slices(
         bucket_tape(tape, bucket_ms, order, cut), "bts", slice_ms, back_ms=range_ms - bucket_ms
     ).select("symbol", SLICE, _pos(F.col("bts"), step).alias("pos"), *_BUCKET_COLS)
