@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import quality
+from ticklens.llm import licenses, quality
 from ticklens.llm.common import query, table
 
 # DuckDB reads \x escapes in its patterns as Java does.
@@ -58,3 +58,50 @@ FROM q
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+_LICENSE_ROWS = licenses.values(licenses.template_rows(licenses.PHRASES, licenses.NOTICES))
+OP3_SQL = rf"""
+WITH t AS (
+    SELECT * FROM (VALUES {_LICENSE_ROWS}) AS v(tid, label, exact, t_words, t_grams, t_pos, g0, g1, g2)),
+d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+h AS (
+    SELECT rid, tid, label, exact, t_words, t_grams, t_pos, p, p - t_pos AS diagonal
+    FROM (SELECT rid, i - 1 AS p, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+          FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)) g
+    JOIN t ON g0 = a AND g1 = b AND g2 = c),
+v AS (
+    SELECT rid, tid, diagonal,
+           CASE WHEN any_value(exact) OR diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) <= 4
+                THEN 0 ELSE 1 END AS apart
+    FROM h GROUP BY rid, tid, diagonal),
+i AS (SELECT rid, tid, diagonal, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS island FROM v),
+s AS (
+    SELECT rid, label, exact, min(p) AS lo, max(p) + 3 AS hi, t_words, t_grams,
+           count(DISTINCT t_pos)::DOUBLE / t_grams AS cover
+    FROM h JOIN i USING (rid, tid, diagonal)
+    GROUP BY rid, tid, label, exact, t_words, t_grams, CASE WHEN exact THEN diagonal ELSE island END),
+f AS (
+    SELECT * FROM s
+    WHERE CASE WHEN exact THEN cover = 1 ELSE cover >= 0.75 AND 2 * (hi - lo) <= 3 * t_words END),
+a AS (
+    SELECT rid, count(*) FILTER (exact) AS n_base, min(lo) FILTER (exact) AS first_word,
+           max(lo) FILTER (exact) AS last_word, max(cover) AS score,
+           array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+    FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+@query("op3_license_scan", OP3_SQL)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.digest(licenses.scan(docs, ["doc_id"]))
