@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import licenses, quality
+from ticklens.llm import licenses, quality, secrets
 from ticklens.llm.common import query, table
 
 # DuckDB reads \x escapes in its patterns as Java does.
@@ -105,3 +105,51 @@ FROM d LEFT JOIN a USING (rid)
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.digest(licenses.scan(docs, ["doc_id"]))
+
+
+def _places(kind: int, pattern: str, group: int) -> str:
+    """Matches of one kind with their places, from the pieces between them."""
+    p = pattern.replace("'", "''")
+    return rf"""
+    SELECT rid, doc_id, source, {kind} AS kind, v[i] AS v, length(m[i]) AS n,
+           list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0)
+               AS lo
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
+          FROM (SELECT rid, doc_id, source, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m,
+                       regexp_extract_all(t, '{p}', {group}) AS v
+                FROM d WHERE regexp_matches(t, '{p}')))"""
+
+
+OP2_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+c AS MATERIALIZED (
+    SELECT rid, doc_id, source, kind, v, lo, lo + n AS hi
+    FROM ({_places(0, secrets.ASSIGN, 2)} UNION ALL {_places(1, secrets.ACCESS, 0)}
+          UNION ALL {_places(2, secrets.HEX, 0)} UNION ALL {_places(3, secrets.TOKEN, 0)})
+    WHERE CASE kind WHEN 0 THEN length(v) >= 12
+               WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
+               ELSE true END),
+s AS MATERIALIZED (
+    SELECT * FROM c
+    WHERE kind < 3 OR NOT EXISTS (
+        SELECT 1 FROM c b WHERE b.rid = c.rid AND b.kind < 3 AND b.lo < c.hi AND c.lo < b.hi)),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM s GROUP BY v),
+j AS (SELECT s.*, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || lo::BIGINT || ':' || hi::BIGINT AS said,
+             n_owners < 3 AS live
+      FROM s JOIN o USING (v) WHERE kind < 3 OR n_owners < 3),
+f AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+             count(*) FILTER (kind = 2) AS n_hex, string_agg(said, ',' ORDER BY lo, kind) FILTER (kind < 3) AS base,
+             string_agg(said, ',' ORDER BY lo, kind) AS spans, count(*) FILTER (live) AS n_live,
+             count(*) FILTER (NOT live) AS n_examples
+      FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples
+FROM d LEFT JOIN f USING (rid)
+"""
+
+
+@query("op2_secret_scan", OP2_SQL)
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.digest(secrets.scan(docs, ["doc_id"]))
