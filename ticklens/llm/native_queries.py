@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ticklens.llm import licenses, quality, secrets
+from ticklens.llm import licenses, mixing, quality, secrets
 from ticklens.llm.common import query, table
+from ticklens.session import cut_lineage
 
 # DuckDB reads \x escapes in its patterns as Java does.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -153,3 +153,45 @@ FROM d LEFT JOIN f USING (rid)
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return secrets.digest(secrets.scan(docs, ["doc_id"]))
+
+
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, '0' || source AS s0, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
+    FROM documents),
+r AS (SELECT doc_id, coalesce(s0, '1') AS s, size, key FROM d),
+g AS (SELECT s, sum(size)::BIGINT AS source_size,
+             [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::INT] AS w,
+             ((row_number() OVER (ORDER BY s) - 1) % 3)::INT AS turn
+      FROM r GROUP BY s),
+q AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio FROM g),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, s
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                / sum(w) OVER (ORDER BY ratio, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM q),
+t AS (SELECT s, source_size, turn,
+             CASE WHEN ratio > level
+                  THEN w * (SELECT arg_min(level, (ratio, s)) FROM l WHERE ratio > level) ELSE cap END AS target
+      FROM l),
+a AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS want, turn,
+             coalesce(sum(size) OVER (PARTITION BY s ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 ::BIGINT AS off
+      FROM r JOIN t USING (s))
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (greatest(least(want - off, size), 0) + greatest(least(want - source_size - off, size), 0)
+        + greatest(least(want - 2 * source_size - off, size), 0))::BIGINT AS taken,
+       CASE WHEN greatest(least(want - off, size), 0) > 0 THEN
+            CASE turn WHEN 0 THEN 2 * (off::DOUBLE / want * 5) / (3 + sqrt(9.0::DOUBLE + 8 * (off::DOUBLE / want * 5)))
+                      WHEN 1 THEN 2 * (off::DOUBLE / want * 2) / 4
+                      ELSE 2 * (off::DOUBLE / want * 1) / (1.5 + sqrt(2.25::DOUBLE - 2 * (off::DOUBLE / want * 1))) END END
+           AS position
+FROM a
+"""
+
+
+@query("op5_mix_sources", OP5_SQL)
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    narrow = cut_lineage(docs.drop("text"))
+    return mixing.mix(narrow).select("doc_id", "size", "source_size", "target", "taken", "position")
