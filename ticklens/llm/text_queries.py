@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import simhash
+from ticklens.llm import pieces, simhash
 from ticklens.llm.common import query, table
 
 
@@ -14,3 +14,11 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return simhash.grouped(docs, ["doc_id"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_decode(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
