@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import pieces, simhash
-from ticklens.llm.common import query, table
+from ticklens.llm import langid, pieces, simhash, toxicity
+from ticklens.llm.common import query, remainder, table
 
 
 @query("op7_simhash_groups")
@@ -22,3 +22,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_decode(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(F.col("doc_id"), langid.FOLDS) == 0, F.lit(False)).alias("held_out")
+    predicted = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    return predicted.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, machine, ["doc_id"]).select("doc_id", held_out, "score", "predicted")
