@@ -1,16 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words. The machine adds a weight per term and, for every two
-terms that occur together, the product of their factors: an insult next to a group mention scores more
-than both alone. Terms are chosen by how differently they occur in toxic and other texts, counted
-over all learnable rows; only the machine's weights are fitted on a sample, of ``max_fit_rows`` rows at most,
-chosen by hash. Rows whose crc32(doc_id) modulo 4 is 2 are held out; labels, language, source and id are no
-inputs of a score.
-
-Texts are not shuffled: the term sets of learnable rows meet the labels by id; scoring reads each
-text once more. Null texts count as empty and score by the bias alone. A row whose labels disagree
-counts as toxic; null labels and ids teach nothing. With nothing to learn from, every score is 0. Repeated
-rows are scored alike; other columns are only carried.
+A text is the set of its hashed words and word beginnings (inflected insults share one). The machine
+adds a weight per term and, for every two terms that occur together, the product of their factors:
+an insult next to a group mention scores more than both alone.
+
+The machine, its choice of terms included, is fitted on a sample of ``max_fit_rows`` labelled ids in expectation,
+chosen by a hash of the id. Rows whose crc32(doc_id) modulo 4 is 2 are held out; labels, language, source and id
+are no inputs of a score. Only the sample of ids, whose size is that parameter, is broadcast; texts are not
+shuffled, but for those of the sample. Scoring reads every text whole, once.
+
+Null texts count as empty and score by the bias alone. An id whose labels disagree counts as toxic, one with
+several texts teaches with the least of them; null labels and ids teach nothing. With nothing to learn from, every
+score is 0. Repeated rows are scored alike; other columns are only carried.
 """
 
 from __future__ import annotations
@@ -31,16 +32,20 @@ from ticklens.session import cut_lineage
 if TYPE_CHECKING:
     import numpy as np
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
+BEGINNINGS = (4, 5, 6)  # bytes
 FOLDS, HELD_OUT = 4, 2
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 THRESHOLD = 0.3
 
 
 def terms(text: str) -> set[int]:
-    """Buckets of the words of a text."""
+    """Buckets of the words of a text and of their beginnings."""
     words = set(WORD.findall(text.encode("utf-8", "surrogatepass").lower()))
-    return {crc32(w) & (BUCKETS - 1) for w in words}
+    found = {crc32(w) for w in words}
+    for k in BEGINNINGS:
+        found.update([crc32(w, k) for w in {w[:k] for w in words if len(w) >= k}])
+    return {h & (BUCKETS - 1) for h in found}
 
 
 @dataclass(frozen=True)
@@ -64,22 +69,30 @@ class Machine:
         return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """(terms, toxic, pick) of the rows that may teach, written once."""
+def labelled(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_fit_rows: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    toxic: str = "toxic",
+) -> DataFrame:
+    """(id, toxic, terms) of the ids that teach, written once."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [sorted(terms(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pick"), pa.array(sets, pa.list_(pa.int32()))], ["id", "pick", "terms"])  # noqa: E501
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], ["id", "toxic", "terms"])  # noqa: E501
 
-    pick = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    mine = docs.filter(remainder(F.col(doc_id), FOLDS) != HELD_OUT)
-    mine = mine.select(F.col(doc_id).cast("string").alias("id"), pick.alias("pick"), text_of(text).alias("text"))
-    said = labels.filter(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull())
-    said = said.groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    known = mine.mapInArrow(run, "id string, pick double, terms array<int>").join(said, "id")
-    return cut_lineage(known.select("terms", "toxic", "pick"))
+    learnable = F.col(toxic).isNotNull() & (remainder(F.col(doc_id), FOLDS) != HELD_OUT)
+    said = labels.filter(learnable).groupBy(F.col(doc_id).cast("string").alias("id"))
+    said = said.agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
+    share = min(1.0, max_fit_rows / max(1, said.count()))
+    some = said.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    mine = docs.select(F.col(doc_id).cast("string").alias("id"), text_of(text).alias("text"))
+    known = mine.join(F.broadcast(some), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return cut_lineage(known.mapInArrow(run, "id string, toxic int, terms array<int>"))
 
 
 def chosen_terms(rows: DataFrame, n_terms: int, min_docs: int) -> tuple[list[int], int, int]:
@@ -101,28 +114,29 @@ def train(x: np.ndarray, y: np.ndarray, factors: int, steps: int, rate: float, d
     import numpy as np
 
     rng = np.random.default_rng(7)
-    share = float(y.mean())
+    share = float(y.mean(dtype="float64"))
     p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(x.shape[1]), "v": rng.normal(0, 0.05, (x.shape[1], factors))}
+    p = {k: a.astype("float32") for k, a in p.items()}
     m = {k: np.zeros_like(a) for k, a in p.items()}
     s = {k: np.zeros_like(a) for k, a in p.items()}
     for step in range(1, steps + 1):
         sums = x @ p["v"]
         z = p["b"] + x @ p["w"] + 0.5 * ((sums**2).sum(axis=1) - (x @ (p["v"] ** 2)).sum(axis=1))
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype("float32")
         seen = x.T @ e
         g = {"b": np.array([e.sum()]), "w": seen + decay * p["w"]}
         g["v"] = x.T @ (e[:, None] * sums) - seen[:, None] * p["v"] + decay * p["v"]
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return float(p["b"][0]), p["w"], p["v"]
+            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype("float32")
+    return float(p["b"][0]), p["w"].astype("float64"), p["v"].astype("float64")
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    max_fit_rows: int = 12_000,
+    max_fit_rows: int = 24_000,
     n_terms: int = 512,
     min_docs: int = 3,
     factors: int = 8,
@@ -133,19 +147,15 @@ def fit(
 ) -> Machine:
     import numpy as np
 
-    rows = labelled(docs, labels, **names)
+    rows = labelled(docs, labels, max_fit_rows, **names)
     best, n1, n = chosen_terms(rows, n_terms, min_docs)
     empty = np.zeros((0, factors))
     if not best:
         return Machine(-500.0 if not n1 else 500.0, np.zeros(0), empty, {})
     at = {t: j for j, t in enumerate(best)}
-    share = min(1.0, max_fit_rows / n)
     kept = F.array_intersect("terms", F.array(*(F.lit(t) for t in best)))
-    some = rows.filter(F.col("pick") < share).select("pick", "toxic", kept.alias("terms")).collect()
-    some = sorted(some, key=lambda r: (r.pick, r.toxic, r.terms))[:max_fit_rows]
-    y = np.array([r.toxic for r in some], "float64")
-    if not len(y) or not 0 < y.mean() < 1:
-        return Machine(float(np.log(n1 / (n - n1))), np.zeros(0), empty, {})
+    some = sorted(rows.select("id", "toxic", kept.alias("terms")).collect(), key=lambda r: r.id)
+    y = np.array([r.toxic for r in some], "float32")
     x = np.zeros((len(some), len(best)), "float32")
     for i, r in enumerate(some):
         x[i, [at[t] for t in r.terms]] = 1
