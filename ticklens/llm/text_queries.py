@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import langid, pieces, simhash, toxicity
+from ticklens.llm import langid, pieces, simhash, topk, toxicity
 from ticklens.llm.common import query, remainder, table
 
 
@@ -38,3 +38,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held_out = F.coalesce(remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False)).alias("held_out")
     return toxicity.score(docs, machine, ["doc_id"]).select("doc_id", held_out, "score", "predicted")
+
+
+OP8_SQL = """
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op8_exact_topk", OP8_SQL)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
