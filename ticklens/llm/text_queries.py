@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import langid, pieces, simhash, topk, toxicity
+from ticklens.llm import langid, pieces, simhash, topk, toxicity, warc
 from ticklens.llm.common import query, remainder, table
 
 
@@ -55,3 +55,32 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 @query("op8_exact_topk", OP8_SQL)
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+_SHA = "sha1(coalesce(html, ''))"
+OP1_SQL = f"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_SHA} AS h,
+           max(page_id) OVER (PARTITION BY {_SHA}) AS last
+    FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+
+@query("op1_warc_round_trip", OP1_SQL)
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    found = warc.read(files)
+    return found.select(
+        warc.id_in("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.id_in("refers_to").alias("refers_to"),
+    )
