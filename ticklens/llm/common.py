@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklens.session import checkpoint_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -47,3 +50,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a folder of its own below the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -99,11 +99,11 @@ def targets(sums: DataFrame, schedules: tuple[Knots, ...]) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, source: str = "source", schedules: tuple[Knots, ...] = SCHEDULES) -> DataFrame:
-    """The rows of ``sized`` with ``source_size``, ``target``, ``taken``, ``positions`` and ``position``.
+def placed(docs: DataFrame, source: str = "source", schedules: tuple[Knots, ...] = SCHEDULES) -> DataFrame:
+    """The rows of ``sized`` with ``source_size``, ``target``, ``taken`` and ``positions``, in no order.
 
     ``taken`` counts the words that the mix takes, repeats included; ``positions`` has the training time
-    of each copy. Rows come range-sorted by position, rows that are not taken last.
+    of each copy.
     """
     bits = max(0, math.ceil(math.log2(max(1, docs.count())) / 2))
     whose = F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1"))
@@ -133,7 +133,23 @@ def mix(docs: DataFrame, source: str = "source", schedules: tuple[Knots, ...] =
             "taken": sum(copies[1:], copies[0]).cast("long"),
             "positions": F.filter(F.array(*positions), lambda x: x.isNotNull()),
         }
-    ).withColumn("position", F.get("positions", F.lit(0)))
-    return rows.orderBy(F.col("position").asc_nulls_last(), "__key").drop(
-        "__s", "__bucket", "__start", "__turn", "__at", "__key"
     )
+    return rows.drop("__s", "__bucket", "__start", "__turn", "__at")
+
+
+def mix(docs: DataFrame, source: str = "source", schedules: tuple[Knots, ...] = SCHEDULES) -> DataFrame:
+    """One row per row of ``sized``, range-sorted by its first ``position``; rows that are not taken come last."""
+    rows = placed(docs, source, schedules).withColumn("position", F.get("positions", F.lit(0)))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "__key").drop("__key")
+
+
+def copies(docs: DataFrame, source: str = "source", schedules: tuple[Knots, ...] = SCHEDULES) -> DataFrame:
+    """One row per copy that the mix takes, range-sorted by its ``position``.
+
+    A copy that is taken in part is a row if at least half of it is taken; a row without words gives none.
+    """
+    size = F.nullif(F.col("size"), F.lit(0))
+    n = F.coalesce(F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / size), F.lit(0)).cast("int")
+    rows = placed(docs, source, schedules)
+    names = [c for c in rows.columns if c not in ("positions", "position")]
+    return rows.select(*names, F.explode(F.slice("positions", 1, n)).alias("position")).orderBy("position", "__key").drop("__key")

@@ -174,3 +174,19 @@ def without_live(text: Column, found: Column, mark: str = "<secret>") -> Column:
 
     rest = lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text)))
     return F.aggregate(F.filter(found, lambda x: x.live), state, step, rest)
+
+
+def masked(docs: DataFrame, doc_id: str = "doc_id", owner: str = "source", text: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs`` with live secrets masked.
+
+    Spans are found per row and looked up by id and text hash: equal texts have equal spans, so rows that
+    repeat need no number of their own. Only rows of texts with a live span are looked up successfully.
+    """
+    key = F.xxhash64(text_of(text))
+    rows = docs.withColumn("__key", key)
+    found = scan(rows.select(doc_id, owner, text, "__key"), [doc_id, "__key"], doc_id, owner, text, **how)
+    live = found.filter(F.exists("found", lambda x: x.live)).dropDuplicates([doc_id, "__key"])
+    live = live.select(F.col(doc_id).alias("__id"), F.col("__key").alias("__k"), F.col("found").alias("__found"))
+    same = (F.col("__key") == F.col("__k")) & F.col(doc_id).eqNullSafe(F.col("__id"))
+    clean = F.when(F.col("__found").isNull(), F.col(text)).otherwise(without_live(text_of(text), F.col("__found")))
+    return rows.join(live, same, "left").withColumn(text, clean).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklens.llm import langid, pieces, simhash, topk, toxicity, warc
-from ticklens.llm.common import query, remainder, table
+from ticklens.llm.common import new_folder, query, remainder, table
 
 
 @query("op7_simhash_groups")
@@ -75,7 +75,7 @@ FROM p
 
 @query("op1_warc_round_trip", OP1_SQL)
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = warc.write(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    files = warc.write(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     found = warc.read(files)
     return found.select(
         warc.id_in("record_id").alias("page_id"),
