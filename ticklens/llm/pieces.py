@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,13 @@ from ticklens.llm.common import text_of
 SPACE = "▁"  # stands for a blank within pieces
 NEVER = float("inf")  # the rank of a pair that forms no piece
 
+Ids = tuple[str, tuple[int, ...]]  # in decimal joined by blanks, and as numbers
+
 
 class Encoder:
     """Ids of texts under one model file."""
 
-    def __init__(self, model: str, max_parts: int = 250_000):
+    def __init__(self, model: str, max_parts: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         self.library = sp = SentencePieceProcessor(model_file=model)
@@ -52,9 +55,10 @@ class Encoder:
         self.words = re.compile(r".+" if whole else rf"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
         self.end = sp.eos_id()
         self.max_parts = max_parts
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.small: dict[str, str] = {}
+        self.known: dict[str, Ids] = {}
+        self.older: dict[str, Ids] = {}
+        self.small: dict[str, tuple[int, ...]] = {}
+        self.digits = [str(i) for i in ids]
 
     def merged(self, part: str) -> list[str]:
         """The pieces of one part, by the agenda."""
@@ -63,15 +67,15 @@ class Encoder:
     def _merged_short(self, part: str) -> list[str]:
         """The agenda as a list beside the symbols: the least rank comes first, the leftmost of equals."""
         rank, symbols = self.rank_of.get, list(part)
-        agenda = [rank(part[i : i + 2], NEVER) for i in range(len(part) - 1)]
+        agenda = [rank(a + b, NEVER) for a, b in zip(part, part[1:], strict=False)]
         while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+                agenda[i - 1] = rank(symbols[i - 1] + joined, NEVER)
             if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+                agenda[i] = rank(joined + symbols[i + 1], NEVER)
         return symbols
 
     def _merged_long(self, part: str) -> list[str]:
@@ -110,66 +114,76 @@ class Encoder:
                 out.append(self.library.unk_id())
         return tuple(out)
 
-    def _joined(self, word: str) -> str:
-        """The ids, as text, of a run of symbols, from those of its parts."""
-        pairs, small, said = self.pairs, self.small, []
+    def _joined(self, word: str) -> list[int]:
+        """The ids of a run of symbols, from those of its parts."""
+        pairs, small, out, start = self.pairs, self.small, [], 0
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
-        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            if (ids := small.get(part := word[a:b])) is None:
+        cuts.append(len(word))
+        for end in cuts:
+            part = word[start:end]
+            start = end
+            if (ids := small.get(part)) is None:
                 if len(small) >= self.max_parts:
                     small.clear()
-                ids = small[part] = " ".join(map(str, self._ids(part)))
-            said.append(ids)
-        return " ".join(said)
+                ids = small[part] = self._ids(part)
+            out += ids
+        return out
+
+    def _said(self, ids: list[int]) -> str:
+        return " ".join([self.digits[i] for i in ids])
 
-    def _learn(self, words: list[str]) -> dict[str, str]:
+    def _learn(self, words: list[str]) -> dict[str, Ids]:
         """Words that come after one blank: by the agenda, each compared with the library."""
         new = {}
         for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True):
-            new[word] = said = self._joined(SPACE + word)
-            if said != " ".join(map(str, ids)):
+            own = self._joined(SPACE + word)
+            if own != ids:
                 raise ValueError(f"agenda and library differ on {word!r}")
+            new[word] = (self._said(own), tuple(own))
         return new
 
-    def _whole(self, text: str) -> str:
+    def _whole(self, text: str) -> Ids:
         """Any text, compared with the library as a whole."""
-        said = [self._joined(w) for w in self.words.findall(self.library.normalize(text))]
-        ids = " ".join(s for s in said if s).split(" ") if said else []
+        ids = [i for w in self.words.findall(self.library.normalize(text)) for i in self._joined(w)]
         if not self.fallback:  # the library reports a run of unknowns once
-            unk = str(self.library.unk_id())
+            unk = self.library.unk_id()
             ids = [i for j, i in enumerate(ids) if i != unk or j == 0 or ids[j - 1] != i]
-        if ids != [str(i) for i in self.library.encode(text)]:
+        if ids != self.library.encode(text, num_threads=1):
             raise ValueError(f"agenda and library differ on {text[:200]!r}")
-        return " ".join(ids)
+        return self._said(ids), tuple(ids)
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """The ids of each text in decimal joined by blanks, the end id included.
+    def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
+        """The ids of each text, in decimal joined by blanks and as numbers, the end id included.
 
         In a plain text, words are set apart by one blank each and nothing else is changed before
         encoding: such texts are put together from words that are at hand or learned for this batch.
         """
-        said, todo, missing, get = [""] * len(texts), {}, set(), self.known.get
+        parts: list[list[Ids]] = [[] for _ in texts]
+        todo, missing, get = {}, set(), self.known.get
         for k, text in enumerate(texts):
             words = text.split(" ")
             plain = self.cut_at_blanks and "" not in words and SPACE not in text
             if not plain or self.library.normalize(text) != SPACE + text.replace(" ", SPACE):
-                said[k] = self._whole(text)
+                parts[k] = [self._whole(text)] if text else []
                 continue
-            found = list(map(get, words))
+            parts[k] = found = list(map(get, words))
             if None in found:
                 todo[k] = words
-                missing.update(w for w, ids in zip(words, found, strict=True) if ids is None)
-            else:
-                said[k] = " ".join(found)
+                missing.update([w for w, ids in zip(words, found, strict=True) if ids is None])
         old = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
         new = old | self._learn([w for w in missing if w not in old])
         for k, words in todo.items():
-            said[k] = " ".join([get(w) or new[w] for w in words])
+            parts[k] = [p or new[w] for p, w in zip(parts[k], words, strict=True)]
         if len(self.known) + len(new) > self.max_parts:  # what was not asked for since the last time goes
             self.known, self.older = new, self.known
         else:
             self.known.update(new)
-        return [f"{s} {self.end}" if s else str(self.end) for s in said]
+        last = (str(self.end), (self.end,))
+        out = []
+        for each in parts:
+            said, ids = zip(*each, last, strict=True)
+            out.append((" ".join([s for s in said if s]), list(chain.from_iterable(ids))))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -189,14 +203,13 @@ def encode_decode(docs: DataFrame, carry: list[str], model: str, text: str = "te
                 yield one(own, batch.slice(at, 256))
 
     def one(own: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("__text").to_pylist()
-        said = own.encode(texts)
-        ids = [list(map(int, x.split(" "))) for x in said]
-        plain = own.library.decode(ids, num_threads=1)
+        texts = batch.columns[-1].to_pylist()
+        said, ids = zip(*own.encode(texts), strict=True)
+        plain = own.library.decode(list(ids), num_threads=1)
         digest = lambda xs: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string())
-        made = [pa.array(map(len, ids), pa.int64()), digest(said), digest(plain)]
+        made = [pa.array([len(x) for x in ids], pa.int64()), digest(said), digest(plain)]
         if keep_ids:
-            made += [pa.array(ids, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+            made += [pa.array(list(ids), pa.list_(pa.int32())), pa.array(plain, pa.string())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*carry, *(f.name for f in fields)])
 
     fields = [
