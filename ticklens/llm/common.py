@@ -47,6 +47,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns c0, c1, …, which no helper column can clash with; their names; and the way back."""
+    names = docs.columns
+    short = [f"c{i}" for i in range(len(names))]
+    return docs.toDF(*short), dict(zip(names, short, strict=True)), lambda df: df.select(*short).toDF(*names)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

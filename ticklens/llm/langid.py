@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import remainder
+from ticklens.llm.common import remainder, set_aside
 
 if TYPE_CHECKING:
     import numpy as np
@@ -181,17 +181,17 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [one(t.as_py()) for t in batch.column("__text")]
+            said = [one(t.as_py()) for t in batch.columns[at]]
             made = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*carry, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], [*carry, "lang_pred", "score", "rejected"])
 
-    rows = docs.select(*carry, F.col(text).alias("__text"))
+    at = carry.index(text) if text in carry else len(carry)
+    rows = docs.select(*dict.fromkeys([*carry, text]))
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]  # noqa: E501
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(carry)], *made]))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    names = docs.columns
-    marked = predict(docs.withColumn("__t", F.col(text)), model, names, "__t")
-    return marked.filter(~F.col("rejected")).select(*names)
+    rows, name, back = set_aside(docs)
+    return back(predict(rows, model, rows.columns, name[text]).filter(~F.col("rejected")))

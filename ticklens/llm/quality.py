@@ -3,7 +3,7 @@
 A document is judged from its own text alone: no join, no shuffle, no state. Null and empty
 texts have no words and fail the length rule. Equal rows get equal verdicts; other columns of
 the input are carried along untouched, whatever their names (the result overwrites only the
-names in ``MEASURES`` and the verdict columns).
+names in ``OWN``, the ratios and the verdict columns).
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from ticklens.llm.common import SPACES, let, text_of, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+#: Names that the measures take.
+OWN = {*MEASURES, "stop_words", "__words", "__lines", "__symbols", "__bare", "__n_lines", "__bullets", "__ellipses"}
+
 #: Words without a letter.
 BARE = rf"(?<![^{SPACES}])[^{SPACES}\p{{L}}]++(?![^{SPACES}])"
 
@@ -86,7 +89,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of ``MEASURES`` and the ratios that ``RULES`` names."""
     t = text_of(text)
     stop = F.array(*(F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()})))
-    kept = list(docs.columns)
+    kept = [c for c in docs.columns if c not in OWN]
     split = docs.select(
         *kept,
         words_of(t).alias("__words"),
@@ -97,7 +100,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     w, lines = F.col("__words"), F.col("__lines")
     flat = F.array_join(w, "")
     counted = split.select(
-        *(c for c in kept if c not in MEASURES),
+        *kept,
         F.size(w).cast("long").alias("n_words"),
         F.length(flat).cast("long").alias("word_chars"),
         F.col("__symbols").cast("long").alias("n_symbols"),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticklens.llm.common import text_of
+from ticklens.llm.common import set_aside, text_of
 from ticklens.session import cut_lineage
 
 
@@ -182,11 +182,12 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", owner: str = "source", text:
     Spans are found per row and looked up by id and text hash: equal texts have equal spans, so rows that
     repeat need no number of their own. Only rows of texts with a live span are looked up successfully.
     """
-    key = F.xxhash64(text_of(text))
-    rows = docs.withColumn("__key", key)
-    found = scan(rows.select(doc_id, owner, text, "__key"), [doc_id, "__key"], doc_id, owner, text, **how)
-    live = found.filter(F.exists("found", lambda x: x.live)).dropDuplicates([doc_id, "__key"])
-    live = live.select(F.col(doc_id).alias("__id"), F.col("__key").alias("__k"), F.col("found").alias("__found"))
-    same = (F.col("__key") == F.col("__k")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    clean = F.when(F.col("__found").isNull(), F.col(text)).otherwise(without_live(text_of(text), F.col("__found")))
-    return rows.join(live, same, "left").withColumn(text, clean).select(*docs.columns)
+    rows, name, back = set_aside(docs)
+    mine, whose, t = name[doc_id], name[owner], name[text]
+    rows = rows.withColumn("key", F.xxhash64(text_of(t)))
+    found = scan(rows.select(mine, whose, t, "key"), [mine, "key"], mine, whose, t, **how)
+    live = found.filter(F.exists("found", lambda x: x.live)).dropDuplicates([mine, "key"])
+    live = live.select(F.col(mine).alias("id"), F.col("key").alias("k"), "found")
+    same = (F.col("key") == F.col("k")) & F.col(mine).eqNullSafe(F.col("id"))
+    clean = F.when(F.col("found").isNull(), F.col(t)).otherwise(without_live(text_of(t), F.col("found")))
+    return back(rows.join(live, same, "left").withColumn(t, clean))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import text_of
+from ticklens.llm.common import set_aside, text_of
 from ticklens.llm.graph import components
 from ticklens.session import cut_lineage
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").cast(pa.binary())
+            texts = batch.columns[-1].cast(pa.binary())
             prints = [fingerprint(texts[i].as_py()) for i in range(len(texts))]
             signed = pa.array([p - (1 << BITS) if p >> (BITS - 1) else p for p in prints], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed], [*carry, "fp"])
@@ -145,10 +145,11 @@ def grouped(
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id, then text hash."""
-    key = F.xxhash64(text_of(text))
-    rows = docs.withColumn("__key", key)
-    known = grouped(rows.select(doc_id, "__key", text), [doc_id, "__key"], doc_id, text, **how)
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__key").alias("key")))
-    kept = known.groupBy("root").agg(first.alias("k")).select("k.id", "k.key")
-    same = rows[doc_id].eqNullSafe(kept["id"]) & (rows["__key"] == kept["key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key")
+    rows, name, back = set_aside(docs)
+    mine, t = name[doc_id], name[text]
+    rows = rows.withColumn("key", F.xxhash64(text_of(t)))
+    known = grouped(rows.select(mine, "key", t), [mine, "key"], mine, t, **how)
+    first = F.min(F.struct(F.col(mine).isNull().alias("none"), F.col(mine).alias("id"), F.col("key").alias("k")))
+    kept = known.groupBy("root").agg(first.alias("of")).select("of.id", "of.k")
+    same = F.col(mine).eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
+    return back(rows.join(kept, same, "left_semi").dropDuplicates([mine, "key"]))

@@ -66,7 +66,7 @@ class Machine:
             rows.sort()  # one order of summing, whatever the set's
             v = self.factors[rows]
             z += float(self.weights[rows].sum() + 0.5 * (v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
+        return float(1 / (1 + np.exp(-z))) if z > -500 else 0.0
 
 
 def labelled(
@@ -151,7 +151,7 @@ def fit(
     best, n1, n = chosen_terms(rows, n_terms, min_docs)
     empty = np.zeros((0, factors))
     if not best:
-        return Machine(-500.0 if not n1 else 500.0, np.zeros(0), empty, {})
+        return Machine(-np.inf if not n1 else np.inf, np.zeros(0), empty, {})
     at = {t: j for j, t in enumerate(best)}
     kept = F.array_intersect("terms", F.array(*(F.lit(t) for t in best)))
     some = sorted(rows.select("id", "toxic", kept.alias("terms")).collect(), key=lambda r: r.id)
@@ -169,7 +169,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str], text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [machine.score(t.as_py()) for t in batch.column("__text")]
+            s = [machine.score(t.as_py()) for t in batch.columns[-1]]
             made = [pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*carry, "score", "predicted"])
 
