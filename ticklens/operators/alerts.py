@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import deque
 
 import pandas as pd
@@ -78,6 +79,11 @@ def accept(
 
     if cfg.cooldown_ms < MINUTE_MS:
         raise ValueError("the cooldown must cover the cap window")
+    # At most ``cap`` pairs a minute start to cool down, so of an instant's candidates, in their order, no
+    # more than that many times the minutes of a cooldown can be passed over before the cap is reached.
+    enough = cfg.max_per_min * (math.ceil(cfg.cooldown_ms / MINUTE_MS) + 2)
+    place = F.dense_rank().over(Window.partitionBy("ts").orderBy("symbol", "event"))
+    slim = slim.withColumn("_n", place).filter(F.col("_n") <= enough).drop("_n")
     warm = max(cfg.cooldown_ms, MINUTE_MS) + MINUTE_MS
     return handoff_fold(slim, cfg.slice_ms, warm, fold, slim.schema)
 

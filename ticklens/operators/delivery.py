@@ -35,7 +35,7 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
     symbol and what is inside the cooldown or the minute.
     """
     slim = events.select("ts", "symbol", "event", F.coalesce("status", F.lit("")).alias("status"))
-    out = slim.schema.add(T.StructField("decision", T.StringType()))
+    out = T.StructType([*slim.schema.fields, T.StructField("decision", T.StringType())])
 
     def fold(pdf: pd.DataFrame, state: str, end_ms: int) -> tuple[pd.DataFrame, str]:
         saved = json.loads(state) if state else {"sent": [], "status": {}}

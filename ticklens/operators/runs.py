@@ -44,11 +44,10 @@ def status_runs(
     carried = F.last(since_end, ignorenulls=True).over(
         by_slice.rowsBetween(Window.unboundedPreceding, -1)
     )
-    level = level.select(
-        *keys, SLICE, F.when(F.col("broken"), F.col("head_ts")).otherwise(carried).alias("_in")
-    )
+    cell = F.struct(*keys, SLICE).alias("_cell")  # nulls in a struct meet each other
+    level = level.select(cell, F.when(F.col("broken"), F.col("head_ts")).otherwise(carried).alias("_in"))
     inside = F.last("_chg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.join(level, [*keys, SLICE]).withColumn("status_since", F.coalesce(inside, "_in"))
+    out = rows.withColumn("_cell", cell).join(level, "_cell").withColumn("status_since", F.coalesce(inside, "_in"))
     return out.select(
         *df.columns, "status_since", (F.col(ts) - F.col("status_since")).alias("status_ms")
     )

@@ -1,28 +1,20 @@
-"""Grouped Python helpers over small cells, many cells to a call.
+"""Python helpers over cells, streamed from sorted partitions.
 
-A cell is one (key, slice): bounded, but often tiny, and a call per cell would cost
-more than its work. Cells are hashed into a few groups per shuffle partition; the
-helper still sees one cell at a time.
+A cell is one (key, slice): bounded by the slice, and often tiny. Rows are dealt by cell, as
+many partitions as the data needs, and sorted; the helper then takes one cell after another off
+the batches of a partition. What Python holds is one cell and one batch, whatever the data size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP = "_group"
-GROUPS_PER_PARTITION = 4
-
-
-def _grouped(df: DataFrame, cells: Sequence[str]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = F.pmod(F.xxhash64(*cells), F.lit(n * GROUPS_PER_PARTITION)).cast("int")
-    # An explicit number of partitions is not merged by size: rows are few, but not cheap.
-    return df.withColumn(GROUP, group).repartition(n, GROUP)
+OUT_ROWS = 10_000
 
 
 def _schema(schema: str | T.StructType) -> tuple[str | T.StructType, list[str]]:
@@ -31,9 +23,33 @@ def _schema(schema: str | T.StructType) -> tuple[str | T.StructType, list[str]]:
     return schema, schema.fieldNames()
 
 
-def _join(parts: list[pd.DataFrame], names: list[str]) -> pd.DataFrame:
-    parts = [p for p in parts if len(p)]
-    return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
+
+
+def sorted_cells(batches: Iterator[pd.DataFrame], cells: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(cell key, rows) of every cell of batches that are sorted by ``cells``; null keys are keys."""
+    held: list[pd.DataFrame] = []
+    held_key: tuple = ()
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        starts = np.zeros(len(pdf), bool)
+        starts[0] = True
+        for c in cells:
+            now, before = pdf[c], pdf[c].shift()
+            starts |= ((now != before) & ~(now.isna() & before.isna())).to_numpy()
+        at = np.flatnonzero(starts)
+        for a, b in zip(at, [*at[1:], len(pdf)], strict=True):
+            part = pdf.iloc[a:b]
+            key = tuple(part[c].iloc[0] for c in cells)
+            if held and not _same(key, held_key):
+                yield held_key, pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+            held_key = key
+    if held:
+        yield held_key, pd.concat(held, ignore_index=True)
 
 
 def by_cell(
@@ -46,11 +62,20 @@ def by_cell(
     cells = list(cells)
     schema, names = _schema(schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [fn(key, part) for key, part in pdf.drop(columns=GROUP).groupby(cells, sort=False)]
-        return _join(got, names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, n = [], 0
+        for key, rows in sorted_cells(batches, cells):
+            got = fn(key, rows)
+            if len(got):
+                parts.append(got)
+                n += len(got)
+            if n >= OUT_ROWS:
+                yield pd.concat(parts, ignore_index=True)[names]
+                parts, n = [], 0
+        if parts:
+            yield pd.concat(parts, ignore_index=True)[names]
 
-    return _grouped(df, cells).groupBy(GROUP).applyInPandas(run, schema)
+    return df.repartition(*cells).sortWithinPartitions(*cells).mapInPandas(run, schema)
 
 
 def by_cell_with(
@@ -60,16 +85,11 @@ def by_cell_with(
     fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str | T.StructType,
 ) -> DataFrame:
-    """``fn(cell key, rows, rows of other)`` for every cell of ``df``."""
+    """``fn(cell key, rows, rows of other)`` for every cell of ``df``; Spark hands over one cell at a time."""
     cells = list(cells)
     schema, names = _schema(schema)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.drop(columns=GROUP)
-        found = dict(list(right.groupby(cells, sort=False)))
-        none = right.iloc[:0]
-        rows = left.drop(columns=GROUP).groupby(cells, sort=False)
-        return _join([fn(key, part, found.get(key, none)) for key, part in rows], names)
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return fn(key, left, right)[names] if len(left) else pd.DataFrame(columns=names)
 
-    a, b = _grouped(df, cells).groupBy(GROUP), _grouped(other, cells).groupBy(GROUP)
-    return a.cogroup(b).applyInPandas(run, schema)
+    return df.groupBy(*cells).cogroup(other.groupBy(*cells)).applyInPandas(run, schema)

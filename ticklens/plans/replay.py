@@ -26,7 +26,7 @@ class ChainConfig:
     score: ScoreConfig = field(default_factory=ScoreConfig)
     rank: RankConfig = field(default_factory=RankConfig)
     alert: AlertConfig = field(default_factory=AlertConfig)
-    max_symbols: int | None = 500
+    max_symbols: int | None = None
     data_ticks: bool = False  # ticks set by the events instead of the epoch grid
     with_text: bool = False
 

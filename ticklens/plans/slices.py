@@ -82,9 +82,11 @@ def running(
 
     ``order`` must be total within a key and start with the column that
     ``slice_expr`` grows with. With ``inclusive=False`` the row itself is left out.
+    Null keys are keys like any other; rows without a place in time come first.
     """
     keys = list(keys)
-    base = df.withColumn("_sl", slice_expr)
+    # A cell is a struct, so that nulls in it meet each other in the join below.
+    base = df.withColumn("_sl", slice_expr).withColumn("_cell", F.struct(*keys, "_sl"))
     order_key = F.struct(*[F.col(c) for c in order])
 
     partials = []
@@ -102,10 +104,10 @@ def running(
         c = F.col(f"_p{i}")
         v = F.last(c, ignorenulls=True) if r.kind == "last" else _AGG[r.kind](c)
         carried.append(v.over(before).alias(f"_c{i}"))
-    level = level.select(*keys, "_sl", *carried)
+    level = level.select(F.struct(*keys, "_sl").alias("_cell"), *carried)
 
-    inside = Window.partitionBy(*keys, "_sl").orderBy(*order)
-    joined = base.join(level, [*keys, "_sl"])
+    inside = Window.partitionBy("_cell").orderBy(*order)
+    joined = base.join(level, "_cell")
     local = []
     for i, r in enumerate(runs):
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)

@@ -125,7 +125,7 @@ _BOOKS = """WITH lv AS (SELECT l_orderkey AS id, l_linenumber, floor(l_extendedp
     take AS (SELECT c.*, o.usd, CASE WHEN price * qty >= usd - used THEN (usd - used) / price ELSE qty END AS got FROM cum c JOIN o USING (id) WHERE usd - used > 0),
     tot AS (SELECT id, any_value(usd) AS usd, arg_max(qty_before + got, i) AS q, arg_max(used + got * price, i) AS cost FROM take GROUP BY 1),
     imp AS (SELECT o.id, ask, o.usd, CASE WHEN o.usd <= 0 THEN 0 WHEN q IS NULL OR q <= 0 THEN 100
-      ELSE least(greatest((cost / q - (ask - 1)) / (ask - 1) * 10000, 0), 100) END AS impact FROM o JOIN best b USING (id) LEFT JOIN tot t USING (id))"""
+      ELSE least(greatest((cost / q - (ask - 1)) / (ask - 1) * 10000, 0), 100) END AS impact FROM o LEFT JOIN best b USING (id) LEFT JOIN tot t USING (id))"""
 
 
 def _book_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +141,8 @@ def _book_rows(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") * 50).cast("double").alias("usd")
     )
-    return asks.join(o, "id").withColumn("ask", F.get("asks", F.lit(0))["price"])
+    rows = o.join(asks, "id", "left").withColumn("asks", F.coalesce("asks", F.array().cast(asks.schema["asks"].dataType)))
+    return rows.withColumn("ask", F.get("asks", F.lit(0))["price"])
 
 
 @query("book_impact", _BOOKS + f" SELECT id, usd, {S.rnd('impact', 4)} AS impact_bps FROM imp")
@@ -154,8 +155,8 @@ def book_impact(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "execution_costs",
     _BOOKS.replace("floor(o_totalprice * 50)", "0.01::DOUBLE * (floor(o_totalprice * 50) * 100)")
-    + f""" SELECT id, p AS profile, {S.rnd("2 / (ask - 1) * 10000", 6)} AS spread_bps, CASE p WHEN 'a' THEN 2 ELSE 4 END::DOUBLE AS fees_bps,
-    {S.rnd("impact", 4)} AS impact_bps, {S.rnd("2 / (ask - 1) * 10000 + CASE p WHEN 'a' THEN 2 ELSE 4 END + impact", 4)} AS total_bps
+    + f""" SELECT id, p AS profile, {S.rnd("coalesce(2 / (ask - 1) * 10000, 0)", 6)} AS spread_bps, CASE p WHEN 'a' THEN 2 ELSE 4 END::DOUBLE AS fees_bps,
+    {S.rnd("impact", 4)} AS impact_bps, {S.rnd("coalesce(2 / (ask - 1) * 10000, 0) + CASE p WHEN 'a' THEN 2 ELSE 4 END + impact", 4)} AS total_bps
     FROM imp, (VALUES ('a'), ('b')) v(p)""",
 )
 def execution_costs(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +211,7 @@ def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- metrics over documents and their labels --------------------------------------------
 
-_DOCS = """WITH d AS (SELECT lang, doc_id, source, quality AS y, toxic, least(n_chars, 4000) / 4000.0::DOUBLE AS score, n_chars::DOUBLE AS edge FROM documents JOIN labels USING (doc_id)),
+_DOCS = """WITH d AS (SELECT lang, doc_id, source, quality AS y, toxic, n_chars::DOUBLE / (n_chars + 1000) AS score, n_chars::DOUBLE AS edge FROM documents JOIN labels USING (doc_id)),
     pairs AS (SELECT a.lang, sum(CASE WHEN a.score >= b.score THEN 1 ELSE 0 END)::DOUBLE AS wins FROM d a JOIN d b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY 1),
     cnt AS (SELECT lang, count(*) AS n, sum(y)::BIGINT AS p FROM d GROUP BY 1),
     pos AS (SELECT *, row_number() OVER w AS i, sum(y) OVER (PARTITION BY lang ORDER BY score DESC, y DESC ROWS UNBOUNDED PRECEDING) AS tp FROM d WINDOW w AS (PARTITION BY lang ORDER BY score DESC, y DESC)),
@@ -223,7 +224,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
         "lang",
         F.col("quality").alias("y"),
         "toxic",
-        (F.least(n, F.lit(4000)) / 4000.0).alias("score"),
+        (n.cast("double") / (n + 1000)).alias("score"),
         n.cast("double").alias("edge"),
         "doc_id",
     )
@@ -411,21 +412,23 @@ def platt_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fit_sql(iters: int) -> str:
-    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT y, ln(q / (1 - q)) AS x FROM (SELECT quality AS y, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, least(n_chars, 4000) / 4000.0::DOUBLE)) AS q
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT y, ln(q / (1 - q)) AS x FROM (SELECT quality AS y, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, n_chars::DOUBLE / (n_chars + 1000))) AS q
         FROM documents JOIN labels USING (doc_id))),
       k AS (SELECT count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM d),
       g AS MATERIALIZED (SELECT x, CASE WHEN y = 1 THEN (p + 1) / (p + 2) ELSE 1 / (n - p + 2) END AS t, n FROM d, k),
-      it AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b
-        UNION ALL SELECT i + 1, a - 0.1::DOUBLE * ga, b - 0.1::DOUBLE * gb FROM (
-          SELECT it.i, any_value(it.a) AS a, any_value(it.b) AS b, sum((1 / (1 + exp(-(it.a * g.x + it.b))) - g.t) * g.x) / any_value(g.n) AS ga,
-            sum(1 / (1 + exp(-(it.a * g.x + it.b))) - g.t) / any_value(g.n) AS gb FROM it, g WHERE it.i < {iters} GROUP BY it.i))
-      SELECT 'quality' AS head, {S.rnd("a", 5)} AS a, {S.rnd("b", 5)} AS b FROM it WHERE i = {iters}"""
+      it AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, NULL::DOUBLE AS loss
+        UNION ALL SELECT i + 1, a - 0.1::DOUBLE * ga, b - 0.1::DOUBLE * gb, now FROM (
+          SELECT i, any_value(a) AS a, any_value(b) AS b, any_value(loss) AS loss, sum((p - t) * x) / any_value(n) AS ga, sum(p - t) / any_value(n) AS gb,
+            sum(-(t * ln(greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, p))) + (1 - t) * ln(1 - greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, p))))) / any_value(n) AS now
+          FROM (SELECT it.*, g.x, g.t, g.n, 1 / (1 + exp(-(it.a * g.x + it.b))) AS p FROM it, g WHERE it.i < {iters}) GROUP BY i)
+          WHERE loss IS NULL OR abs(loss - now) >= 1e-6)
+      SELECT 'quality' AS head, {S.rnd("a", 5)} AS a, {S.rnd("b", 5)} AS b FROM it ORDER BY i DESC LIMIT 1"""
 
 
-@query("fit_platt", _fit_sql(10))
+@query("fit_platt", _fit_sql(100))
 def fit_platt(spark: SparkSession, sf: str) -> DataFrame:
     long = _docs(spark, sf).select(F.lit("quality").alias("head"), "score", "y")
-    got = calibration.fit_platt(long, max_iter=10, tol=0.0, reject_negative_slope=False)
+    got = calibration.fit_platt(long, reject_negative_slope=False)
     return calibration.calibrators_table(long, got).select(
         "head", rnd(F.col("a"), 5).alias("a"), rnd(F.col("b"), 5).alias("b")
     )
@@ -435,7 +438,7 @@ def fit_platt(spark: SparkSession, sf: str) -> DataFrame:
 def calibrate_all(spark: SparkSession, sf: str) -> DataFrame:
     lab, _ = _both(spark, sf)
     df = labels.labels_wide(lab).join(_scores(lab), ["symbol", "ts"])
-    return calibration.calibrate_all(df, max_iter=5, reject_negative_slope=False)
+    return calibration.calibrate_all(df, reject_negative_slope=False)
 
 
 # --- texts ------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ticklens.schemas import MARKET_EVENT
 
@@ -17,7 +18,7 @@ def read_market_events(spark: SparkSession, path: str, on_error: str = "skip") -
     """
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error is skip or fail")
-    schema = MARKET_EVENT.add("_bad", "string")
+    schema = StructType([*MARKET_EVENT.fields, StructField("_bad", StringType())])
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad")
     if on_error == "fail":
         rows = spark.read.schema(MARKET_EVENT).option("mode", "FAILFAST").json(path)

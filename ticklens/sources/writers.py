@@ -153,7 +153,7 @@ def deliver_batch(
                 try:
                     sink(batch, epoch_id)
                 except Exception as e:  # noqa: BLE001
-                    error = str(e)[:200]
+                    error = str(e)
             results.append((epoch_id, "dry_run" if dry_run else name, error is None, error))
         return batch.sparkSession.createDataFrame(
             results, "epoch_id long, sink string, success boolean, error string"
