@@ -230,8 +230,11 @@ def records_in(file, path: str, size: int, start: int, end: int) -> Iterator[tup
         pos = found[1]
 
 
-def read(files: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
-    """Records of the archives in ``files`` (path, length); see ``RECORD_SCHEMA``."""
+def read(files: DataFrame, range_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
+    """Records of the archives in ``files`` (path, length); see ``RECORD_SCHEMA``.
+
+    Without ``payloads`` they are read and compared with their digests, but not handed on.
+    """
     import pyarrow as pa
 
     names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
@@ -248,9 +251,11 @@ def read(files: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
                 rows, held = [], 0
                 with fs.open_input_file(name) as file:
                     for r in records_in(file, path, size, start, min(size, start + range_bytes)):
+                        if not payloads:
+                            r = (*r[:8], None, r[9])
                         rows.append(r)
-                        held += r[7]
-                        if held > 8 << 20 or len(rows) >= 4096:
+                        held += len(r[8] or b"")
+                        if held > 4 << 20 or len(rows) >= 4096:
                             yield packed(rows)
                             rows, held = [], 0
                 yield packed(rows)
