@@ -1,13 +1,16 @@
 """Rows that must not be lost, and the size of what is handed to Python."""
 
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ticklens.operators.alerts import accept
+from ticklens.operators.delivery import dedupe_deliveries
 from ticklens.operators.runs import status_runs
-from ticklens.config import AlertConfig
+from ticklens.config import AlertConfig, DeliveryConfig
+from ticklens.plans import handoff
 from ticklens.plans.cells import by_cell, by_cell_with, sorted_cells
 from ticklens.plans.slices import Run, running, slice_of
 from ticklens.sources.readers import read_market_events
@@ -73,3 +76,41 @@ def test_capped_alerts_of_many_symbols_at_an_instant(spark):
             recent.append(t)
             want.append((t, s, e))
     assert got == want
+
+
+def plain_deliveries(rows, cfg):
+    last, status, recent, said = {}, {}, [], []
+    for t, s, e, now in sorted(rows):
+        recent = [x for x in recent if x >= t - 60_000]
+        if len(recent) >= cfg.max_per_min:
+            said.append((t, s, e, now, "rate_limit"))
+        elif t - last.get((s, e), -(10**12)) < cfg.cooldown_ms:
+            said.append((t, s, e, now, "cooldown"))
+        elif cfg.transition_only and now and status.get(s) == now:
+            said.append((t, s, e, now, "duplicate"))
+        else:
+            if now and cfg.transition_only:
+                status[s] = now
+            last[s, e] = t
+            recent.append(t)
+            said.append((t, s, e, now, "passed"))
+    return said
+
+
+def test_delivery_passes_do_not_grow_with_the_slices(spark, monkeypatch):
+    """Statuses remembered from long ago, a cap that binds now and then, 4 and 12 slices."""
+    rng = random.Random(8)
+    cfg = DeliveryConfig(cooldown_ms=60_000, max_per_min=5, slice_ms=600_000)
+    passes = []
+    for slices in (4, 12):
+        rows = [(rng.randrange(slices * 600_000), f"s{rng.randrange(30):02d}", rng.choice("ab"), rng.choice(["", "W", "T", "T"])) for _ in range(slices * 30)]
+        rows = sorted({r[:3]: r for r in rows}.values())
+        n = [0]
+        cut = handoff.cut_lineage
+        monkeypatch.setattr(handoff, "cut_lineage", lambda df, n=n, cut=cut: (n.__setitem__(0, n[0] + 1), cut(df))[1])
+        df = spark.createDataFrame(rows, "ts long, symbol string, event string, status string")
+        got = sorted(tuple(r) for r in dedupe_deliveries(df, cfg).collect())
+        monkeypatch.undo()
+        assert got == sorted(plain_deliveries(rows, cfg))
+        passes.append(n[0])
+    assert passes[1] <= passes[0] + 6, passes  # three tables a pass

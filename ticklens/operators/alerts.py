@@ -75,7 +75,7 @@ def accept(
         live = [
             [t, s, e] for (s, e), t in last.items() if t > end_ms - max(cfg.cooldown_ms, MINUTE_MS + 1)
         ]
-        return pd.DataFrame(got, columns=["ts", "symbol", "event"]), json.dumps(sorted(live))
+        return pd.DataFrame(got, columns=["ts", "symbol", "event"]), json.dumps(sorted(live)) if live else ""
 
     if cfg.cooldown_ms < MINUTE_MS:
         raise ValueError("the cooldown must cover the cap window")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ticklens.config import DeliveryConfig
 from ticklens.functions.text import format_event, utc_text
-from ticklens.plans.handoff import handoff_fold
+from ticklens.plans.handoff import WAS, Memory, handoff_fold
 
 MINUTE_MS = 60_000
 
@@ -31,16 +31,15 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
 
     ``events``: ts, symbol, event, status (null or '' without a prediction). The cap
     and the status memory make the rule sequential over a universe; it runs as a
-    handoff fold over the events, on event time. The state holds one status per
-    symbol and what is inside the cooldown or the minute.
+    handoff fold over the events, on event time. The state holds what is inside the
+    cooldown or the minute; the last status sent of each symbol is the fold's memory.
     """
     slim = events.select("ts", "symbol", "event", F.coalesce("status", F.lit("")).alias("status"))
     out = T.StructType([*slim.schema.fields, T.StructField("decision", T.StringType())])
 
     def fold(pdf: pd.DataFrame, state: str, end_ms: int) -> tuple[pd.DataFrame, str]:
-        saved = json.loads(state) if state else {"sent": [], "status": {}}
-        status = dict(saved["status"])
-        last = {(s, e): t for t, s, e in saved["sent"]}
+        status = {s: w for s, w in zip(pdf["symbol"], pdf[WAS], strict=True) if isinstance(w, str)}
+        last = {(s, e): t for t, s, e in json.loads(state or "[]")}
         recent = deque(sorted(last.values()))
         pdf = pdf.sort_values(["ts", "symbol", "event"])
         said = []
@@ -63,12 +62,14 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
                 said.append("passed")
         keep = max(cfg.cooldown_ms, MINUTE_MS + 1)
         live = sorted([t, s, e] for (s, e), t in last.items() if t > end_ms - keep)
-        state = json.dumps({"sent": live, "status": dict(sorted(status.items()))}) if last or status else ""
-        return pdf.assign(decision=said), state
+        return pdf.assign(decision=said), json.dumps(live) if live else ""
 
     if cfg.cooldown_ms < MINUTE_MS:
         raise ValueError("the cooldown must cover the cap window")
-    return handoff_fold(slim, cfg.slice_ms, cfg.cooldown_ms + MINUTE_MS, fold, out)
+    said = F.when(F.col("status") != "", F.col("status"))
+    sent = F.when(F.col("decision") == "passed", said)
+    memory = Memory("symbol", said, sent, ("ts", "event"))
+    return handoff_fold(slim, cfg.slice_ms, cfg.cooldown_ms + MINUTE_MS, fold, out, memory)
 
 
 def delivery_metrics(decisions: DataFrame) -> DataFrame:

@@ -6,14 +6,21 @@ rows before it. A slice whose guess differs from what the slice before it really
 ends with is run again with that state, until every entry equals the exit before
 it; by induction from the first slice the outcome is then the sequential one.
 States are small JSON texts (what is still inside a cooldown or a cap window).
+
+What a rule remembers for ever per key (the last status sent) is no part of the state,
+which would grow with the keys and which no warm-up could guess. It is a ``Memory``: a table of
+one value per key and slice, carried over the slices by a window per key, guessed from
+the rows first and then taken from the results. Only slices with a wrong state or a
+wrong memory run again; the results of the others stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,13 +30,38 @@ from ticklens.session import cut_lineage
 Fold = Callable[[pd.DataFrame, str, int], tuple[pd.DataFrame, str]]
 
 
+@dataclass(frozen=True)
+class Memory:
+    """The last non-null value per ``key``: ``guess`` of a row, ``value`` of an output row, both in ``order``."""
+
+    key: str
+    guess: Column
+    value: Column
+    order: tuple[str, ...]
+
+
+WAS = "_was"
+
+
+def _last_per_slice(rows: DataFrame, m: Memory, value: Column) -> DataFrame:
+    place = F.when(value.isNotNull(), F.struct(*m.order))
+    return rows.groupBy(SLICE, m.key).agg(F.max_by(value, place).alias("value"))
+
+
+def _carried(values: DataFrame, key: str) -> DataFrame:
+    """(slice, key, was): the value that each key brings into each of its slices."""
+    w = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return values.select(SLICE, key, F.last("value", ignorenulls=True).over(w).alias(WAS))
+
+
 def handoff_fold(
-    rows: DataFrame, slice_ms: int, warm_ms: int, fold: Fold, out: T.StructType
+    rows: DataFrame, slice_ms: int, warm_ms: int, fold: Fold, out: T.StructType, memory: Memory | None = None
 ) -> DataFrame:
     """``fold(rows of a slice, state in, end of slice) -> (output rows, state out)``.
 
     ``rows`` has a ``ts`` column; ``fold`` sorts the rows itself. The state must be
-    written canonically, pruned to what matters from the end of the slice on.
+    written canonically, pruned to what matters from the end of the slice on. With a ``memory``,
+    rows have one more column ``_was``: what their key brings into the slice.
     """
     names = out.fieldNames()
     schema = T.StructType(
@@ -51,6 +83,8 @@ def handoff_fold(
             {c: object for c in names}
         )
 
+    remembers = memory is not None
+
     def first_run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sl = int(key[0])
         own = (pdf["ts"] // slice_ms == sl).to_numpy()
@@ -58,31 +92,41 @@ def handoff_fold(
             return pd.DataFrame(columns=[*names, SLICE, "state_in", "state_out"])
         state = ""
         if not own.all():
-            _, state = fold(pdf[~own], "", sl * slice_ms)
+            before = pdf[~own]
+            _, state = fold(before.assign(**{WAS: None}) if remembers else before, "", sl * slice_ms)
         return result(sl, pdf[own], state)
 
     def rerun(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         return result(int(key[0]), pdf, entry["state"].iloc[0])
 
+    own = rows.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
     warm = with_slices(rows, "ts", slice_ms, back_ms=warm_ms)
+    was = None
+    if memory:
+        seen = cut_lineage(_last_per_slice(own, memory, memory.guess))
+        was = _carried(seen, memory.key)
+        warm = warm.join(was, [SLICE, memory.key], "left")
     done = cut_lineage(warm.groupBy(SLICE).applyInPandas(first_run, schema))
-    own = rows.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
     marker = F.col(names[0]).isNull()
     by_slice = Window.orderBy(SLICE)  # one row per slice
     while True:
         states = done.filter(marker).select(SLICE, "state_in", "state_out")
         before = F.coalesce(F.lag("state_out").over(by_slice), F.lit(""))
-        wrong = (
-            states.withColumn("state", before)
-            .filter(F.col("state") != F.col("state_in"))
-            .select(SLICE, "state")
-        )
+        wrong = states.withColumn("state", before)
+        differs = F.col("state") != F.col("state_in")
+        if memory:
+            found = _last_per_slice(done.filter(~marker), memory, memory.value)
+            now = cut_lineage(_carried(seen.select(SLICE, memory.key).join(found, [SLICE, memory.key], "left"), memory.key))
+            moved = now.join(was.withColumnRenamed(WAS, "_old"), [SLICE, memory.key])
+            moved = moved.filter(~F.col(WAS).eqNullSafe(F.col("_old"))).select(SLICE).distinct()
+            wrong = wrong.join(moved.withColumn("moved", F.lit(True)), SLICE, "left")
+            differs = differs | F.col("moved").isNotNull()
+            was = now
+        wrong = cut_lineage(wrong.filter(differs).select(SLICE, "state"))
         if wrong.isEmpty():
             return done.filter(~marker).select(*names)
-        again = (
-            own.join(wrong.select(SLICE), SLICE, "left_semi")
-            .groupBy(SLICE)
-            .cogroup(wrong.groupBy(SLICE))
-            .applyInPandas(rerun, schema)
-        )
-        done = cut_lineage(done.join(wrong, SLICE, "left_anti").unionByName(again))
+        again = own.join(wrong.select(SLICE), SLICE, "left_semi")
+        if memory:
+            again = again.join(was, [SLICE, memory.key], "left")
+        again = again.groupBy(SLICE).cogroup(wrong.groupBy(SLICE)).applyInPandas(rerun, schema)
+        done = done.join(wrong.select(SLICE), SLICE, "left_anti").unionByName(cut_lineage(again))
