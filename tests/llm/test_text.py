@@ -175,7 +175,8 @@ def test_agenda_equals_library_on_noise():
             assert ids == own.library.encode(t, add_eos=True), t
             assert said == " ".join(map(str, ids))
     for t in texts:
-        assert own._merged_short(t) == own._merged_long(t)
+        symbols = [own.symbol_of.get(c, own.other) for c in t]
+        assert own._merged_short(list(symbols)) == own._merged_long(list(symbols))
 
 
 # SimHash

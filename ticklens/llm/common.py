@@ -54,6 +54,19 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[Dat
     return docs.toDF(*short), dict(zip(names, short, strict=True)), lambda df: df.select(*short).toDF(*names)
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, however long the texts: what a task holds outside the heap follows their size.
+
+    A smaller setting of the session stays.
+    """
+    if int(spark.conf.get(ARROW_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BATCH, str(BATCH_BYTES))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import remainder, set_aside
+from ticklens.llm.common import remainder, set_aside, small_batches
 
 if TYPE_CHECKING:
     import numpy as np
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, max_fit_rows: int = 2048, clusters: int = 4, slack: flo
     import numpy as np
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     rows = learnable(docs, **names)
     n_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not n_of:
@@ -170,6 +171,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text")
     import numpy as np
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     centroids = model.centroids.astype("float64")
 
     def one(t: str | None) -> tuple[str, float, bool]:

@@ -7,8 +7,8 @@ never be merged across, so texts are cut there first, and what a cut part encode
 up to a fixed number of parts.
 
 In every Arrow batch the agenda's ids are checked against the sentencepiece library: those of each
-word not at hand, and those of each text that is not plain words between single blanks as a whole. A
-difference fails the task. Decoding is the library's.
+word with a part not at hand, and those of each text that is not plain words between single blanks as a
+whole. A difference fails the task. Decoding is the library's.
 
 Null texts count as empty and give the end id alone. Texts of any length are encoded whole;
 nothing is sampled. Repeated rows and null ids are kept. Other columns are not read unless carried.
@@ -27,27 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import text_of
+from ticklens.llm.common import small_batches, text_of
 
 SPACE = "▁"  # stands for a blank within pieces
-NEVER = float("inf")  # the rank of a pair that forms no piece
+BITS = 20  # of a symbol's number
+MASK = (1 << BITS) - 1
+NEVER = 1 << 62  # of a pair that forms no piece
 
-Ids = tuple[str, tuple[int, ...]]  # in decimal joined by blanks, and as numbers
+Ids = tuple[int, ...]
 
 
 class Encoder:
     """Ids of texts under one model file."""
 
-    def __init__(self, model: str, max_parts: int = 400_000):
+    def __init__(self, model: str, max_parts: int = 300_000):
         from sentencepiece import SentencePieceProcessor
 
         self.library = sp = SentencePieceProcessor(model_file=model)
         ids = range(sp.vocab_size())
         special = {i for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.id_of = {sp.id_to_piece(i): i for i in ids if i not in special}
-        self.rank_of = {p: -sp.get_score(i) for p, i in self.id_of.items()}
         self.reserved = {sp.id_to_piece(i): i for i in special}
         self.fallback = any(sp.is_byte(i) for i in ids)
+        self._number()
         self.pairs = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         # Words that start at a blank are parts of their own unless a piece goes on past one.
         whole = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
@@ -58,60 +60,87 @@ class Encoder:
         self.known: dict[str, Ids] = {}
         self.older: dict[str, Ids] = {}
         self.small: dict[str, tuple[int, ...]] = {}
+        self.n_parts = 0  # encoded so far
         self.digits = [str(i) for i in ids]
 
-    def merged(self, part: str) -> list[str]:
-        """The pieces of one part, by the agenda."""
-        return self._merged_long(part) if len(part) > 48 else self._merged_short(part)
-
-    def _merged_short(self, part: str) -> list[str]:
+    def _number(self) -> None:
+        """Numbers for all pieces and their characters, and for every pair that forms a piece its rank and number."""
+        pieces = sorted(self.id_of, key=lambda p: (-self.library.get_score(self.id_of[p]), self.id_of[p]))
+        scores = sorted({-self.library.get_score(i) for i in self.id_of.values()})
+        rank_of = dict(zip(scores, range(len(scores)), strict=True))
+        alone = sorted({c for p in pieces for c in p} - self.id_of.keys())
+        number = {p: k for k, p in enumerate([*pieces, *alone])}
+        if len(number) >= MASK:
+            raise ValueError("more pieces than numbers")
+        self.symbol_of = {p: k for p, k in number.items() if len(p) == 1}
+        self.other = len(number)  # stands for every other character
+        self.symbol_size = [*map(len, number), 1]
+        self.symbol_ids: list[int | None] = [*(self.id_of.get(p) for p in number), None]
+        self.merges = {}
+        for p in pieces:
+            rank = rank_of[-self.library.get_score(self.id_of[p])]
+            for i in range(1, len(p)):
+                a, b = number.get(p[:i]), number.get(p[i:])
+                if a is not None and b is not None:
+                    self.merges[a << BITS | b] = rank << BITS | number[p]
+
+    def _unknown(self, char: str) -> list[int]:
+        if char in self.reserved:
+            return [self.reserved[char]]
+        if self.fallback:
+            return [self.reserved[f"<0x{b:02X}>"] for b in char.encode()]
+        return [self.library.unk_id()]
+
+    def merged(self, part: str) -> list[int]:
+        """The symbols that the agenda leaves of one part."""
+        symbols = [self.symbol_of.get(c, self.other) for c in part]
+        return self._merged_long(symbols) if len(symbols) > 48 else self._merged_short(symbols)
+
+    def _merged_short(self, symbols: list[int]) -> list[int]:
         """The agenda as a list beside the symbols: the least rank comes first, the leftmost of equals."""
-        rank, symbols = self.rank_of.get, list(part)
-        agenda = [rank(a + b, NEVER) for a, b in zip(part, part[1:], strict=False)]
+        merge = self.merges.get
+        agenda = [merge(a << BITS | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
-            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
-            del agenda[i]
+            symbols[i] = joined = best & MASK
+            del symbols[i + 1], agenda[i]
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + joined, NEVER)
+                agenda[i - 1] = merge(symbols[i - 1] << BITS | joined, NEVER)
             if i < len(agenda):
-                agenda[i] = rank(joined + symbols[i + 1], NEVER)
+                agenda[i] = merge(joined << BITS | symbols[i + 1], NEVER)
         return symbols
 
-    def _merged_long(self, part: str) -> list[str]:
+    def _merged_long(self, symbols: list[int]) -> list[int]:
         """The agenda as a heap, so that a part of any length takes n log n steps."""
-        symbols: list[str | None] = list(part)
-        n, rank = len(symbols), self.rank_of.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(r, i, i + 1, 2) for i in range(n - 1) if (r := rank(part[i : i + 2], NEVER)) != NEVER]
+        n, merge = len(symbols), self.merges.get
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        agenda = [(m, i, i + 1) for i in range(n - 1) if (m := merge(symbols[i] << BITS | symbols[i + 1], NEVER)) != NEVER]
         heapify(agenda)
         while agenda:
-            _, left, right, size = heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if a is None or b is None or len(a) + len(b) != size:
+            m, left, right = heappop(agenda)
+            if gone[left] or gone[right] or after[left] != right:
+                continue
+            if merge(symbols[left] << BITS | symbols[right], NEVER) != m:  # a neighbour has grown meanwhile
                 continue
-            symbols[left], symbols[right] = a + b, None
+            symbols[left], gone[right] = m & MASK, True
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
             for x, y in ((left, after[left]), (before[left], left)):
-                if x >= 0 and y < n:
-                    pair = symbols[x] + symbols[y]
-                    if (r := rank(pair, NEVER)) != NEVER:
-                        heappush(agenda, (r, x, y, len(pair)))
-        return [s for s in symbols if s is not None]
+                if x >= 0 and y < n and (m := merge(symbols[x] << BITS | symbols[y], NEVER)) != NEVER:
+                    heappush(agenda, (m, x, y))
+        return [s for s, out in zip(symbols, gone, strict=True) if not out]
 
     def _ids(self, part: str) -> tuple[int, ...]:
+        symbols = self.merged(part)
+        ids = [self.symbol_ids[s] for s in symbols]
+        if None not in ids:
+            return tuple(ids)
         out: list[int] = []
-        for piece in self.merged(part):
-            if (i := self.id_of.get(piece)) is not None:
-                out.append(i)
-            elif piece in self.reserved:
-                out.append(self.reserved[piece])
-            elif self.fallback:
-                out += [self.reserved[f"<0x{b:02X}>"] for b in piece.encode()]
-            else:
-                out.append(self.library.unk_id())
+        at = 0
+        for s, i in zip(symbols, ids, strict=True):
+            out += self._unknown(part[at]) if i is None else [i]
+            at += self.symbol_size[s]
         return tuple(out)
 
     def _joined(self, word: str) -> list[int]:
@@ -126,20 +155,21 @@ class Encoder:
                 if len(small) >= self.max_parts:
                     small.clear()
                 ids = small[part] = self._ids(part)
+                self.n_parts += 1
             out += ids
         return out
 
-    def _said(self, ids: list[int]) -> str:
-        return " ".join([self.digits[i] for i in ids])
-
     def _learn(self, words: list[str]) -> dict[str, Ids]:
-        """Words that come after one blank: by the agenda, each compared with the library."""
-        new = {}
-        for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True):
-            own = self._joined(SPACE + word)
-            if own != ids:
+        """Words that come after one blank: by the agenda, and where a part is new compared with the library."""
+        new, checked = {}, []
+        for word in words:
+            before = self.n_parts
+            new[word] = tuple(self._joined(SPACE + word))
+            if self.n_parts > before:
+                checked.append(word)
+        for word, ids in zip(checked, self.library.encode(checked, num_threads=1), strict=True):
+            if new[word] != tuple(ids):
                 raise ValueError(f"agenda and library differ on {word!r}")
-            new[word] = (self._said(own), tuple(own))
         return new
 
     def _whole(self, text: str) -> Ids:
@@ -150,7 +180,7 @@ class Encoder:
             ids = [i for j, i in enumerate(ids) if i != unk or j == 0 or ids[j - 1] != i]
         if ids != self.library.encode(text, num_threads=1):
             raise ValueError(f"agenda and library differ on {text[:200]!r}")
-        return self._said(ids), tuple(ids)
+        return tuple(ids)
 
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """The ids of each text, in decimal joined by blanks and as numbers, the end id included.
@@ -178,11 +208,10 @@ class Encoder:
             self.known, self.older = new, self.known
         else:
             self.known.update(new)
-        last = (str(self.end), (self.end,))
-        out = []
+        end, digits, out = (self.end,), self.digits, []
         for each in parts:
-            said, ids = zip(*each, last, strict=True)
-            out.append((" ".join([s for s in said if s]), list(chain.from_iterable(ids))))
+            ids = list(chain.from_iterable([*each, end]))
+            out.append((" ".join([digits[i] for i in ids]), ids))
         return out
 
 
@@ -219,5 +248,6 @@ def encode_decode(docs: DataFrame, carry: list[str], model: str, text: str = "te
     ]
     if keep_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, text_of(text).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *fields]))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import set_aside, text_of
+from ticklens.llm.common import set_aside, small_batches, text_of
 from ticklens.llm.graph import components
 from ticklens.session import cut_lineage
 
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text") -> DataF
             signed = pa.array([p - (1 << BITS) if p >> (BITS - 1) else p for p in prints], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed], [*carry, "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, text_of(text).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
     return rows.mapInArrow(run, schema)

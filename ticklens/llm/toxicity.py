@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import remainder, text_of
+from ticklens.llm.common import remainder, small_batches, text_of
 from ticklens.session import cut_lineage
 
 if TYPE_CHECKING:
@@ -173,6 +173,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str], text: str = "text
             made = [pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*carry, "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, text_of(text).alias("__text"))
     made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklens.llm.common import small_batches
 from ticklens.session import cut_lineage
 
 MAGIC = b"\x1f\x8b\x08"
@@ -132,6 +133,7 @@ def write(
         kinds = (pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in files], t) for c, t in enumerate(kinds)], ["path", "length", "records"])  # noqa: E501
 
+    small_batches(pages.sparkSession)
     rows = with_revisits(pages.select(page_id, F.col(url).cast("string").alias("url"), html), page_id, html, min_revisit_bytes)
     return cut_lineage(rows.mapInArrow(run, "path string, length long, records long"))
 
