@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ticklens.config import AlertConfig, DeliveryConfig
@@ -647,7 +649,9 @@ def _message_sql(kind: str) -> str:
       {tag("Rank")} || '#1 | ' || {tag("Score")} || {_NUM[0]}, {tag("Status")} || {esc}, {tag("p_inplay")} || {_NUM[1]}, {tag("p_toxic")} || {_NUM[2]})"""
 
 
-_SAID = PRED + _RUNS + ", said AS (SELECT p.* FROM pred p JOIN runs r USING (symbol, ts) WHERE r.since = r.ts)"
+# What several formats read is computed once.
+_ONCE = PRED + _RUNS + ", said AS (SELECT p.* FROM pred p JOIN runs r USING (symbol, ts) WHERE r.since = r.ts)"
+_SAID = re.sub(r"\b(roll|feat|pred|said) AS \(", r"\1 AS MATERIALIZED (", _ONCE)
 
 
 def _said(spark: SparkSession, sf: str) -> DataFrame:
