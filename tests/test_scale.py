@@ -6,10 +6,11 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ticklens.operators import ranking
 from ticklens.operators.alerts import accept
 from ticklens.operators.delivery import dedupe_deliveries
 from ticklens.operators.runs import status_runs
-from ticklens.config import AlertConfig, DeliveryConfig
+from ticklens.config import AlertConfig, DeliveryConfig, RankConfig
 from ticklens.plans import handoff
 from ticklens.plans.cells import by_cell, by_cell_with, sorted_cells
 from ticklens.plans.slices import Run, running, slice_of
@@ -114,3 +115,16 @@ def test_delivery_passes_do_not_grow_with_the_slices(spark, monkeypatch):
         assert got == sorted(plain_deliveries(rows, cfg))
         passes.append(n[0])
     assert passes[1] <= passes[0] + 6, passes  # three tables a pass
+
+
+def test_skipped_updates_are_counted_and_absent_symbols_fall_to_zero(spark):
+    """A 500 ms clock under an interval of 1 s: every second update is skipped unless a score jumps."""
+    rows = [(t, "a", 0.5) for t in range(0, 5000, 500)] + [(t, "b", 0.6) for t in (0, 500, 3500, 4000)]
+    scored = spark.createDataFrame(rows, "ts long, symbol string, score double")
+    cfg = RankConfig(update_interval_ms=1000, burst_delta=0.55, score_threshold=0.1, top_k=2)
+    ticks = ranking.throttle(scored, cfg)
+    got = {r.ts: r.accepted for r in ticks.collect()}
+    # b is absent at 1000, hence 0, and its return at 3500 is a jump of 0.6.
+    assert [t for t, ok in sorted(got.items()) if ok] == [0, 1000, 2000, 3000, 3500, 4500]
+    m = ranking.ranker_metrics(ranking.ranked_states(ranking.accepted(scored, ticks), cfg), ticks, cfg).first()
+    assert (m.updates_processed, m.updates_throttled) == (10, 4)

@@ -211,29 +211,36 @@ def score_deltas(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame
     )
 
 
-def ranker_metrics(states: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
+def ranker_metrics(states: DataFrame, ticks: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     """One row: updates, enter and exit events, list changes, throttled updates.
 
-    Ticks a cadence apart are never throttled, hence 0 there; ``throttle`` is for
-    faster clocks.
+    ``ticks`` is the result of ``throttle``: every update, whether it was ranked or skipped.
     """
     listed = F.when(F.col("rank").isNotNull(), F.struct("rank", "symbol"))
-    ticks = states.groupBy("ts").agg(
+    lists = states.groupBy("ts").agg(
         F.sort_array(F.collect_list(listed)).alias("names"),  # at most k per tick
         F.count_if(F.col("event") == "SYMBOL_ENTER").alias("entered"),
         F.count_if(F.col("event") == "SYMBOL_EXIT").alias("left"),
     )
     was = Run("was", "last", F.col("names"), inclusive=False)
-    rows = running(ticks, [], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [was])
+    rows = running(lists, [], slice_of(F.col("ts"), cfg.slice_ms), ["ts"], [was])
     empty = F.size("names") == 0
     changed = F.when(F.col("was").isNull(), ~empty).otherwise(F.col("names") != F.col("was"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("updates_processed"),
+    totals = rows.agg(
         F.sum("entered").alias("enter_events"),
         F.sum("left").alias("exit_events"),
         F.count_if(changed).alias("rank_changes"),
-        F.lit(0).cast("long").alias("updates_throttled"),
     )
+    updates = ticks.agg(
+        F.count(F.lit(1)).alias("updates_processed"), F.count_if(~F.col("accepted")).alias("updates_throttled")
+    )
+    one = F.lit(1).alias("_one")  # a row on either side
+    return updates.select("*", one).join(totals.select("*", one), "_one").drop("_one")
+
+
+def accepted(scored: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The rows of the ticks that ``throttle`` lets through."""
+    return scored.join(ticks.filter("accepted").select("ts"), "ts", "left_semi")
 
 
 def throttle(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
@@ -242,7 +249,8 @@ def throttle(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
 
     Whether a score moved depends on which update came last, so the rule is
     sequential; a tick at least an interval after the tick before is always accepted,
-    and such ticks cut the sequence. Only the stretches between them are folded.
+    and such ticks cut the sequence. Only the stretches between them are folded. A symbol
+    that an accepted update leaves out counts as 0 from then on.
     """
     ticks = scored.select("ts").distinct()
     was = Run("was", "last", F.col("ts"), inclusive=False)
@@ -255,9 +263,11 @@ def throttle(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
     single = size.filter("n = 1").select(F.col("part").alias("ts"), F.lit(True).alias("accepted"))
     busy = ticks.join(size.filter("n > 1").select("part"), "part", "left_semi").select("ts", "part")
     rows = scored.select("ts", "symbol", "score").join(busy, "ts")
+    since = scored.groupBy("symbol").agg(F.min("ts").alias("since"))
+    rows = rows.join(since, "symbol").withColumn("known", F.col("since") < F.col("part")).drop("since")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, float] = {}
+        seen = dict.fromkeys(pdf["symbol"][pdf["known"]], 0.0)  # listed at some time before the stretch
         last, out = None, []
         for ts, g in pdf.groupby("ts", sort=True):
             now = dict(zip(g["symbol"], g["score"], strict=True))
@@ -266,7 +276,7 @@ def throttle(scored: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
             )
             ok = last is None or ts - last >= cfg.update_interval_ms or moved >= cfg.burst_delta
             if ok:
-                seen.update(now)
+                seen = dict.fromkeys(seen, 0.0) | now
                 last = ts
             out.append((ts, ok))
         return pd.DataFrame(out, columns=["ts", "accepted"])

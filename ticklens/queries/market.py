@@ -19,6 +19,7 @@ from ticklens.plans.replay import ChainConfig, attach_rank, chain_events, compar
 from ticklens.queries.common import (
     FC, MC, PRED_SQL, RC, F, S, flag, joined, load, preds_of, query, snaps_of, tape_of,
 )
+from ticklens.session import cut_lineage
 from ticklens.sources.readers import ticker_volumes
 from ticklens.sources.writers import row_digest
 
@@ -500,10 +501,12 @@ def confirmed_topk(spark: SparkSession, sf: str) -> DataFrame:
     moved AS (SELECT names <> coalesce(lag(names) OVER (ORDER BY ts), '') AS changed FROM lists)
     SELECT (SELECT count(*) FROM lists) AS updates_processed, (SELECT count(*) FROM ranks WHERE ev = 'SYMBOL_ENTER') AS enter_events,
       (SELECT count(*) FROM ranks WHERE ev = 'SYMBOL_EXIT') AS exit_events, (SELECT count(*) FROM moved WHERE changed) AS rank_changes,
-      0::BIGINT AS updates_throttled""",
+      (SELECT count(*) FROM (SELECT ts - lag(ts) OVER (ORDER BY ts) AS gap FROM lists) WHERE gap < 1000) AS updates_throttled""",
 )
 def ranker_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.ranker_metrics(ranking.ranked_states(preds_of(spark, sf), RC), RC)
+    scored = cut_lineage(preds_of(spark, sf))
+    ticks = ranking.throttle(scored, RC)
+    return ranking.ranker_metrics(ranking.ranked_states(ranking.accepted(scored, ticks), RC), ticks, RC)
 
 
 @query(
