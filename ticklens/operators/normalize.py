@@ -26,21 +26,27 @@ KINDS = {
 }
 
 
+def _fields(df: DataFrame, keep: Sequence[str], column: str, names: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The kept columns with the texts of some top-level fields of a JSON column, which is parsed once."""
+    at = [f"_json{i}" for i in range(len(names))]
+    return df.select(*keep, F.json_tuple(column, *names).alias(*at)), dict(zip(names, map(F.col, at), strict=True))
+
+
 def normalize_raw(raw: DataFrame, source: str = "exchange") -> DataFrame:
     """Market events from raw JSON messages (columns raw, recv_ts, others kept).
 
     Unknown kinds and messages without a symbol are dropped. A quote message without
     a time takes its receive time, the other kinds 0.
     """
-    at = lambda p: F.get_json_object("raw", p)
-    kind = at("$.e")
+    rows, at = _fields(raw, raw.columns, "raw", ("e", "E", "s", "o"))
+    kind = at["e"]
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    symbol = F.when(kind == "forceOrder", at("$.o.s")).otherwise(at("$.s"))
+    symbol = F.when(kind == "forceOrder", F.get_json_object(at["o"], "$.s")).otherwise(at["s"])
     no_time = F.when(kind == "bookTicker", F.col("recv_ts")).otherwise(F.lit(0))
     keep = [c for c in raw.columns if c not in ("raw", "recv_ts")]
-    rows = raw.select(
+    rows = rows.select(
         *keep,
-        F.coalesce(at("$.E").try_cast("bigint"), no_time).alias("ts"),
+        F.coalesce(at["E"].try_cast("bigint"), no_time).alias("ts"),
         F.lit(source).alias("source"),
         F.upper(symbol).alias("symbol"),
         kinds[kind].alias("type"),
@@ -50,19 +56,20 @@ def normalize_raw(raw: DataFrame, source: str = "exchange") -> DataFrame:
     return rows.filter(F.col("type").isNotNull() & F.col("symbol").isNotNull())
 
 
-def _first(paths: Sequence[str], cast: str, default: object) -> Column:
-    got = [F.get_json_object("payload", p).try_cast(cast) for p in paths]
-    return F.coalesce(*got, F.lit(default))
+def _first(texts: Sequence[Column], cast: str, default: object) -> Column:
+    return F.coalesce(*[t.try_cast(cast) for t in texts], F.lit(default))
 
 
 def parse_trades(ev: DataFrame) -> DataFrame:
     """price, qty and is_buyer_maker of the trades; 0, 0 and false where missing."""
     keep = [c for c in ev.columns if c not in ("payload", "type", "source")]
-    return ev.filter(F.col("type") == "trade").select(
+    names = ("p", "price", "q", "qty", "m", "is_buyer_maker")
+    rows, at = _fields(ev.filter(F.col("type") == "trade"), keep, "payload", names)
+    return rows.select(
         *keep,
-        _first(["$.p", "$.price"], "double", 0.0).alias("price"),
-        _first(["$.q", "$.qty"], "double", 0.0).alias("qty"),
-        _first(["$.m", "$.is_buyer_maker"], "boolean", False).alias("is_buyer_maker"),
+        _first([at["p"], at["price"]], "double", 0.0).alias("price"),
+        _first([at["q"], at["qty"]], "double", 0.0).alias("qty"),
+        _first([at["m"], at["is_buyer_maker"]], "boolean", False).alias("is_buyer_maker"),
     )
 
 
@@ -91,9 +98,15 @@ def parse_books(ev: DataFrame, alias_mode: str = "all") -> DataFrame:
             return [f"$.{field}"]
         return every
 
-    rows = ev.filter(F.col("type") == "book").select(
-        *keep, *[_first(names(f), "double", 0.0).alias(f) for f in _QUOTE]
-    )
+    paths = {f: names(f) for f in _QUOTE}
+    tops = tuple(dict.fromkeys(p[2:].partition("[")[0] for ps in paths.values() for p in ps))
+    rows, at = _fields(ev.filter(F.col("type") == "book"), keep, "payload", tops)
+
+    def text(path: str) -> Column:
+        top, inner, rest = path[2:].partition("[")
+        return F.get_json_object(at[top], "$" + inner + rest) if inner else at[top]
+
+    rows = rows.select(*keep, *[_first([text(p) for p in ps], "double", 0.0).alias(f) for f, ps in paths.items()])
     return rows.filter("bid > 0 AND ask > 0") if alias_mode == "label" else rows
 
 
