@@ -1,5 +1,6 @@
 """The operators on Arrow batches against SQL, plain loops, exact round trips and held-out accuracy."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -136,6 +137,29 @@ def test_far_off_texts_are_rejected_and_rows_kept(spark, docs):
         "doc_id": 2, "text": "the there other in", "__t": 3, "score": 1}
 
 
+def test_foreign_texts_and_noise_of_any_length_are_rejected(spark):
+    docs = spark.createDataFrame(data.documents(240)[:240], data.DOCS)
+    rng = random.Random(4)
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem".split()
+    letters = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(2, 9)))
+    odd = [" ".join(rng.choice(polish) for _ in range(n)) for n in (20, 300)]
+    odd += [" ".join(letters("bcdfghjklmnpqrstvwxz") for _ in range(n)) for n in (40, 3000)]
+    odd += [base64.b64encode(rng.randbytes(n)).decode() for n in (600, 6000)]
+    odd += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)) for n in (30, 3000)]
+    own = [data.prose(rng, lang, n) for lang in data.SYLLABLES for n in (2, 5, 30, 400, 3000)] + ["There " * 500]
+    rows = spark.createDataFrame(list(enumerate(odd + own)), "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in langid.predict(rows, langid.fit(docs), ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(rows.collect()))] == [True] * len(odd) + [False] * len(own)
+
+
+def test_outliers_take_no_centroid():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(1)
+    x = np.abs(np.concatenate([np.eye(40)[i] + rng.normal(0, 0.01, (50, 40)) for i in range(4)] + [np.eye(40)[20:24]]))
+    c = langid.spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), 4)
+    assert sorted(np.argmax(c, axis=1).tolist()) == [0, 1, 2, 3]
+
+
 def test_language_is_no_input(spark, docs):
     model = langid.fit(docs)
     other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None))

@@ -2,10 +2,11 @@
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams. Each language has several centroids,
 found by spherical k-means on its vectors. A text gets the language of the centroid with the highest
-cosine and is rejected when that cosine is far below what the centroid's own texts reach.
+cosine and is rejected when that cosine is far below what the centroid's own texts of its size reach; size is the
+number of different n-grams, so that a short text and one that repeats itself are held to what short texts reach.
 
-Document frequencies are counted over every learnable row; only the clustering works on a sample,
-of ``max_fit_rows`` rows in all, chosen by a hash of id and text. Rows whose crc32(doc_id) modulo 5 is 0 are held
+Document frequencies are counted over every learnable row; only the clustering and the limits of rejection work
+on a sample, of ``max_fit_rows`` rows in all, chosen by a hash of id and text; letterless texts are left out of it. Rows whose crc32(doc_id) modulo 5 is 0 are held
 out, rows without an id or a language teach nothing; language, source and id are no inputs of a
 prediction. Whole texts are read, one at a time in Arrow batches; nothing is shuffled but counts.
 
@@ -33,6 +34,10 @@ WIDTH = 4096  # hash buckets of n-grams
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 FOLDS = 5
+BANDS = 13  # of different n-grams, by powers of two
+BEGINNINGS = tuple(4 << i for i in range(11))  # characters
+FEW = 30  # cosines that a limit of its own takes
+SEEDS = 1024
 
 
 def _alphabet() -> bytes:
@@ -62,15 +67,17 @@ def counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages of the centroids, the centroids, the rejection cosine of each, and IDF weights."""
+    """Languages of the centroids, the centroids, the rejection cosines of each by band, and IDF weights."""
 
     langs: list[str]
     centroids: np.ndarray
     least: np.ndarray
     idf: np.ndarray
 
-    def vector(self, text: str) -> np.ndarray:
-        return normalised(counts(text), self.idf)
+
+def band(tf: np.ndarray) -> int:
+    """Text size: the binary digits of the number of different n-grams."""
+    return min(BANDS - 1, int((tf > 0).sum()).bit_length())
 
 
 def normalised(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -108,14 +115,18 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of unit rows; starts from rows far from each other, so that it needs no chance."""
+    """Unit centroids of unit rows.
+
+    Starts from rows that bring all others nearest to a start, so that an outlier takes no centroid and no chance is
+    needed; the first ``SEEDS`` rows can be starts.
+    """
     import numpy as np
 
-    picked = [int(np.argmax(x @ x.mean(axis=0)))]
-    near = x @ x[picked[0]]
-    while len(picked) < min(k, len(x)):
-        picked.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[picked[-1]])
+    close = x @ x[:SEEDS].T
+    near, picked = np.zeros(len(x)), []
+    while len(picked) < min(k, close.shape[1]):
+        picked.append(int(np.argmax(np.maximum(close, near[:, None]).sum(axis=0))))
+        near = np.maximum(near, close[:, picked[-1]])
     c = x[picked]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
@@ -125,45 +136,90 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, max_fit_rows: int = 2048, clusters: int = 4, slack: float = 0.2, **names: str) -> Model:
-    """Centroids per language. ``slack``: share of its own texts' lowest cosine that a centroid still accepts."""
+def limits(own: np.ndarray, bands: np.ndarray, cosines: np.ndarray, k: int, share: float, slack: float) -> np.ndarray:
+    """Rejection cosine of each of a language's ``k`` centroids in each band.
+
+    ``slack`` times the quantile ``share`` of the centroid's own cosines there, of the language's if it has few. A band
+    that is rare in the whole language accepts what the band below accepts.
+    """
+    import numpy as np
+
+    out = np.zeros((k, BANDS))
+    first = int(bands.min())
+    for b in range(first, BANDS):
+        here = bands == b
+        for j in range(k):
+            mine = cosines[here & (own == j)]
+            some = mine if len(mine) >= FEW else cosines[here]
+            limit = slack * float(np.quantile(some, share)) if len(some) else np.inf
+            out[j, b] = min(limit, out[j, b - 1]) if here.sum() < FEW and b > first else limit
+    out[:, :first] = out[:, first : first + 1]
+    return out
+
+
+def fit(
+    docs: DataFrame, max_fit_rows: int = 2048, clusters: int = 4, share: float = 0.005, slack: float = 0.5, **names: str
+) -> Model:
+    """Centroids per language, and what each rejects (see ``limits``)."""
     import numpy as np
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
+    nothing = Model([], np.zeros((0, WIDTH)), np.zeros((0, BANDS)), np.ones(WIDTH))
     rows = learnable(docs, **names)
     n_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not n_of:
-        return Model([], np.zeros((0, WIDTH)), np.zeros(0), np.ones(WIDTH))
+        return nothing
     df = document_frequencies(rows)
     idf = np.log((1 + sum(n_of.values())) / (1 + df)) + 1
     each = max(1, max_fit_rows // len(n_of))
     rate = F.create_map(*(F.lit(v) for lang, n in n_of.items() for v in (lang, min(1.0, 1.5 * each / n))))
 
+    def lettered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([bool(LETTER.search(t.as_py())) for t in batch.column("text")], pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = lettered(batch)
             vs = [normalised(counts(t.as_py()), idf).astype("float32").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), pa.array(vs, pa.binary())], ["lang", "pick", "v"])  # noqa: E501
 
-    sample = rows.filter(F.col("pick") < rate[F.col("lang")]).mapInArrow(run, "lang string, pick double, v binary")
+    picked = rows.filter(F.col("pick") < rate[F.col("lang")])
     some: dict[str, list[tuple[float, bytes]]] = {lang: [] for lang in n_of}
-    for r in sample.collect():
+    for r in picked.mapInArrow(run, "lang string, pick double, v binary").collect():
         some[r.lang].append((r.pick, bytes(r.v)))
-    langs, found, least = [], [], []
-    for lang, vs in some.items():
-        if not vs:  # a rare language that the hash passed by; the rate is 1 unless it has many rows
-            continue
-        x = np.stack([np.frombuffer(v, "float32") for _, v in sorted(vs)[:each]]).astype("float64")
-        c = spherical_kmeans(x, clusters)
-        best = x @ c.T
-        own = np.argmax(best, axis=1)
-        lowest = float(best.max(axis=1).min())
-        for j in range(len(c)):
-            mine = best[own == j, j]
-            langs.append(lang)
-            found.append(c[j])
-            least.append(slack * min(lowest, float(mine.min()) if len(mine) else lowest))
-    return Model(langs, np.stack(found), np.array(least), idf)
+    # A language without any is one without letters, or a rare one that the hash passed by; the rate is 1 unless it has many rows.
+    found = {
+        lang: spherical_kmeans(np.stack([np.frombuffer(v, "float32") for _, v in sorted(vs)[:each]]).astype("float64"), clusters)
+        for lang, vs in some.items()
+        if vs
+    }
+    if not found:
+        return nothing
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = lettered(batch)
+            out = []
+            for lang, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+                for part in (*(t[:n] for n in BEGINNINGS if n < len(t)), t):
+                    tf = counts(part)
+                    cos = found[lang] @ normalised(tf, idf)
+                    j = int(np.argmax(cos))
+                    if LETTER.search(part):
+                        out.append((lang, j, band(tf), float(cos[j])))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["lang", "own", "band", "cos"])  # noqa: E501
+
+    seen: dict[str, list[tuple[int, int, float]]] = {lang: [] for lang in found}
+    for r in picked.mapInArrow(reached, "lang string, own int, band int, cos double").collect():
+        seen[r.lang].append((r.own, r.band, r.cos))
+    least = []
+    for lang, c in found.items():
+        own, bands, cosines = (np.array(x) for x in zip(*seen[lang], strict=True))
+        least.append(limits(own, bands, cosines, len(c), share, slack))
+    langs = [lang for lang, c in found.items() for _ in range(len(c))]
+    return Model(langs, np.concatenate(list(found.values())), np.concatenate(least), idf)
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
@@ -177,9 +233,10 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text")
     def one(t: str | None) -> tuple[str, float, bool]:
         if t is None or not len(centroids) or not LETTER.search(t):
             return UNKNOWN, 0.0, True
-        cos = centroids @ model.vector(t)
+        tf = counts(t)
+        cos = centroids @ normalised(tf, model.idf)
         j = int(np.argmax(cos))
-        return model.langs[j], min(1.0, max(0.0, float(cos[j]))), bool(cos[j] < model.least[j])
+        return model.langs[j], min(1.0, max(0.0, float(cos[j]))), bool(cos[j] < model.least[j, band(tf)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
