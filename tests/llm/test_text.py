@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import data
 from tests.test_check_sql import canon
 from ticklens.llm import graph, langid, pieces, simhash, topk, toxicity, warc
@@ -270,6 +271,32 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert simhash.one_of_each(docs.filter("false")).count() == 0
 
 
+def test_near_copies_of_five_word_shingles_go(spark):
+    rng = random.Random(8)
+    line = " licensed under the usual terms of this one and the same licence"
+    rows, changed = [], lambda ws, n: [rng.choice("qxzv") * 4 if k in hit else w for hit in [set(rng.sample(range(len(ws)), n))] for k, w in enumerate(ws)]  # noqa: E501
+    for size in (12, 60, 150, 400):
+        base = data.prose(rng, "en", size).split()
+        rows += [" ".join(changed(base, n)) + line * (n % 2) for n in (0, 1, 2, 3, 4, 6, 8, 12)]
+    crowd = data.prose(rng, "fr", 100).split()
+    rows += [" ".join(changed(crowd, rng.randint(1, 3))) for _ in range(60)]
+    rows += ["", None, " ", "a b", "A  b", line, line * 2] + [data.prose(rng, "de", 30) + line for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)) + [(None, rows[0])], "doc_id long, text string")
+    words = [(t or "").lower().split() for t in rows]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    top = list(range(len(rows)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = top[i], top[j]
+                top = [min(x, y) if k in (x, y) else k for k in top]
+    kept = corpus_pipeline.near_duplicates(spark, wide(docs), "")
+    assert kept.columns == wide(docs).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top))
+    assert len(set(top)) < len(rows) - 20
+    assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
 # Top-k
 
 
