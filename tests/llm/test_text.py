@@ -100,6 +100,19 @@ def test_archives_are_plain_gzip_and_odd_bytes_give_no_record(spark):
     assert gzip.GzipFile(fileobj=io.BytesIO(b"".join(members))).read().count(b"WARC/1.1") == 5
 
 
+def test_long_addresses_are_read_and_lost_records_are_an_error(spark, tmp_path):
+    rng = random.Random(6)
+    urls = ["http://x/" + "".join(chr(rng.randint(33, 126)) for _ in range(n)) for n in (10, 66_000, 200_000)]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write(pages, new_folder(spark, "warc"))
+    assert sorted(r.target_uri for r in warc.read(files).collect()) == sorted(urls)
+    with pytest.raises(RuntimeError, match="2 records read, 3 written"):
+        warc.complete(warc.read(files).limit(2), files)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["op1_warc_round_trip"](spark, str(tmp_path)).count() == 3
+
+
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(pages, new_folder(spark, "warc"))).count() == 0

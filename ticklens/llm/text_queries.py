@@ -76,11 +76,11 @@ FROM p
 @query("op1_warc_round_trip", OP1_SQL)
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
-    found = warc.read(files, payloads=False)
-    return found.select(
+    found = warc.read(files, payloads=False).select(
         warc.id_in("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
         warc.id_in("refers_to").alias("refers_to"),
     )
+    return warc.complete(found, files)

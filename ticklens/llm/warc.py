@@ -33,7 +33,6 @@ from ticklens.session import cut_lineage
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
-MAX_HEADER = 1 << 16
 MAX_TASKS = 20_000
 RECORD_SCHEMA = (
     "path string, offset long, record_type string, record_id string, target_uri string, payload_digest string, "
@@ -163,20 +162,21 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def _candidate(window: _Window, pos: int) -> bool:
-    """Whether the bytes at ``pos`` inflate to a WARC header with type, id and length."""
-    inflate, head = zlib.decompressobj(31), b""
+    """Whether the bytes at ``pos`` inflate to a WARC header, of any length, with type, id and length."""
+    inflate, head, seen = zlib.decompressobj(31), bytearray(), 0
     try:
-        while b"\r\n\r\n" not in head and len(head) < MAX_HEADER and not inflate.eof:
+        while head.find(b"\r\n\r\n", max(0, seen - 3)) < 0 and not inflate.eof:
             piece = window.at(pos)
             if not piece:
                 return False
+            seen = len(head)
             head += inflate.decompress(piece[:4096])
             pos += min(len(piece), 4096)
             if not b"WARC/".startswith(head[:5]):
                 return False
     except zlib.error:
         return False
-    head, found, _ = head.partition(b"\r\n\r\n")
+    head, found, _ = bytes(head).partition(b"\r\n\r\n")
     h = _headers(head)
     return bool(found) and {"warc-type", "warc-record-id"} <= h.keys() and h.get("content-length", "").isdigit()
 
@@ -232,6 +232,15 @@ def records_in(file, path: str, size: int, start: int, end: int) -> Iterator[tup
         pos = found[1]
 
 
+def complete(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``found``, written once; an error if it has not as many records as the manifest."""
+    found = cut_lineage(found)
+    n, want = found.count(), manifest.agg(F.sum("records")).first()[0] or 0
+    if n != want:
+        raise RuntimeError(f"{n} records read, {want} written")
+    return found
+
+
 def read(files: DataFrame, range_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
     """Records of the archives in ``files`` (path, length); see ``RECORD_SCHEMA``.
 
