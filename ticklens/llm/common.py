@@ -75,3 +75,9 @@ def remainder(doc_id: Column, n: int) -> Column:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """The name of a folder of its own below the shared checkpoint folder."""
     return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that ``new_folder`` named and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

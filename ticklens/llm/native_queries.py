@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticklens.llm import licenses, mixing, quality, secrets
+from ticklens.llm import licenses, mixing, quality, secrets, sharding
 from ticklens.llm.common import query, table
 from ticklens.session import cut_lineage
 
@@ -195,3 +196,70 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     narrow = cut_lineage(docs.drop("text"))
     return mixing.mix(narrow).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+OP13_SQL = """
+WITH RECURSIVE tab AS (
+    SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+    FROM range(256) r(b)),
+d AS MATERIALIZED (
+    SELECT doc_id, md5(coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
+    FROM documents),
+r AS MATERIALIZED (
+    SELECT doc_id, key, n + 8 AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || key) AS ord,
+           xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(range(n), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+               lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS crc
+    FROM d, tab),
+g AS MATERIALIZED (SELECT key, sum(size)::BIGINT AS size FROM r GROUP BY key),
+o AS (
+    SELECT key, size, row_number() OVER (ORDER BY size DESC, key) - 1 AS i,
+           sum(size) OVER (ORDER BY size DESC, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM g),
+alone AS MATERIALIZED (
+    SELECT key, i FROM o WHERE i < 23 AND i < coalesce((SELECT min(i) FROM o WHERE size * (24 - i) <= rest), 24)),
+e AS MATERIALIZED (
+    SELECT list(key ORDER BY key) AS keys, list(size ORDER BY key) AS sizes, sum(size)::BIGINT AS total, max(size) AS big,
+           24 - (SELECT count(*) FROM alone) AS k
+    FROM g WHERE key NOT IN (SELECT key FROM alone)),
+search AS (
+    SELECT greatest((total + k - 1) // k, big)::BIGINT AS low, (greatest((total + k - 1) // k, big) + big)::BIGINT AS high FROM e
+    UNION ALL
+    SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END
+    FROM (SELECT low, high, middle, list_reduce(
+              list_prepend([1, 0]::BIGINT[], list_transform(sizes, lambda s: [0, s]::BIGINT[])),
+              lambda a, x: CASE WHEN a[2] + x[2] <= middle THEN [a[1], a[2] + x[2]]::BIGINT[] ELSE [a[1] + 1, x[2]]::BIGINT[] END)[1] <= k
+              AS fits
+          FROM (SELECT low, high, (low + high) // 2 AS middle FROM search WHERE low < high), e)),
+c AS (SELECT min(high) AS cap FROM search),
+back AS (
+    SELECT list_reduce(
+        list_prepend([0, 0]::BIGINT[], list_transform(list_reverse(sizes), lambda s: [s]::BIGINT[])),
+        lambda a, x: CASE WHEN a[2] + x[1] - a[1] <= cap THEN list_concat([a[1], a[2] + x[1]]::BIGINT[], a[3:])
+                          ELSE list_concat([a[2], a[2] + x[1]]::BIGINT[], a[3:], [a[2]]::BIGINT[]) END)[3:] AS ends
+    FROM e, c),
+cuts AS (
+    SELECT list_transform(list_reduce(
+        list_prepend([1, 0, 0]::BIGINT[], list_transform(range(len(sizes)), lambda i: [i + 1, sizes[i + 1]]::BIGINT[])),
+        lambda a, x: CASE WHEN a[1] < k AND a[3] > a[2] AND (a[3] - a[2] + x[2] > cap
+                OR (2 * (total - a[2]) <= (2 * (a[3] - a[2]) + x[2]) * (k - a[1] + 1)
+                    AND a[3] >= total - CASE WHEN k - a[1] > len(ends) THEN total ELSE ends[k - a[1]] END))
+            THEN list_concat([a[1] + 1, a[3], a[3] + x[2]]::BIGINT[], a[4:], [x[1]]::BIGINT[])
+            ELSE list_concat([a[1], a[2], a[3] + x[2]]::BIGINT[], a[4:]) END)[4:], lambda i: keys[i]) AS firsts
+    FROM e, c, back),
+s AS (
+    SELECT r.*, coalesce(a.i, (SELECT count(*) FROM alone) + (SELECT len(list_filter(firsts, lambda f: f <= r.key)) FROM cuts)) AS shard
+    FROM r LEFT JOIN alone a ON a.key = r.key)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY ord) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s
+"""
+
+
+@query("op13_minimax_shards", OP13_SQL)
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.sized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = sharding.sharded(cut_lineage(docs.drop("text")))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import langid, pieces, simhash, topk, toxicity, warc
+from ticklens.llm import clustering, langid, pieces, simhash, topk, toxicity, warc, whitening
 from ticklens.llm.common import new_folder, query, remainder, table
 
 
@@ -84,3 +84,52 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc.id_in("refers_to").alias("refers_to"),
     )
     return warc.complete(found, files)
+
+
+def _round_sql(r: int) -> str:
+    """One round of the check: every vector's nearest centroid, then the floors of the means."""
+    return f"""
+a{r} AS MATERIALIZED (
+    SELECT rid, arg_min(c, (far, c)) AS c, min(far) AS far
+    FROM (SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i])))::BIGINT AS far
+          FROM v, c{r}) GROUP BY rid),
+m{r} AS (
+    SELECT c, list(s ORDER BY i) AS m
+    FROM (SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS s
+          FROM (SELECT a{r}.c, unnest(range(64)) AS i, unnest(e) AS x FROM a{r} JOIN v USING (rid)) GROUP BY c, i)
+    GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} USING (c)),"""
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e AS m
+    FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT 40)),
+{"".join(_round_sql(r) for r in range(5))}
+last AS (
+    SELECT rid, arg_min(c, (far, c)) AS c, min(far) AS far
+    FROM (SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i])))::BIGINT AS far
+          FROM v, c5) GROUP BY rid)
+SELECT vec_id, c::INT AS cluster, far AS distance, (sum(far) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM last JOIN c5 USING (c) JOIN v USING (rid)
+"""
+
+
+@query("op11_heap_clusters", OP11_SQL)
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return clustering.digest(rows, centroids).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dims = whitening.rows_of(table(spark, sf_dir, "embeddings"))
+    machine, distinct = whitening.fit(rows, dims)
+    return whitening.whiten(rows, machine, whitening.identity_error(distinct, machine))
