@@ -36,6 +36,7 @@ EXTRA_BYTES = 8  # of each document
 DIGITS = 3  # of the MD5 that the first elements share
 AT_ONCE = 50_000  # groups that are taken out of their elements in one step
 SMALL = 100_000  # elements of the search that may be broadcast
+NEVER = 1 << 40  # shards of a capacity that is not feasible
 
 LONG = "long"
 
@@ -53,7 +54,8 @@ def loads(elements: Column, capacity: Column) -> Column:
 
     def put(acc: Column, e: Column) -> Column:
         fits = acc["load"] + e["size"] <= capacity
-        n = F.when(fits, acc["n"]).otherwise(acc["n"] + 1)
+        # What is larger than the capacity as a whole fits no number of shards.
+        n = F.when(fits, acc["n"]).when(e["size"] > capacity, _long(NEVER)).otherwise(acc["n"] + 1)
         return F.struct(n.alias("n"), F.when(fits, acc["load"] + e["size"]).otherwise(e["size"]).alias("load"))
 
     return F.aggregate(elements, F.struct(_long(1).alias("n"), _long(0).alias("load")), put, lambda acc: acc["n"])
