@@ -1,7 +1,9 @@
 """The operators without user functions against their SQL and against plain loops."""
 
 import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -10,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tests.llm import data
 from tests.test_check_sql import canon
-from ticklens.llm import licenses, mixing, quality, secrets
+from ticklens.llm import licenses, mixing, quality, secrets, sharding
 from ticklens.llm.queries import ORACLE, QUERIES
 
-NATIVE = ("op2_secret_scan", "op3_license_scan", "op5_mix_sources", "op9_quality_rules")
+NATIVE = ("op2_secret_scan", "op3_license_scan", "op5_mix_sources", "op9_quality_rules", "op13_minimax_shards")
 
 
 @pytest.fixture(scope="module")
@@ -197,3 +199,62 @@ def test_schedules_are_inverted(spark):
     df = spark.createDataFrame(points, "t double, share double")
     for r in df.select("t", mixing.inverted(knots, F.col("share")).alias("got")).collect():
         assert r.got == pytest.approx(r.t, abs=1e-9)
+
+
+# ---- shards
+
+
+def plain_shards(sizes, k):
+    """The smallest capacity by trying all, and the cuts that every shard's load keeps within."""
+
+    def needed(cap):
+        n, load = 1, 0
+        for s in sizes:
+            n, load = (n, load + s) if load + s <= cap else (n + 1, s)
+        return n
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= k)
+
+
+@pytest.mark.parametrize(("digits", "at_once", "seed"), [(3, 50_000, 0), (1, 20, 1), (0, 1, 2)])
+def test_minimax_is_the_smallest_capacity(spark, monkeypatch, digits, at_once, seed):
+    """However far the search has to split its elements."""
+    monkeypatch.setattr(sharding, "DIGITS", digits)
+    monkeypatch.setattr(sharding, "AT_ONCE", at_once)
+    rng = random.Random(seed)
+    rows = [(hashlib.md5(str(i).encode()).hexdigest(), rng.choice([9, 20, 50, 400 if seed else 60])) for i in range(300)]
+    groups = spark.createDataFrame(rows, "key string, size bigint")
+    capacity, cuts = sharding.minimax(groups, 7)
+    rows.sort()
+    assert capacity == plain_shards([s for _, s in rows], 7)
+    shards = Counter()
+    for key, s in rows:
+        shards[sum(key >= c for c in cuts)] += s
+    assert len(shards) == 7 and max(shards.values()) <= capacity
+    assert sorted(cuts) == cuts and set(cuts) <= {k for k, _ in rows}
+
+
+def test_shards_keep_groups_whole_and_slots_gapless(spark):
+    rows = data.documents() + [(1000 + i, "the one text that many share", "en", "s0", 1) for i in range(400)]
+    out = sharding.sharded(sharding.sized(wide(spark, rows)), 5).collect()
+    assert len(out) == len(rows) and {r.kept for r in out} == {"mine"}
+    by_text, by_shard, load = {}, {}, Counter()
+    for r in out:
+        assert r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode())
+        by_text.setdefault(r.text or "", set()).add(r.shard)
+        by_shard.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] += r.size
+    assert all(len(s) == 1 for s in by_text.values()) and set(by_shard) == set(range(5))
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    # The two that are larger than an even share stand alone; the rest is even but for its largest group.
+    alone = [load[by_text[t].copy().pop()] for t in ("the one text that many share", max(by_text, key=len))]
+    rest = sorted(load[s] for s in load if load[s] not in alone)
+    assert len(rest) == 3 and rest[-1] - rest[0] < 3000
+
+
+def test_fewer_groups_than_shards(spark):
+    for texts in ([], ["a"], ["a", "b", None, "", "a"], ["x" * 10_000, "y"]):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        out = sharding.sharded(sharding.sized(docs)).collect()
+        assert len({r.shard for r in out}) == len({r.text or "" for r in out}) and len(out) == len(texts)
+        assert all(0 <= r.shard < 24 for r in out)
