@@ -2,12 +2,13 @@
 
 Encoding keeps an agenda of adjacent symbol pairs, ordered by the score of the piece that they would
 form, then by place: the best pair is merged, its new neighbours join the agenda, and entries whose
-symbols have changed meanwhile are passed over. Two characters that no piece holds side by side can
-never be merged across, so texts are cut there first, and what a cut part encodes to is remembered,
-up to a fixed number of parts.
+symbols have changed meanwhile are passed over. The new words of a batch work off their agendas in step, one
+row of a matrix each; what words encode to is remembered, up to a fixed number.
+Long words and texts that are not plain are cut where two characters stand that no piece holds side by side,
+since nothing is ever merged across, and take a heap.
 
 In every Arrow batch the agenda's ids are checked against the sentencepiece library: those of each
-word with a part not at hand, and those of each text that is not plain words between single blanks as a
+word not at hand, and those of each text that is not plain words between single blanks as a
 whole. A difference fails the task. Decoding is the library's.
 
 Null texts count as empty and give the end id alone. Texts of any length are encoded whole;
@@ -18,10 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +33,17 @@ from pyspark.sql import types as T
 
 from ticklens.llm.common import small_batches, text_of
 
+if TYPE_CHECKING:
+    import numpy as np
+
 SPACE = "▁"  # stands for a blank within pieces
 BITS = 20  # of a symbol's number
 MASK = (1 << BITS) - 1
 NEVER = 1 << 62  # of a pair that forms no piece
+LAST = (1 << 31) - 1  # its rank
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 48)  # characters of the words that are merged in step, by matrix
 
-Ids = tuple[int, ...]
+Ids = list[int]
 
 
 class Encoder:
@@ -59,8 +68,7 @@ class Encoder:
         self.max_parts = max_parts
         self.known: dict[str, Ids] = {}
         self.older: dict[str, Ids] = {}
-        self.small: dict[str, tuple[int, ...]] = {}
-        self.n_parts = 0  # encoded so far
+        self.small: dict[str, Ids] = {}
         self.digits = [str(i) for i in ids]
 
     def _number(self) -> None:
@@ -83,6 +91,77 @@ class Encoder:
                 a, b = number.get(p[:i]), number.get(p[i:])
                 if a is not None and b is not None:
                     self.merges[a << BITS | b] = rank << BITS | number[p]
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The numbers and merges as arrays: symbols by code point, ids by symbol, merges by sorted pair."""
+        import numpy as np
+
+        self.symbol_at = np.full(0x110000, self.other, "i4")
+        for c, k in self.symbol_of.items():
+            self.symbol_at[ord(c)] = k
+        self.padding = len(self.symbol_ids)
+        self.no_piece = np.array([*(i is None for i in self.symbol_ids), False])
+        self.id_at = np.array([*self.symbol_ids, None], object)  # one int object per id, shared by all words
+        self.pair_keys = np.array(sorted(self.merges) or [-1], "i8")
+        merges = [self.merges.get(k, NEVER) for k in self.pair_keys.tolist()]
+        self.pair_ranks = np.array([min(m >> BITS, LAST) for m in merges], "i4")
+        self.pair_numbers = np.array([m & MASK for m in merges], "i4")
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each pair among the merges, and whether it is one."""
+        import numpy as np
+
+        pairs = left.astype("i8") << BITS | right
+        at = np.searchsorted(self.pair_keys, pairs)
+        at[at == len(self.pair_keys)] = 0
+        return at, self.pair_keys[at] == pairs
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each pair forms."""
+        import numpy as np
+
+        at, there = self._found(left, right)
+        return np.where(there, self.pair_ranks[at], np.int32(LAST))
+
+    def in_step(self, words: list[str], width: int) -> list[Ids]:
+        """Ids of words of up to ``width`` characters. Rows that still merge have merged as often, so they stay a matrix."""
+        import numpy as np
+
+        out: list[Ids] = [[]] * len(words)
+        size = np.fromiter(map(len, words), "i8", len(words))
+        flat = "".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass")
+        symbols = self.symbol_at[np.frombuffer(flat, "u4").reshape(-1, width)]
+        symbols[np.arange(width) >= size[:, None]] = self.padding  # forms no piece and stays at the end
+        own, agenda = np.arange(len(words)), self._ranked(symbols[:, :-1], symbols[:, 1:])
+        for merged in range(width):
+            rows = np.arange(len(own))
+            if merged < width - 1:
+                best = agenda.argmin(1)  # the leftmost of equals
+                over = agenda[rows, best] == LAST
+            else:
+                over = np.ones(len(own), bool)
+            if over.any():
+                left, ended = symbols[over], own[over].tolist()
+                odd = self.no_piece[left].any(1).tolist()
+                for k, (i, row, n) in enumerate(zip(ended, self.id_at[left].tolist(), size[over].tolist(), strict=True)):
+                    del row[n - merged :]
+                    out[i] = self._spelled(words[i], left[k, : n - merged].tolist()) if odd[k] else row
+                go = ~over
+                own = own[go]
+                if not len(own):
+                    break
+                symbols, agenda, best, size = symbols[go], agenda[go], best[go], size[go]
+                rows = np.arange(len(own))
+            at, _ = self._found(symbols[rows, best], symbols[rows, best + 1])
+            symbols[rows, best] = self.pair_numbers[at]
+            place = np.arange(symbols.shape[1] - 1)
+            symbols = np.where(place > best[:, None], symbols[:, 1:], symbols[:, :-1])
+            agenda = np.where(place[:-1] >= best[:, None], agenda[:, 1:], agenda[:, :-1])
+            for side, some in ((best - 1, best > 0), (best, best < agenda.shape[1])):
+                r, at = rows[some], side[some]
+                agenda[r, at] = self._ranked(symbols[r, at], symbols[r, at + 1])
+        return out
 
     def _unknown(self, char: str) -> list[int]:
         if char in self.reserved:
@@ -131,17 +210,18 @@ class Encoder:
                     heappush(agenda, (m, x, y))
         return [s for s, out in zip(symbols, gone, strict=True) if not out]
 
-    def _ids(self, part: str) -> tuple[int, ...]:
-        symbols = self.merged(part)
-        ids = [self.symbol_ids[s] for s in symbols]
-        if None not in ids:
-            return tuple(ids)
+    def _spelled(self, part: str, symbols: list[int]) -> Ids:
+        """The ids of the symbols of a part; characters without a piece as the model spells them."""
         out: list[int] = []
         at = 0
-        for s, i in zip(symbols, ids, strict=True):
-            out += self._unknown(part[at]) if i is None else [i]
+        for s in symbols:
+            i = self.symbol_ids[s]
+            if i is None:
+                out += self._unknown(part[at])
+            else:
+                out.append(i)
             at += self.symbol_size[s]
-        return tuple(out)
+        return out
 
     def _joined(self, word: str) -> list[int]:
         """The ids of a run of symbols, from those of its parts."""
@@ -154,21 +234,22 @@ class Encoder:
             if (ids := small.get(part)) is None:
                 if len(small) >= self.max_parts:
                     small.clear()
-                ids = small[part] = self._ids(part)
-                self.n_parts += 1
+                ids = small[part] = self._spelled(part, self.merged(part))
             out += ids
         return out
 
     def _learn(self, words: list[str]) -> dict[str, Ids]:
-        """Words that come after one blank: by the agenda, and where a part is new compared with the library."""
-        new, checked = {}, []
+        """Words that come after one blank: by the agenda, all of them compared with the library."""
+        by_width, new = defaultdict(list), {}
         for word in words:
-            before = self.n_parts
-            new[word] = tuple(self._joined(SPACE + word))
-            if self.n_parts > before:
-                checked.append(word)
-        for word, ids in zip(checked, self.library.encode(checked, num_threads=1), strict=True):
-            if new[word] != tuple(ids):
+            by_width[bisect_left(WIDTHS, len(word) + 1)].append(word)
+        for k, some in by_width.items():
+            if k < len(WIDTHS):
+                new.update(zip(some, self.in_step([SPACE + w for w in some], WIDTHS[k]), strict=True))
+            else:
+                new.update((w, self._joined(SPACE + w)) for w in some)
+        for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True):
+            if new[word] != ids:
                 raise ValueError(f"agenda and library differ on {word!r}")
         return new
 
@@ -180,7 +261,7 @@ class Encoder:
             ids = [i for j, i in enumerate(ids) if i != unk or j == 0 or ids[j - 1] != i]
         if ids != self.library.encode(text, num_threads=1):
             raise ValueError(f"agenda and library differ on {text[:200]!r}")
-        return tuple(ids)
+        return ids
 
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """The ids of each text, in decimal joined by blanks and as numbers, the end id included.
@@ -208,7 +289,7 @@ class Encoder:
             self.known, self.older = new, self.known
         else:
             self.known.update(new)
-        end, digits, out = (self.end,), self.digits, []
+        end, digits, out = [self.end], self.digits, []
         for each in parts:
             ids = list(chain.from_iterable([*each, end]))
             out.append((" ".join([digits[i] for i in ids]), ids))
