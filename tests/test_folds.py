@@ -10,6 +10,7 @@ import pytest
 from ticklens.config import STATUS_ALERTS, AlertConfig, DeliveryConfig, RankConfig
 from ticklens.operators import alerts, delivery, ledger, ranking
 from ticklens.operators.thin import thin_by_gap
+from ticklens.plans.handoff import row_slices
 
 
 def rows_of(df, *cols):
@@ -32,14 +33,14 @@ def test_thinning(spark, slice_ms):
     assert rows_of(thin_by_gap(df, ["k"], "ts", 400, slice_ms=slice_ms), "k", "ts") == sorted(want)
 
 
-def loop_hysteresis(rows, cfg):
-    """rows: (ts, symbol, score) -> rank events as the sequential rule gives them."""
+def loop_hysteresis(rows, cfg, absent=False):
+    """rows: (ts, symbol, score) -> rank events as the sequential rule gives them; ``absent`` symbols go on with score 0."""
     st, top, out = {}, [], []
     for ts in sorted({r[0] for r in rows}):
         now = {s: x for t, s, x in rows if t == ts}
         ranked = [s for x, s in sorted((-x, s) for s, x in now.items() if x >= cfg.score_threshold)]
         best, events = set(ranked[: cfg.top_k]), []
-        for s in now:
+        for s in {*now, *st} if absent else now:
             q = st.setdefault(s, {"s": "out", "t": ts, "rank": -1})
             inside, age = s in best, ts - q["t"]
             new = q["s"]
@@ -105,8 +106,8 @@ def loop_alerts(rows, cfg):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cap,slice_ms", [(3, 50_000), (3, 10_000_000), (1_000, 50_000)])
-def test_alert_decisions(spark, cap, slice_ms):
+@pytest.mark.parametrize("cap,slice_ms,slice_rows", [(3, 50_000, 10**6), (3, 10_000_000, 10**6), (1_000, 50_000, 10**6), (3, 10_000_000, 40)])
+def test_alert_decisions(spark, cap, slice_ms, slice_rows):
     rng = random.Random(cap)
     rows, now = [], {}
     for t in range(1_000, 301_000, 1_000):
@@ -114,16 +115,16 @@ def test_alert_decisions(spark, cap, slice_ms):
             if rng.random() < 0.12:
                 now[s] = rng.choice(["TRADEABLE", "TRAP", "DATA_ISSUE", "WATCH", "DEAD"])
             rows.append((t, s, now.get(s, "DEAD")))
-    cfg = AlertConfig(max_per_min=cap, slice_ms=slice_ms)
+    cfg = AlertConfig(max_per_min=cap, slice_ms=slice_ms, slice_rows=slice_rows)
     df = spark.createDataFrame(rows, "ts long, symbol string, status string")
     got = alerts.alert_decisions(df, cfg)
     assert rows_of(got, "ts", "symbol", "event", "decision") == loop_alerts(rows, cfg)
 
 
-@pytest.mark.parametrize("slice_ms", [70_000, 10_000_000])
-def test_deliveries(spark, slice_ms):
+@pytest.mark.parametrize("slice_ms,slice_rows", [(70_000, 10**6), (10_000_000, 10**6), (10_000_000, 25)])
+def test_deliveries(spark, slice_ms, slice_rows):
     rng = random.Random(3)
-    cfg = DeliveryConfig(max_per_min=4, slice_ms=slice_ms)
+    cfg = DeliveryConfig(max_per_min=4, slice_ms=slice_ms, slice_rows=slice_rows)
     rows = sorted(
         {
             (rng.randrange(600_000), rng.choice("abcdef"), rng.choice("XYZ"), rng.choice(["", "TRAP", "WATCH"]))
@@ -206,3 +207,25 @@ def test_first_touch_in_small_slices(spark):
     t = spark.createDataFrame(trades, "symbol string, ts long, seq long, price double")
     got = ledger.first_touch_fills(o, t, 300, slice_ms=450)
     assert sorted((r.order_id, r.fill_ts) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("slice_ms", [300_000, 3_600_000])
+def test_deliveries_remember_null_symbols(spark, slice_ms):
+    rows = spark.createDataFrame([(t, None, "X", "TRAP") for t in (0, 700_000, 1_400_000)], "ts long, symbol string, event string, status string")
+    got = delivery.dedupe_deliveries(rows, DeliveryConfig(slice_ms=slice_ms))
+    assert rows_of(got, "ts", "decision") == [(0, "passed"), (700_000, "duplicate"), (1_400_000, "duplicate")]
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_slices_are_bounded_by_rows(spark, times):
+    """Ten times the rows in the same span of time: more slices, none longer."""
+    rng = random.Random(times)
+    rows = spark.createDataFrame([(rng.randrange(60_000),) for _ in range(500 * times)], "ts long")
+    own, cuts = row_slices(rows, 3_600_000, 100, 10_000)
+    sizes = [r["count"] for r in own.groupBy("slice").count().collect()]
+    assert sum(sizes) == 500 * times and len(sizes) >= 3 * times
+    second = max(r["count"] for r in rows.groupBy((rows.ts / 1_000).cast("int")).count().collect())
+    assert max(sizes) < 100 + second
+    spans = sorted((r["_start"], r["_end"]) for r in cuts.collect())
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert all(0 <= r["_upto"] - r["slice"] <= 4 for r in own.collect())

@@ -54,7 +54,7 @@ def test_hysteresis_and_alert_streams(spark, tmp_path):
             rows.append((s, t, now.get(s, "DEAD"), now.get(s) in ("TRADEABLE", "TRAP")))
     df = spark.createDataFrame(rows, "symbol string, ts long, status string, member boolean")
     s = stream_of(spark, f"{tmp_path}/in", df, 4, df.schema)
-    got = drain(state.hysteresis_stream(s, RankConfig()), tmp_path, "hyst_out")
+    got = drain(state.hysteresis_stream(feeds.with_event_time(s), RankConfig()), tmp_path, "hyst_out")
     want = ranking.hysteresis(df.select("symbol", "ts", "member"), RankConfig()).filter("event IS NOT NULL")
     want = want.select("symbol", "ts", "event")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not got.isEmpty()
@@ -64,6 +64,15 @@ def test_hysteresis_and_alert_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("ts", "symbol", "event").collect()))
 
 
+def test_a_symbol_that_stays_away_leaves(spark, tmp_path):
+    rows = [("a", t, True) for t in range(0, 90_000, 1_000)] + [("z", t, True) for t in range(0, 30_000, 1_000)]
+    df = spark.createDataFrame(sorted(rows, key=lambda r: r[1]), "symbol string, ts long, member boolean")
+    s = stream_of(spark, f"{tmp_path}/in", df, 4, df.schema)
+    got = drain(state.hysteresis_stream(feeds.with_event_time(s), RankConfig()), tmp_path, "away_out")
+    away = RankConfig().min_dwell_ms + RankConfig().exit_ms
+    assert sorted(map(tuple, got.collect())) == [("a", 2_000, "SYMBOL_ENTER"), ("z", 2_000, "SYMBOL_ENTER"), ("z", 29_000 + away, "SYMBOL_EXIT")]
+
+
 def test_dedupe_stream(spark, tmp_path):
     df = spark.createDataFrame([(i // 2, i * 10) for i in range(40)], "id long, ts long")
     s = stream_of(spark, f"{tmp_path}/in", df, 4, df.schema)

@@ -82,6 +82,7 @@ class AlertConfig:
     data_issue_ms: int = 10_000
     text_cooldown_ms: int = 60_000
     slice_ms: int = 3_600_000
+    slice_rows: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,7 @@ class DeliveryConfig:
     max_per_min: int = 30
     transition_only: bool = True
     slice_ms: int = 3_600_000
+    slice_rows: int = 200_000
 
     def __post_init__(self) -> None:
         if self.cooldown_ms < 0 or self.max_per_min < 1:

@@ -72,6 +72,9 @@ def reason(code: Column | str, value: Column, unit: str, evidence: Column | str)
     )
 
 
+# The codes, units and evidence texts of the reasons below.
+
+
 def _gate_and_flow_reasons(cfg: ModelConfig) -> list[Column]:
     spread, impact = F.col("spread_bps"), F.col("impact_bps_q")
     flow, book = F.col("flow_imbalance"), F.col("book_imbalance")

@@ -75,7 +75,7 @@ def accept(
         live = [
             [t, s, e] for (s, e), t in last.items() if t > end_ms - max(cfg.cooldown_ms, MINUTE_MS + 1)
         ]
-        return pd.DataFrame(got, columns=["ts", "symbol", "event"]), json.dumps(sorted(live)) if live else ""
+        return pd.DataFrame(got, columns=["ts", "symbol", "event"]), json.dumps(sorted(live, key=json.dumps)) if live else ""
 
     if cfg.cooldown_ms < MINUTE_MS:
         raise ValueError("the cooldown must cover the cap window")
@@ -85,7 +85,7 @@ def accept(
     place = F.dense_rank().over(Window.partitionBy("ts").orderBy("symbol", "event"))
     slim = slim.withColumn("_n", place).filter(F.col("_n") <= enough).drop("_n")
     warm = max(cfg.cooldown_ms, MINUTE_MS) + MINUTE_MS
-    return handoff_fold(slim, cfg.slice_ms, warm, fold, slim.schema)
+    return handoff_fold(slim, cfg.slice_ms, warm, fold, slim.schema, slice_rows=cfg.slice_rows)
 
 
 def alert_decisions(

@@ -61,7 +61,7 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
                 recent.append(t)
                 said.append("passed")
         keep = max(cfg.cooldown_ms, MINUTE_MS + 1)
-        live = sorted([t, s, e] for (s, e), t in last.items() if t > end_ms - keep)
+        live = sorted(([t, s, e] for (s, e), t in last.items() if t > end_ms - keep), key=json.dumps)
         return pdf.assign(decision=said), json.dumps(live) if live else ""
 
     if cfg.cooldown_ms < MINUTE_MS:
@@ -69,7 +69,7 @@ def dedupe_deliveries(events: DataFrame, cfg: DeliveryConfig = DeliveryConfig())
     said = F.when(F.col("status") != "", F.col("status"))
     sent = F.when(F.col("decision") == "passed", said)
     memory = Memory("symbol", said, sent, ("ts", "event"))
-    return handoff_fold(slim, cfg.slice_ms, cfg.cooldown_ms + MINUTE_MS, fold, out, memory)
+    return handoff_fold(slim, cfg.slice_ms, cfg.cooldown_ms + MINUTE_MS, fold, out, memory, cfg.slice_rows)
 
 
 def delivery_metrics(decisions: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklens.operators.asof import asof_join
-from ticklens.plans.cells import by_cell, by_cell_with
+from ticklens.plans.cells import by_cell, by_cell_arrays, by_cell_with, column
 from ticklens.plans.slices import SLICE, Run, running, slice_of, with_slices
 from ticklens.session import cut_lineage
 
@@ -322,32 +323,31 @@ def first_touch_fills(
     cells = ["symbol", SLICE]
     resting = orders.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
 
-    def match(key: tuple, o: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ts")
-        ts = p["ts"].to_numpy()
-        out = o[["symbol", "order_id"]].copy()
-        hit = np.full(len(o), -1, dtype=np.int64)
-        if len(ts) and len(o):
-            start = np.searchsorted(ts, o["ts"].to_numpy(), side="right")
-            buy = (o["side"] == "BUY").to_numpy()
-            limit = o["price"].to_numpy(dtype=float)
-            for side, values, lim in (
-                (buy, p["lo"].to_numpy(dtype=float), limit),
-                (~buy, -p["hi"].to_numpy(dtype=float), -limit),
-            ):
-                i = _first_at_or_below(values, start[side], lim[side])
-                at = np.append(ts, np.iinfo(np.int64).max)[i]
-                hit[side] = np.where(at <= o["ts"].to_numpy()[side] + horizon_ms, at, -1)
-        out["later_ts"] = hit
-        return out
-
-    later = by_cell_with(
-        resting.select("symbol", SLICE, "order_id", "ts", "side", "price"),
-        ahead.select("symbol", SLICE, "ts", "lo", "hi"),
-        cells,
-        match,
-        "symbol string, order_id long, later_ts long",
+    def match(table: pa.Table, starts: np.ndarray) -> dict[str, object]:
+        """The trades of a cell, by time, are followed by its orders."""
+        ts, is_order, buy = (column(table, c) for c in ("ts", "is_order", "buy"))
+        lo, hi, limit = (column(table, c).astype(float) for c in ("lo", "hi", "price"))
+        hit = np.full(len(ts), -1, dtype=np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(ts)), strict=True):
+            cut = a + int(np.searchsorted(is_order[a:b], True))
+            if cut in (a, b):
+                continue
+            at, asked = ts[a:cut], np.arange(cut, b)
+            first = np.searchsorted(at, ts[cut:b], side="right")
+            for side, values, lim in ((buy[cut:b], lo[a:cut], limit[cut:b]), (~buy[cut:b], -hi[a:cut], -limit[cut:b])):
+                if side.any():
+                    i = _first_at_or_below(values, first[side], lim[side])
+                    found = np.append(at, np.iinfo(np.int64).max)[i]
+                    hit[asked[side]] = np.where(found <= ts[asked[side]] + horizon_ms, found, -1)
+        asked = table.select(["symbol", "order_id"]).filter(pa.array(is_order))
+        return {c: asked.column(c).combine_chunks() for c in asked.column_names} | {"later_ts": hit[is_order]}
+
+    own = resting.select(
+        "symbol", SLICE, "order_id", "ts", (F.col("side") == "BUY").alias("buy"), "price", F.lit(True).alias("is_order")
     )
+    both = own.unionByName(ahead.select("symbol", SLICE, "ts", "lo", "hi", F.lit(False).alias("is_order")), allowMissingColumns=True)
+    both = both.fillna({"buy": False}).fillna(float("nan"), ["lo", "hi", "price"])
+    later = by_cell_arrays(both, cells, ["is_order", "ts"], match, "symbol string, order_id long, later_ts long")
     # The order's own instant: the last rows of it decide, lows and highs after its seq.
     same = running(
         trades.join(orders.select("symbol", "ts").distinct(), ["symbol", "ts"], "left_semi")

@@ -17,7 +17,6 @@ from ticklens.functions.numeric import clamp
 from ticklens.plans.slices import Run, running, slice_of
 
 SCORE_SLICES = 1024
-EULER_GAMMA = 0.5772156649015329
 
 
 def score_table(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -32,30 +31,24 @@ def score_table(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return running(counts, by, cell, ["down"], runs).drop("down")
 
 
-def _harmonic(n: Column) -> Column:
-    """n-th harmonic number: summed below 32, by its asymptotic series above."""
-    small = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(32)), F.lit(1)).cast("int")),
-        F.lit(0.0),
-        lambda acc, i: acc + F.lit(1.0) / i,
-    )
-    x = n.cast("double")
-    series = (
-        F.log(x) + EULER_GAMMA + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
-    )
-    return F.when(n <= 0, 0.0).when(n <= 32, small).otherwise(series)
+DIRECT = 64  # tied positives that are summed one by one
 
 
 def _precision_sum(tp: Column, fp: Column, p: Column) -> Column:
-    """Sum of (tp + j) / (tp + fp + j) for j = 1..p: precision at each tied positive."""
-    short = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(p, F.lit(64)), F.lit(1)).cast("int")),
-        F.lit(0.0),
-        lambda acc, j: acc + (tp + j) / (tp + fp + j),
-    )
+    """Sum of (tp + j) / (tp + fp + j) for j = 1..p: precision at each tied positive.
+
+    The first ``DIRECT`` terms one by one; of the others, those that are left, less ``fp`` times the sum of their reciprocals,
+    which the midpoint rule with two corrections gives to the last digits that far from 0.
+    """
     n = tp + fp
-    long = p - fp * (_harmonic(n + p) - _harmonic(n))
-    return F.when(p <= 0, 0.0).when(fp == 0, p.cast("double")).when(p <= 64, short).otherwise(long)
+    head = F.aggregate(
+        F.sequence(F.lit(1), F.lit(DIRECT)), F.lit(0.0), lambda acc, j: acc + F.when(j <= p, (tp + j) / (n + j)).otherwise(0.0)
+    )
+    left = F.greatest(p - DIRECT, F.lit(0)).cast("double")
+    a = n + (DIRECT + 0.5)
+    b = a + left
+    inverse = F.log1p(left / a) + (1 / (b * b) - 1 / (a * a)) / 24 - (1 / (b * b * b * b) - 1 / (a * a * a * a)) * (7 / 960)
+    return head + left - fp * inverse
 
 
 def ranking_quality(df: DataFrame, by: Sequence[str]) -> DataFrame:

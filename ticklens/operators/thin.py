@@ -11,24 +11,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.plans.cells import by_cell, by_cell_with
+from ticklens.plans.cells import by_cell_arrays, column
 from ticklens.plans.slices import SLICE, slice_of
 from ticklens.session import cut_lineage
 
 THIN_SLICE_MS = 10_800_000
+NEVER = -(2**62)  # before any stamp
 
 
-def _last_kept(t: np.ndarray, gap_ms: int) -> np.ndarray:
-    """For each stamp, the last one kept in this slice if it is kept itself."""
+def _steps(t: np.ndarray, starts: np.ndarray, gap_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each stamp of the sorted cells the place of the next one that may be kept, and the end of its cell."""
     n = len(t)
-    here = np.arange(n)
-    step = np.searchsorted(t, t + gap_ms)
-    step = np.where(step < n, step, here)
+    sizes = np.diff(np.append(starts, n))
+    cell, ends = np.repeat(np.arange(len(starts)), sizes), np.repeat(np.append(starts[1:], n), sizes)
+    # Cells lie one after the other on one line, farther apart than any step reaches.
+    line = (t - t[starts][cell]) + cell * (int((t - t[starts][cell]).max(initial=0)) + gap_ms + 1)
+    return np.searchsorted(line, line + gap_ms), ends
+
+
+def _last_kept(t: np.ndarray, starts: np.ndarray, gap_ms: int) -> np.ndarray:
+    """For each stamp, the last one kept in its cell if it is kept itself."""
+    step, ends = _steps(t, starts, gap_ms)
+    step = np.where(step < ends, step, np.arange(len(t)))
     while True:
         further = step[step]
         if np.array_equal(further, step):
@@ -36,19 +45,13 @@ def _last_kept(t: np.ndarray, gap_ms: int) -> np.ndarray:
         step = further
 
 
-def _walk(t: np.ndarray, gap_ms: int, start: int) -> np.ndarray:
-    kept = []
-    i = start
-    while i < len(t):
-        kept.append(i)
-        i = int(np.searchsorted(t, t[i] + gap_ms))
-    return t[kept] if kept else t[:0]
-
-
 def thin_stamps(
     stamps: DataFrame, keys: Sequence[str], gap_ms: int, slice_ms: int = THIN_SLICE_MS
 ) -> DataFrame:
     """Kept stamps of distinct (keys, t)."""
+    if not keys:
+        one = stamps.select(F.lit(0).alias("_all"), "t")
+        return thin_stamps(one, ["_all"], gap_ms, slice_ms).drop("_all")
     keys = list(keys)
     cells = [*keys, SLICE]
     stamps = stamps.select(*keys, "t").withColumn(SLICE, slice_of(F.col("t"), slice_ms))
@@ -58,49 +61,62 @@ def thin_stamps(
         key_fields + [T.StructField(n, T.LongType()) for n in names]
     )
 
-    def transfer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
-        last = _last_kept(t, gap_ms)
-        # The carried-in stamp is older than t[0], so one of these is kept first.
-        m = min(int(np.searchsorted(t, t[0] + gap_ms)) + 1, len(t))
-        ends = np.append(last[1:m] != last[: m - 1], True)
-        out = pd.DataFrame({"from_t": t[:m][ends], "last_t": last[:m][ends]})
-        for name, value in zip(cells, key, strict=True):
-            out[name] = value
-        return out[[*cells, "from_t", "last_t"]]
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([SLICE, "from_t"])
-        slices = pdf[SLICE].to_numpy()
-        first, last = pdf["from_t"].to_numpy(), pdf["last_t"].to_numpy()
-        uniq, at = np.unique(slices, return_index=True)
-        bounds = np.append(at, len(slices))
-        ready = np.iinfo(np.int64).min  # earliest stamp that may be kept next
-        entries = []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            entries.append(ready)
-            i = lo + int(np.searchsorted(first[lo:hi], ready))
-            if i < hi:
-                ready = int(last[i]) + gap_ms
-        out = pd.DataFrame({SLICE: uniq, "ready": entries})
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*cells, "ready"]]
-
-    def walk(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
-        kept = _walk(t, gap_ms, int(np.searchsorted(t, entry["ready"].iloc[0])))
-        out = pd.DataFrame({"t": kept})
-        for name, value in zip(cells, key, strict=True):
-            out[name] = value
-        return out[[*cells, "t"]]
-
-    tables = by_cell(stamps, cells, transfer, schema("from_t", "last_t"))
-    if keys:
-        entries = by_cell(tables, keys, chain, schema("ready"))
-    else:
-        entries = tables.groupBy().applyInPandas(lambda pdf: chain((), pdf), schema("ready"))
-    kept = by_cell_with(stamps, entries, cells, walk, schema("t"))
+    def taken(table: pa.Table, names: list[str], at: np.ndarray) -> dict[str, object]:
+        some = table.select(names).take(pa.array(at))
+        return {c: some.column(c).combine_chunks() for c in names}
+
+    def transfer(table: pa.Table, starts: np.ndarray) -> dict[str, object]:
+        t = column(table, "t")
+        last = _last_kept(t, starts, gap_ms)
+        # The carried-in stamp is older than a cell's first, so that or one up to a gap later, and one more, is kept first.
+        first = np.repeat(t[starts], np.diff(np.append(starts, len(t))))
+        able = np.ones(len(t), bool)
+        able[1:] = t[:-1] < first[1:] + gap_ms
+        able[starts] = True
+        ends = np.append((last[1:] != last[:-1]) | ~able[1:], True)
+        ends[starts[1:] - 1] = True
+        at = np.flatnonzero(able & ends)
+        return taken(table, cells, at) | {"from_t": t[at], "last_t": last[at]}
+
+    def chain(table: pa.Table, starts: np.ndarray) -> dict[str, object]:
+        slices, first, last = (column(table, c).tolist() for c in (SLICE, "from_t", "last_t"))
+        fresh, at, entries, ready, open_slice = set(starts.tolist()), [], [], NEVER, False
+        for i in range(len(slices)):
+            if i in fresh:
+                ready = NEVER  # earliest stamp that may be kept next
+            if i in fresh or slices[i] != slices[i - 1]:
+                at.append(i)
+                entries.append(ready)
+                open_slice = True
+            if open_slice and first[i] >= ready:
+                ready, open_slice = last[i] + gap_ms, False
+        return taken(table, cells, np.array(at)) | {"ready": entries}
+
+    def walk(table: pa.Table, starts: np.ndarray) -> dict[str, object]:
+        """The first row of a cell has its entry."""
+        t, ready = column(table, "t"), column(table, "ready")
+        own = np.ones(len(t), bool)
+        own[starts] = False
+        ends = np.append(starts[1:], len(t))
+        some = ends > starts + 1
+        at_t = np.flatnonzero(own)
+        first = (starts - np.arange(len(starts)))[some]  # where cells start among the stamps
+        stamps, limit = t[at_t], ready[starts][some]
+        step, over = _steps(stamps, first, gap_ms)
+        sizes = np.diff(np.append(first, len(stamps)))
+        here = first + np.add.reduceat(stamps < np.repeat(limit, sizes), first) if len(first) else first
+        kept, end = np.zeros(len(stamps) + 1, bool), np.append(first[1:], len(stamps))
+        while len(here := here[(ok := here < end)]):
+            kept[here], end = True, end[ok]
+            here = step[here]
+        return taken(table, [*cells, "t"], at_t[kept[:-1]])
+
+    tables = by_cell_arrays(stamps, cells, ["t"], transfer, schema("from_t", "last_t"))
+    entries = by_cell_arrays(tables, keys, [SLICE, "from_t"], chain, schema("ready"))
+    both = stamps.unionByName(entries, allowMissingColumns=True)
+    low = F.coalesce("ready", F.lit(0)).alias("ready")
+    both = both.select(*cells, F.coalesce("t", F.lit(NEVER)).alias("t"), low, F.col("t").isNotNull().alias("own"))
+    kept = by_cell_arrays(both, cells, ["own", "t"], walk, schema("t"))
     return kept.drop(SLICE)
 
 

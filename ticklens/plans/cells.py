@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -93,3 +95,65 @@ def by_cell_with(
         return fn(key, left, right)[names] if len(left) else pd.DataFrame(columns=names)
 
     return df.groupBy(*cells).cogroup(other.groupBy(*cells)).applyInPandas(run, schema)
+
+
+def _starts(table: pa.Table, cells: Sequence[str]) -> np.ndarray:
+    """Where a new cell begins; null keys are keys."""
+    n = table.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in cells:
+        col = table.column(c).combine_chunks()
+        a, b = col.slice(1), col.slice(0, n - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        nulls = a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False)
+        new[1:] |= differ | nulls
+    return np.flatnonzero(new)
+
+
+def by_cell_arrays(
+    df: DataFrame,
+    cells: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[pa.Table, np.ndarray], dict[str, object]],
+    schema: str | T.StructType,
+) -> DataFrame:
+    """``fn(rows, starts)`` for the whole cells of each batch at once, as Arrow columns; ``starts`` has their offsets.
+
+    Rows are dealt by cell and sorted by ``order`` within. What is made gives the columns of ``schema``. Python holds one batch and,
+    where a cell goes on beyond it, that cell; no frame is made per cell.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    cells = list(cells)
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    made = to_arrow_schema(schema)
+
+    def out(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        got = fn(table, starts)
+        columns = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in made]
+        yield pa.RecordBatch.from_arrays(columns, schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and not len(_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]), cells)[1:]):
+                held.append(batch)  # one cell that goes on
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            starts = _starts(table, cells)
+            if len(starts) > 1:
+                yield from out(table.slice(0, starts[-1]), starts[:-1])
+            held = table.slice(starts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from out(table, np.zeros(1, int))
+
+    return df.repartition(*cells).sortWithinPartitions(*cells, *order).mapInArrow(run, schema)
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    """A column as a numpy array."""
+    return table.column(name).to_numpy()

@@ -12,19 +12,24 @@ which would grow with the keys and which no warm-up could guess. It is a ``Memor
 one value per key and slice, carried over the slices by a window per key, guessed from
 the rows first and then taken from the results. Only slices with a wrong state or a
 wrong memory run again; the results of the others stay where they are.
+
+A slice ends at a multiple of the slice length or, before that, where it has its number of rows. So a slice's task
+holds a bounded number of rows however dense the time is, but for what one bucket of a second has. Warm-up rows come
+from at most ``WARM_SLICES`` slices before; a guess from less is repaired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.plans.slices import SLICE, slice_of, with_slices
+from ticklens.plans.slices import SLICE, Run, running, slice_of
 from ticklens.session import cut_lineage
 
 Fold = Callable[[pd.DataFrame, str, int], tuple[pd.DataFrame, str]]
@@ -41,21 +46,58 @@ class Memory:
 
 
 WAS = "_was"
+SLICE_ROWS = 200_000
+WARM_SLICES = 4
+_KEY = "_key"  # a struct, so that null keys meet each other
+
+
+def row_slices(rows: DataFrame, slice_ms: int, slice_rows: int, warm_ms: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their slice and the last slice that they warm up; and the slices with ``_start`` and ``_end``.
+
+    Counts per bucket decide; a bucket is a second or less. Slices are numbered from 0 in time.
+    """
+    grain = gcd(slice_ms, 1_000)
+    bucket = slice_of(F.col("ts"), grain)
+    per = cut_lineage(rows.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    long = slice_of(F.col("_b") * grain, slice_ms)
+    cell = slice_of(F.col("_b"), 1_024)
+    per = running(per.withColumn("_long", long), ["_long"], cell, ["_b"], [Run("_to", "sum", F.col("_n"), inclusive=False)])
+    per = per.withColumn("_part", F.struct("_long", F.floor(F.col("_to") / slice_rows).alias("_sub")))
+    per = running(per, [], cell, ["_b"], [Run("_was", "last", F.col("_part"), inclusive=False)])
+    new = F.when(F.col("_was").eqNullSafe(F.col("_part")), 0).otherwise(1)
+    per = running(per.withColumn("_new", new), [], cell, ["_b"], [Run("_k", "sum", F.col("_new"))])
+    per = per.select("_b", (F.col("_k") - 1).alias(SLICE))
+    asks = per.select("_b", SLICE, (F.col("_b") + -(-warm_ms // grain)).alias("_p"), F.lit(1).alias("_kind"))
+    marks = per.select(F.col("_b").alias("_p"), F.col(SLICE).alias("_mark"), F.lit(0).alias("_kind"))
+    both = asks.unionByName(marks, allowMissingColumns=True)
+    both = running(both, [], slice_of(F.col("_p"), 1_024), ["_p", "_kind"], [Run("_upto", "last", F.col("_mark"))])
+    upto = F.least(F.col("_upto"), F.col(SLICE) + WARM_SLICES)
+    per = cut_lineage(both.filter("_kind = 1").select("_b", SLICE, upto.alias("_upto")))
+    cuts = per.groupBy(SLICE).agg((F.min("_b") * grain).alias("_start"), ((F.max("_b") + 1) * grain).alias("_last"))
+    end = F.coalesce(F.lead("_start").over(Window.orderBy(SLICE)), F.col("_last"))  # one row per slice
+    cuts = cut_lineage(cuts.select(SLICE, "_start", end.alias("_end")))
+    return rows.withColumn("_b", bucket).join(per, "_b").drop("_b"), cuts
 
 
 def _last_per_slice(rows: DataFrame, m: Memory, value: Column) -> DataFrame:
     place = F.when(value.isNotNull(), F.struct(*m.order))
-    return rows.groupBy(SLICE, m.key).agg(F.max_by(value, place).alias("value"))
+    return rows.groupBy(SLICE, F.struct(m.key).alias(_KEY)).agg(F.max_by(value, place).alias("value"))
 
 
-def _carried(values: DataFrame, key: str) -> DataFrame:
+def _carried(values: DataFrame) -> DataFrame:
     """(slice, key, was): the value that each key brings into each of its slices."""
-    w = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return values.select(SLICE, key, F.last("value", ignorenulls=True).over(w).alias(WAS))
+    w = Window.partitionBy(_KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return values.select(SLICE, _KEY, F.last("value", ignorenulls=True).over(w).alias(WAS))
 
 
 def handoff_fold(
-    rows: DataFrame, slice_ms: int, warm_ms: int, fold: Fold, out: T.StructType, memory: Memory | None = None
+    rows: DataFrame,
+    slice_ms: int,
+    warm_ms: int,
+    fold: Fold,
+    out: T.StructType,
+    memory: Memory | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``fold(rows of a slice, state in, end of slice) -> (output rows, state out)``.
 
@@ -74,7 +116,7 @@ def handoff_fold(
     )
 
     def result(sl: int, own: pd.DataFrame, state: str) -> pd.DataFrame:
-        got, after = fold(own, state, (sl + 1) * slice_ms)
+        got, after = fold(own, state, int(own["_end"].iloc[0]))
         got = got.reindex(columns=names)
         # A last row without output always reports the states.
         got = pd.concat([got, pd.DataFrame([{c: None for c in names}])], ignore_index=True)
@@ -87,25 +129,28 @@ def handoff_fold(
 
     def first_run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sl = int(key[0])
-        own = (pdf["ts"] // slice_ms == sl).to_numpy()
+        own = (pdf["_home"] == sl).to_numpy()
         if not own.any():
             return pd.DataFrame(columns=[*names, SLICE, "state_in", "state_out"])
         state = ""
         if not own.all():
             before = pdf[~own]
-            _, state = fold(before.assign(**{WAS: None}) if remembers else before, "", sl * slice_ms)
+            _, state = fold(before.assign(**{WAS: None}) if remembers else before, "", int(pdf["_start"].iloc[0]))
         return result(sl, pdf[own], state)
 
     def rerun(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         return result(int(key[0]), pdf, entry["state"].iloc[0])
 
-    own = rows.withColumn(SLICE, slice_of(F.col("ts"), slice_ms))
-    warm = with_slices(rows, "ts", slice_ms, back_ms=warm_ms)
+    own, cuts = row_slices(rows, slice_ms, slice_rows, warm_ms)
+    warm = own.withColumn("_home", F.col(SLICE)).withColumn(SLICE, F.explode(F.sequence(SLICE, "_upto"))).drop("_upto")
+    warm = warm.join(cuts, SLICE)
+    own = own.drop("_upto").join(cuts, SLICE)
     was = None
+    keyed = lambda df: df.withColumn(_KEY, F.struct(memory.key))
     if memory:
         seen = cut_lineage(_last_per_slice(own, memory, memory.guess))
-        was = _carried(seen, memory.key)
-        warm = warm.join(was, [SLICE, memory.key], "left")
+        was = _carried(seen)
+        warm = keyed(warm).join(was, [SLICE, _KEY], "left").drop(_KEY)
     done = cut_lineage(warm.groupBy(SLICE).applyInPandas(first_run, schema))
     marker = F.col(names[0]).isNull()
     by_slice = Window.orderBy(SLICE)  # one row per slice
@@ -116,8 +161,8 @@ def handoff_fold(
         differs = F.col("state") != F.col("state_in")
         if memory:
             found = _last_per_slice(done.filter(~marker), memory, memory.value)
-            now = cut_lineage(_carried(seen.select(SLICE, memory.key).join(found, [SLICE, memory.key], "left"), memory.key))
-            moved = now.join(was.withColumnRenamed(WAS, "_old"), [SLICE, memory.key])
+            now = cut_lineage(_carried(seen.select(SLICE, _KEY).join(found, [SLICE, _KEY], "left")))
+            moved = now.join(was.withColumnRenamed(WAS, "_old"), [SLICE, _KEY])
             moved = moved.filter(~F.col(WAS).eqNullSafe(F.col("_old"))).select(SLICE).distinct()
             wrong = wrong.join(moved.withColumn("moved", F.lit(True)), SLICE, "left")
             differs = differs | F.col("moved").isNotNull()
@@ -127,6 +172,6 @@ def handoff_fold(
             return done.filter(~marker).select(*names)
         again = own.join(wrong.select(SLICE), SLICE, "left_semi")
         if memory:
-            again = again.join(was, [SLICE, memory.key], "left")
+            again = keyed(again).join(was, [SLICE, _KEY], "left").drop(_KEY)
         again = again.groupBy(SLICE).cogroup(wrong.groupBy(SLICE)).applyInPandas(rerun, schema)
         done = done.join(wrong.select(SLICE), SLICE, "left_anti").unionByName(cut_lineage(again))

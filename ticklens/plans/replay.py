@@ -11,7 +11,7 @@ from ticklens.config import AlertConfig, FeatureConfig, ModelConfig, RankConfig,
 from ticklens.functions.text import rule_headline
 from ticklens.operators.alerts import alert_decisions, cached_text
 from ticklens.operators.predict import predict_baseline
-from ticklens.operators.ranking import rank_events, ranked_states, with_score
+from ticklens.operators.ranking import accepted, rank_events, ranked_states, throttle, with_score
 from ticklens.operators.rolling import feature_snapshots, limit_symbols
 from ticklens.operators.thin import snapshot_ticks
 from ticklens.session import cut_lineage
@@ -58,7 +58,7 @@ def attach_rank(pred: DataFrame, states: DataFrame) -> DataFrame:
 def chain_events(scored: DataFrame, cfg: ChainConfig = ChainConfig()) -> DataFrame:
     """Rank events and alerts of scored predictions, with payload columns."""
     scored = cut_lineage(scored)  # read by ranking, alerts and the payload
-    states = ranked_states(scored, cfg.rank)
+    states = ranked_states(accepted(scored, throttle(scored, cfg.rank)), cfg.rank, absent=True)
     moves = rank_events(states)
     rows = attach_rank(scored, states)
     log = alert_decisions(scored.select("ts", "symbol", "status"), cfg.alert)

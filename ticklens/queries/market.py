@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -341,6 +342,18 @@ def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _reason_sql() -> str:
     d = "::DOUBLE"
+    # The evidence of each code.
+    evidence = {
+        "'RC_GATE_SPREAD_FAIL'": "'Spread exceeds maximum threshold'",
+        "'RC_GATE_IMPACT_FAIL'": "'Impact exceeds maximum threshold'",
+        "'RC_FLOW_SURGE'": "'Strong ' || CASE WHEN flow_imbalance > 0 THEN 'buy' ELSE 'sell' END || ' flow imbalance'",
+        "'RC_SPREAD_TIGHT'": "'Tight spread indicates good liquidity'",
+        "'RC_SPREAD_WIDE'": "'Wide spread indicates poor liquidity'",
+        "'RC_TOXIC_RISK_UP'": "'Elevated toxic flow risk'",
+        "'RC_REGIME_HIGH_VOL'": "'High volatility regime'",
+        "'RC_DATA_STALE'": "'Book data stale beyond threshold'",
+    }
+    lean = "'Book imbalance favors ' || CASE WHEN book_imbalance > 0 THEN 'long' ELSE 'short' END || ' side'"
     parts = [
         ("NOT bad AND spread_bps > 10", "'RC_GATE_SPREAD_FAIL'", S.rnd("spread_bps", 2), "bps"),
         ("NOT bad AND impact_bps_q > 20", "'RC_GATE_IMPACT_FAIL'", S.rnd("impact_bps_q", 2), "bps"),
@@ -358,7 +371,7 @@ def _reason_sql() -> str:
         ("bad", "'RC_DATA_STALE'", "stale_book_ms::DOUBLE", "ms"),
     ]
     sel = " UNION ALL ".join(
-        f"SELECT symbol, ts, {code} AS code, {value} AS value, '{unit}' AS unit FROM pred WHERE {cond}"
+        f"SELECT symbol, ts, {code} AS code, {value} AS value, '{unit}' AS unit, {evidence.get(code, lean)} AS evidence FROM pred WHERE {cond}"
         for cond, code, value, unit in parts
     )
     return f"{PRED}, r AS ({sel}) SELECT * FROM r"
@@ -367,7 +380,7 @@ def _reason_sql() -> str:
 @query("prediction_reasons", _reason_sql())
 def prediction_reasons(spark: SparkSession, sf: str) -> DataFrame:
     p = predict.predict_baseline(snaps_of(spark, sf), MC)
-    return p.select("symbol", "ts", F.inline("reasons")).drop("evidence")
+    return p.select("symbol", "ts", F.inline("reasons"))
 
 
 _RANK_CTE = f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) AS position
@@ -495,18 +508,28 @@ def confirmed_topk(spark: SparkSession, sf: str) -> DataFrame:
     return st.filter("rank IS NOT NULL").select("ts", "symbol", F.col("rank").cast("int").alias("rank"), "state")
 
 
+# Updates every two seconds on a clock of one, so every other tick is skipped.
+_SLOW = replace(RC, update_interval_ms=2_000, burst_delta=2.0)
+_SLOW_RANKED = (
+    "WITH RECURSIVE "
+    + PRED_SQL
+    + ", acc AS (SELECT * FROM pred WHERE (ts - (SELECT min(ts) FROM pred)) % 2000 = 0)"
+    + _FSM.replace("FROM pred)", "FROM acc)").replace("f.ts + 1000", "f.ts + 2000")
+)
+
+
 @query(
     "ranker_metrics",
-    _RANKED + """, lists AS (SELECT ts, coalesce(string_agg(symbol, ',' ORDER BY rank) FILTER (rank IS NOT NULL), '') AS names FROM ranks GROUP BY ts),
+    _SLOW_RANKED + """, lists AS (SELECT ts, coalesce(string_agg(symbol, ',' ORDER BY rank) FILTER (rank IS NOT NULL), '') AS names FROM ranks GROUP BY ts),
     moved AS (SELECT names <> coalesce(lag(names) OVER (ORDER BY ts), '') AS changed FROM lists)
-    SELECT (SELECT count(*) FROM lists) AS updates_processed, (SELECT count(*) FROM ranks WHERE ev = 'SYMBOL_ENTER') AS enter_events,
+    SELECT (SELECT count(DISTINCT ts) FROM pred) AS updates_processed, (SELECT count(*) FROM ranks WHERE ev = 'SYMBOL_ENTER') AS enter_events,
       (SELECT count(*) FROM ranks WHERE ev = 'SYMBOL_EXIT') AS exit_events, (SELECT count(*) FROM moved WHERE changed) AS rank_changes,
-      (SELECT count(*) FROM (SELECT ts - lag(ts) OVER (ORDER BY ts) AS gap FROM lists) WHERE gap < 1000) AS updates_throttled""",
+      (SELECT count(DISTINCT ts) FROM pred) - (SELECT count(*) FROM lists) AS updates_throttled""",
 )
 def ranker_metrics(spark: SparkSession, sf: str) -> DataFrame:
     scored = cut_lineage(preds_of(spark, sf))
-    ticks = ranking.throttle(scored, RC)
-    return ranking.ranker_metrics(ranking.ranked_states(ranking.accepted(scored, ticks), RC), ticks, RC)
+    ticks = ranking.throttle(scored, _SLOW)
+    return ranking.ranker_metrics(ranking.ranked_states(ranking.accepted(scored, ticks), _SLOW), ticks, _SLOW)
 
 
 @query(
@@ -531,7 +554,7 @@ def score_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- alerts and delivery ----------------------------------------------------------------
 
-AC = AlertConfig()
+AC = AlertConfig(slice_ms=60_000)  # eleven slices of the market view
 
 _RUNS = """, chg AS (SELECT symbol, ts, status, CASE WHEN status IS DISTINCT FROM lag(status) OVER (PARTITION BY symbol ORDER BY ts) THEN ts END AS c FROM pred),
     runs AS (SELECT symbol, ts, status, max(c) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS since FROM chg)"""
@@ -610,7 +633,7 @@ def cached_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("symbol", "ts", "text", flag(F.col("fresh")).alias("fresh"))
 
 
-DC = DeliveryConfig()
+DC = DeliveryConfig(slice_ms=60_000)
 
 _DELIVERIES = (
     "WITH RECURSIVE "
@@ -637,6 +660,7 @@ def deliveries(spark: SparkSession, sf: str) -> DataFrame:
     return delivery.dedupe_deliveries(_moves(spark, sf), DC).select("ts", "symbol", "decision")
 
 
+# Icons, labels and templates of the messages.
 _ICON = "CASE status WHEN 'TRADEABLE' THEN '✅' WHEN 'TRAP' THEN '⚠️' WHEN 'DATA_ISSUE' THEN '❌' ELSE 'ℹ️' END"
 _LABEL = "CASE status WHEN 'TRADEABLE' THEN 'Tradeable' WHEN 'TRAP' THEN 'Trap - Avoid' WHEN 'DATA_ISSUE' THEN 'Data Issue' ELSE 'OTHER' END"
 _CLOCK = "strftime(epoch_ms(ts), '%Y-%m-%d %H:%M:%S') || ' UTC'"
@@ -716,6 +740,25 @@ def replay_q(spark: SparkSession, sf: str) -> DataFrame:
     return chain_events(preds_of(spark, sf), cfg).drop("prediction")
 
 
+_REPLAYED = (
+    _RANKED
+    + _ALERTS.removeprefix("WITH RECURSIVE " + PRED_SQL)
+    + f""" SELECT ts, ev AS event, symbol, coalesce(CASE WHEN ev = 'SYMBOL_ENTER' THEN prev_rank ELSE held_rank END, 0)::INT AS rank,
+      {S.rnd("score", 8)} AS score, NULL::VARCHAR AS status, NULL::DOUBLE AS p_inplay_2m, NULL::DOUBLE AS p_toxic FROM ranks WHERE ev <> ''
+    UNION ALL
+    SELECT a.ts, a.event, a.symbol, coalesce(r.last_rank, 0)::INT, {S.rnd("r.score", 8)}, p.status, p.p_inplay_2m, p.p_toxic
+    FROM (SELECT ts, split_part(k, '|', 1) AS symbol, split_part(k, '|', 2) AS event FROM accepted) a
+    JOIN ranks r USING (symbol, ts) JOIN pred p USING (symbol, ts)"""
+)
+
+
+@query("replay_events", _REPLAYED)
+def replay_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: rank events and alerts, throttled and with absent symbols, without texts."""
+    ev = chain_events(preds_of(spark, sf), ChainConfig(features=FC, model=MC, rank=RC, alert=AC))
+    return ev.select("ts", "event", "symbol", "rank", rnd(F.col("score"), 8).alias("score"), "status", "p_inplay_2m", "p_toxic")
+
+
 @query(
     "model_versions",
     """

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ticklens.config import STATUSES
 
+# Event types and the fields of an event.
 EVENT_TYPES = ("trade", "book", "kline", "mark", "oi", "funding")
 
 MARKET_EVENT = T.StructType(

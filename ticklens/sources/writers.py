@@ -102,6 +102,9 @@ def save_split(df: DataFrame, folder: str, cfg: SplitConfig = SplitConfig(), fmt
             "config": F.lit(json.dumps(asdict(cfg), sort_keys=True)),
         }
     )
+    one = F.lit(1).alias("_one")  # a row on either side
+    hashed = parts.drop("part").agg(data_hash(parts.drop("part")).alias("data_hash")).select("*", one)
+    meta = meta.select("*", one).join(hashed, "_one").drop("_one")
     meta.write.mode("overwrite").json(f"{folder}/metadata.json")
     return meta
 
@@ -111,13 +114,11 @@ def load_split_metadata(spark: SparkSession, folder: str) -> dict:
 
 
 def save_backtest(result: DataFrame, path: str, config: object, n_rows: Column | None = None) -> None:
-    """Flat result rows with the run's metadata on each."""
-    result.withColumns(
-        {
-            "config_hash": F.lit(config_hash(config)),
-            "run_ts": F.current_timestamp(),
-        }
-    ).write.mode("overwrite").json(path)
+    """Flat result rows with the run's metadata on each; ``n_rows`` is what the run was over, where it is told."""
+    meta = {"config_hash": F.lit(config_hash(config)), "run_ts": F.current_timestamp()}
+    if n_rows is not None:
+        meta["n_rows"] = n_rows
+    result.withColumns(meta).write.mode("overwrite").json(path)
 
 
 def save_calibration(calibrators: DataFrame, path: str) -> None:

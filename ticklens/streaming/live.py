@@ -1,7 +1,8 @@
 """Live features: each micro-batch is stored, and the ticks that became final are computed.
 
-The batch function reads back only the slices its frames can reach, so its work
-depends on the new rows, not on the history.
+Only ticks that no earlier batch had are computed and written. What comes into their slices (first event, last
+book, last trade of each symbol) is summed up from all stored epochs each time, so reads grow with the history:
+move old epochs away, or start a new table, from time to time.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Keyed state for streams: thinning, hysteresis and alert rules per symbol.
 
-Each function takes rows with ``event_time`` (see ``with_event_time``). State is a few
-numbers per key and times out behind the watermark.
+Each function takes rows with ``event_time`` (see ``with_event_time``). State is a few numbers per key. Thinning and
+hysteresis drop it once it can decide nothing more; the alert rules keep it, since a run of one status may go on after
+any silence.
 """
 
 from __future__ import annotations
@@ -46,11 +47,22 @@ def thin_stream(df: DataFrame, key: str, gap_ms: int) -> DataFrame:
 
 
 def hysteresis_stream(membership: DataFrame, cfg: RankConfig = RankConfig()) -> DataFrame:
-    """ENTER and EXIT events of a membership stream (symbol, ts, member)."""
+    """ENTER and EXIT events of a membership stream (symbol, ts, member).
+
+    A symbol that is out has no state. One that stays away has left the top k once the watermark is a dwell and an
+    exit time behind its last row: its EXIT comes then, with that time.
+    """
+    away = cfg.min_dwell_ms + cfg.exit_ms
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            s, _, seen = state.get
+            state.remove()
+            if s in (IN, "PENDING_EXIT"):
+                yield pd.DataFrame([(k[0], seen + away, "SYMBOL_EXIT")], columns=["symbol", "ts", "event"])
+            return
         pdf = _sorted(batches)
-        s, since = state.get if state.exists else (OUT, OLD)
+        s, since, seen = state.get if state.exists else (OUT, OLD, OLD)
         ts, member = pdf["ts"].tolist(), pdf["member"].tolist()
         out = []
         was = s
@@ -60,13 +72,18 @@ def hysteresis_stream(membership: DataFrame, cfg: RankConfig = RankConfig()) ->
             elif s == OUT and was in (IN, "PENDING_EXIT"):
                 out.append((k[0], ts[i], "SYMBOL_EXIT"))
             was = s
-        state.update((s, since))
+        if s == OUT:
+            state.remove()
+        else:
+            seen = max([seen, *ts])
+            state.update((s, since, seen))
+            state.setTimeoutTimestamp(max(seen + away, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["symbol", "ts", "event"])
 
     return membership.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, ts long, event string", "state string, since long", "append",
-        GroupStateTimeout.NoTimeout,
+        fold, "symbol string, ts long, event string", "state string, since long, seen long", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
