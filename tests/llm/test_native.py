@@ -258,3 +258,14 @@ def test_fewer_groups_than_shards(spark):
         out = sharding.sharded(sharding.sized(docs)).collect()
         assert len({r.shard for r in out}) == len({r.text or "" for r in out}) and len(out) == len(texts)
         assert all(0 <= r.shard < 24 for r in out)
+
+
+def test_values_in_many_repositories_are_examples(spark):
+    """A value that two owners hold in many repositories is an example, one that they hold in few looks live."""
+    many, few = "Ab3ExampleKey0000000001", "Ab3LiveKey000000000000002"
+    rows = [(i, f"k {many}", "en", f"s{i % 2}", 1) for i in range(secrets.EXAMPLE_REPOS)]
+    rows += [(1000 + i, f"k {few}", "en", f"s{i % 2}", 1) for i in range(secrets.EXAMPLE_REPOS - 1)]
+    docs = spark.createDataFrame(rows, data.DOCS)
+    found = {r.doc_id: [(x.live, x.n_owners, x.n_repos) for x in r.found] for r in secrets.scan(docs, ["doc_id"]).collect()}
+    assert all(found[i] == [] for i in range(secrets.EXAMPLE_REPOS))
+    assert all(found[1000 + i] == [(True, 2, secrets.EXAMPLE_REPOS - 1)] for i in range(secrets.EXAMPLE_REPOS - 1))

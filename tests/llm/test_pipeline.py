@@ -1,6 +1,7 @@
 """The pipeline, stage by stage."""
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import data
-from ticklens.llm import langid, pieces, secrets, simhash
+from ticklens.llm import langid, pieces, secrets, similar
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +37,10 @@ def test_each_stage_decides(stages):
     model = langid.fit(docs)
     want = {r.doc_id for r in langid.predict(docs, model, ["doc_id"]).collect() if not r.rejected}
     assert {r.doc_id for r in kept.collect()} == want and want >= set(range(60))
-    assert single.count() == len({r.root for r in simhash.grouped(kept, ["doc_id"]).collect()})
+    words = [((r.text or "").lower().split(), r.doc_id) for r in kept.collect()]
+    shingles = [({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}, i) for w, i in words]
+    first = [all(5 * len(a & b) < 4 * len(a | b) or i is None or j is not None and j >= i for b, j in shingles) for a, i in shingles]
+    assert {r.doc_id for r in single.collect()} == {i for (_, i), one in zip(shingles, first, strict=True) if one}
     found = {(r.doc_id, r.text): [x for x in r.found if x.live] for r in secrets.scan(single, ["doc_id", "text"]).collect()}
     clean = {r.doc_id: r for r in masked.collect()}
     for (doc_id, text), spans in found.items():
@@ -60,3 +64,25 @@ def test_run_is_its_stages(spark, stages):
 
 def test_empty_input(spark, tmp_path):
     assert corpus_pipeline.run(spark, data.write(spark, tmp_path, [])).count() == 0
+
+
+def test_a_line_that_unlike_texts_share_costs_pairs_in_proportion(spark, monkeypatch):
+    """2,000 texts with one long line in common, and 30 of little else: candidates grow with the texts, links are whole."""
+    rng, seen = random.Random(5), []
+    line = data.prose(rng, "en", 40)
+    rows = [data.prose(rng, "fr", 70) + " " + line for _ in range(2000)]
+    rows += [line + " " + data.prose(rng, "de", i % 5 + 1) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(similar, "FREQUENT", 10**9)  # nothing is known beforehand
+    alike = similar.alike
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(similar, "alike", counted)
+    kept = {r.doc_id for r in similar.one_of_each(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, map(str.lower, rows))]
+    near = [any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(2000, i)) for i in range(2000, 2030)]
+    assert kept == set(range(2000)) | {i for i, again in zip(range(2000, 2030), near, strict=True) if not again}
+    assert sum(seen) < 30 * len(rows)  # all pairs would be two million

@@ -330,6 +330,17 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(df.filter("false"), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 8))
+def test_topk_of_tiny_tables(spark, n):
+    rows = [(50 * i, [0.25 * i, 0.5]) for i in range(n)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).collect()
+    want = []
+    for q, v in rows:
+        scored = sorted((-int(sum(65536 * a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_lists_are_not_read_to_the_end():
     np = pytest.importorskip("numpy")
     v = np.zeros((960, 4))

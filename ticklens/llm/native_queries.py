@@ -134,18 +134,22 @@ s AS MATERIALIZED (
     SELECT * FROM c
     WHERE kind < 3 OR NOT EXISTS (
         SELECT 1 FROM c b WHERE b.rid = c.rid AND b.kind < 3 AND b.lo < c.hi AND c.lo < b.hi)),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM s GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners,
+             count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, ''))) AS n_repos FROM s GROUP BY v),
+l AS (SELECT *, n_owners < {secrets.EXAMPLE_OWNERS} AND n_repos < {secrets.EXAMPLE_REPOS} AS live FROM o),
 j AS (SELECT s.*, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || lo::BIGINT || ':' || hi::BIGINT AS said,
-             n_owners < 3 AS live
-      FROM s JOIN o USING (v) WHERE kind < 3 OR n_owners < 3),
+             l.* EXCLUDE (v)
+      FROM s JOIN l USING (v) WHERE kind < 3 OR live),
 f AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
              count(*) FILTER (kind = 2) AS n_hex, string_agg(said, ',' ORDER BY lo, kind) FILTER (kind < 3) AS base,
              string_agg(said, ',' ORDER BY lo, kind) AS spans, count(*) FILTER (live) AS n_live,
-             count(*) FILTER (NOT live) AS n_examples
+             count(*) FILTER (NOT live) AS n_examples, string_agg(n_owners, ',' ORDER BY lo, kind) AS n_owners,
+             string_agg(n_repos, ',' ORDER BY lo, kind) AS n_repos
       FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
        coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples
+       coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples,
+       coalesce(n_owners, '') AS n_owners, coalesce(n_repos, '') AS n_repos
 FROM d LEFT JOIN f USING (rid)
 """
 

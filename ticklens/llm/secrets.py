@@ -2,8 +2,8 @@
 
 Candidates are found in whole texts by pattern. Their values are hashed, and the hashes are
 counted over the corpus by distinct repositories and distinct owners. A value that several
-owners share is an example that was copied around; a value that stays with one or two owners
-looks live. The base kinds (``assign``, ``access``, ``hex``) are reported either way; a mixed
+owners share, or that lies in far more repositories than a value in use gets into, is an example that was copied
+around; a value that stays with one or two owners and few of their repositories looks live. The base kinds (``assign``, ``access``, ``hex``) are reported either way; a mixed
 token without any telling context (kind ``token``) is reported only if it looks live and no
 base span overlaps it.
 
@@ -39,6 +39,8 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
 MIN_ASSIGNED = 12
+EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 50
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
@@ -104,12 +106,14 @@ def scan(
     repo: str = "doc_id",
     owner: str = "source",
     text: str = "text",
-    example_owners: int = 3,
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repos: int = EXAMPLE_REPOS,
 ) -> DataFrame:
     """Per row of ``docs``: the carried columns and ``found``, sorted by (start, kind).
 
     ``found`` lists (start, kind, end, base, live, n_owners, n_repos), places in code points from 0,
-    ends exclusive. ``live`` is false for values that ``example_owners`` owners or more share.
+    ends exclusive. ``live`` is false for values that ``example_owners`` owners or more share or ``example_repos``
+    repositories or more hold.
     """
     rows = candidates(docs, carry, repo, owner, text)
     exploded = rows.select("rid", "repo", "owner", F.explode("matches").alias("m")).select(
@@ -132,7 +136,8 @@ def scan(
     met = F.coalesce(until > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     spans = placed.withColumn("met", met).filter(F.col("base") | ~F.col("met"))
     spans = cut_lineage(spans.select("rid", "repo", "owner", "value", "start", "kind", "end", "base"))
-    judged = spans.join(ownership(spans), "value").withColumn("live", F.col("n_owners") < example_owners)
+    judged = spans.join(ownership(spans), "value")
+    judged = judged.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
     found = (
         judged.filter(F.col("base") | F.col("live"))
         .groupBy("rid")
@@ -157,6 +162,8 @@ def digest(scanned: DataFrame) -> DataFrame:
         said(F.col("found")).alias("spans"),
         count(lambda x: x.live).alias("n_live"),
         count(lambda x: ~x.live).alias("n_examples"),
+        F.array_join(F.transform("found", lambda x: x.n_owners), ",").alias("n_owners"),
+        F.array_join(F.transform("found", lambda x: x.n_repos), ",").alias("n_repos"),
     )
 
 

@@ -63,7 +63,7 @@ def read_lists(q, q_ids, v, ids, k):
     for share in DEPTHS:
         depth = max(1, math.ceil(n * share))
         own = q_ids[reading, None] == ids[None, :]
-        if depth >= n:
+        if depth >= n or n <= k:
             scores = np.where(own, -np.inf, q[reading] @ v.T)
             for row, i in enumerate(reading):
                 s = scores[row]
