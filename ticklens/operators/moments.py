@@ -45,7 +45,7 @@ def _merged(a: Column, b: Column) -> Column:
         (a["xy"] + b["xy"] + dx * dy * share).alias("xy"),
     )
     none = lambda p: p.isNull() | (p["n"] == 0)
-    return F.when(none(b), a).when(none(a), b).otherwise(both)
+    return F.when(none(a), b).when(none(b), a).otherwise(both)
 
 
 def moving_moments(
