@@ -65,12 +65,12 @@ def test_hysteresis_and_alert_streams(spark, tmp_path):
 
 
 def test_a_symbol_that_stays_away_leaves(spark, tmp_path):
-    rows = [("a", t, True) for t in range(0, 90_000, 1_000)] + [("z", t, True) for t in range(0, 30_000, 1_000)]
+    rows = [("a", t, True) for t in range(1_000, 90_000, 1_000)] + [("z", t, True) for t in range(1_000, 30_000, 1_000)]
     df = spark.createDataFrame(sorted(rows, key=lambda r: r[1]), "symbol string, ts long, member boolean")
     s = stream_of(spark, f"{tmp_path}/in", df, 4, df.schema)
     got = drain(state.hysteresis_stream(feeds.with_event_time(s), RankConfig()), tmp_path, "away_out")
     away = RankConfig().min_dwell_ms + RankConfig().exit_ms
-    assert sorted(map(tuple, got.collect())) == [("a", 2_000, "SYMBOL_ENTER"), ("z", 2_000, "SYMBOL_ENTER"), ("z", 29_000 + away, "SYMBOL_EXIT")]
+    assert sorted(map(tuple, got.collect())) == [("a", 3_000, "SYMBOL_ENTER"), ("z", 3_000, "SYMBOL_ENTER"), ("z", 29_000 + away, "SYMBOL_EXIT")]
 
 
 def test_dedupe_stream(spark, tmp_path):
