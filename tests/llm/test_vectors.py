@@ -119,6 +119,21 @@ def test_only_expired_gaps_are_compared_again():
 # ---- whitening
 
 
+@pytest.mark.parametrize("seed,n", [(9, 64), (11, 16), (14, 16), (22, 16), (24, 64)])
+def test_leading_where_a_neighbour_is_nearer_to_the_middle(seed, n):
+    """Spectra of which one eigenvalue lies at an end of its slice and the next one right outside of it."""
+    rng = np.random.default_rng(seed)
+    if seed % 2:
+        v = np.cov(rng.standard_normal((n * 20, n)).T)
+    else:
+        q, _ = np.linalg.qr(rng.standard_normal((n, n)))
+        v = q @ np.diag(rng.random(n)) @ q.T
+        v = (v + v.T) / 2
+    got = whitening.leading(v)
+    assert np.allclose([e for e, _ in got], np.linalg.eigvalsh(v)[::-1][:4], rtol=1e-12, atol=0)
+    assert all(np.abs(v @ x - e * x).max() < 1e-12 for e, x in got)
+
+
 def test_inertia_counts_signs():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 10, 40):

@@ -3,8 +3,8 @@
 The covariance is a sum over Spark tasks in whole numbers, exact whatever the order: components are floor(256 x), and
 each is taken less the floor of its mean before anything is multiplied. What comes to the driver is one matrix of
 dimensions × dimensions. There LDLᵀ factorizations of the covariance less a shift count the eigenvalues beyond the
-shift; halving isolates each of the leading ones between two shifts, Rayleigh quotient iteration started inside
-converges cubically, and counts on both sides of the result certify its number. Rows are then projected in Arrow
+shift; halving isolates each of the leading ones between two shifts, with no other near, Rayleigh quotient iteration
+started inside converges cubically, and counts on both sides of the result certify its number. Rows are then projected in Arrow
 batches, and the covariance of what they became is taken over the fit list once more.
 
 The fit list has each distinct vector once. Vectors that are null or hold null or non-finite components take no part;
@@ -70,9 +70,16 @@ def above(v: np.ndarray, shift: float) -> int:
 
 
 def isolated(v: np.ndarray, number: int, scale: float) -> tuple[float, float]:
-    """Shifts below and above the eigenvalue of that number, with no other between unless it is equal within rounding."""
+    """Shifts below and above the eigenvalue of that number, unless it is equal to another within rounding.
+
+    Every other one lies at least the slice's width away from it. So it is the nearest to any shift of the slice, and
+    iteration with such a shift goes to its vector and no other.
+    """
     low, high, counts = -scale, scale, (len(v), 0)
-    while high - low > 1e-14 * scale and counts != (number, number - 1):
+    while high - low > 1e-14 * scale:
+        width = high - low
+        if counts == (number, number - 1) and (above(v, low - width), above(v, high + width)) == counts:
+            break
         middle = (low + high) / 2
         n = above(v, middle)
         if n >= number:
