@@ -5,8 +5,9 @@ import random
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticklens.operators import ranking
+from ticklens.operators import delivery, ranking
 from ticklens.operators.alerts import accept
 from ticklens.operators.delivery import dedupe_deliveries
 from ticklens.operators.runs import status_runs
@@ -117,6 +118,45 @@ def test_delivery_passes_do_not_grow_with_the_slices(spark, monkeypatch):
     assert passes[1] <= passes[0] + 6, passes  # three tables a pass
 
 
+def test_deliveries_behind_the_cap_stay_out_of_the_fold(spark, monkeypatch):
+    """Ten times the symbols of an instant: the sequential part does not grow, the decisions are the loop's."""
+    cfg = DeliveryConfig(max_per_min=3, slice_ms=60_000)
+    sizes = []
+    for symbols in (40, 400):
+        rows = sorted((t * 10_000, f"s{i:03d}", "x", "AB"[(t + i) % 2]) for t in range(20) for i in range(symbols))
+        fold = delivery.handoff_fold
+        monkeypatch.setattr(delivery, "handoff_fold", lambda df, *a, fold=fold: (sizes.append(df.count()), fold(df, *a))[1])
+        got = dedupe_deliveries(spark.createDataFrame(rows, "ts long, symbol string, event string, status string"), cfg)
+        monkeypatch.undo()
+        assert sorted(tuple(r) for r in got.collect()) == plain_deliveries(rows, cfg)
+    assert sizes[0] == sizes[1] <= 20 * 15
+
+
+def test_slices_stream_through_their_rule(spark):
+    """However many rows a slice has, the rule sees those of one Arrow batch at a time, in order."""
+
+    class Counts:
+        def __init__(self, state):
+            self.n = int(state or 0)
+
+        def step(self, rows):
+            first, self.n = self.n, self.n + len(rows)
+            return rows.assign(i=range(first, self.n), size=len(rows))
+
+        def state(self, end_ms):
+            return str(self.n)
+
+    rows = spark.range(1_000).select((F.col("id") * 7 % 1_000).alias("ts"), F.lit("s").alias("symbol"), F.lit("e").alias("event"))
+    out = T.StructType.fromDDL("ts long, symbol string, event string, i long, size long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = handoff.handoff_fold(rows, 500, 0, Counts, out).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.ts, r.i) for r in got) == [(i, i) for i in range(1_000)]
+    assert max(r.size for r in got) <= 64
+
+
 def test_skipped_updates_are_counted_and_absent_symbols_fall_to_zero(spark):
     """A 500 ms clock under an interval of 1 s: every second update is skipped unless a score jumps."""
     rows = [(t, "a", 0.5) for t in range(0, 5000, 500)] + [(t, "b", 0.6) for t in (0, 500, 3500, 4000)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections import deque
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,6 +44,32 @@ def candidates(pred: DataFrame, cfg: AlertConfig = AlertConfig()) -> DataFrame:
     )
 
 
+class _Accepted:
+    """Cap and cooldown on their way through the candidates of a slice."""
+
+    def __init__(self, cfg: AlertConfig, state: str) -> None:
+        self.cfg = cfg
+        self.last = {(s, e): t for t, s, e in json.loads(state or "[]")}
+        self.recent = deque(sorted(self.last.values()))
+
+    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
+        cfg, last, recent, got = self.cfg, self.last, self.recent, []
+        for t, s, e in zip(rows["ts"].tolist(), rows["symbol"], rows["event"], strict=True):
+            while recent and recent[0] < t - MINUTE_MS:
+                recent.popleft()
+            if len(recent) >= cfg.max_per_min or t - last.get((s, e), -(2**62)) < cfg.cooldown_ms:
+                continue
+            last[(s, e)] = t
+            recent.append(t)
+            got.append((t, s, e))
+        return pd.DataFrame(got, columns=["ts", "symbol", "event"])
+
+    def state(self, end_ms: int) -> str:
+        keep = max(self.cfg.cooldown_ms, MINUTE_MS + 1)
+        live = sorted(([t, s, e] for (s, e), t in self.last.items() if t > end_ms - keep), key=json.dumps)
+        return json.dumps(live) if live else ""
+
+
 def accept(
     stable: DataFrame, cfg: AlertConfig = AlertConfig(), materialized: bool = False
 ) -> DataFrame:
@@ -59,24 +86,6 @@ def accept(
     if over.isEmpty():
         return free
 
-    def fold(pdf: pd.DataFrame, state: str, end_ms: int) -> tuple[pd.DataFrame, str]:
-        last = {(s, e): t for t, s, e in json.loads(state or "[]")}
-        recent = deque(sorted(last.values()))
-        pdf = pdf.sort_values(["ts", "symbol", "event"])
-        got = []
-        for t, s, e in zip(pdf["ts"].tolist(), pdf["symbol"], pdf["event"], strict=True):
-            while recent and recent[0] < t - MINUTE_MS:
-                recent.popleft()
-            if len(recent) >= cfg.max_per_min or t - last.get((s, e), -(2**62)) < cfg.cooldown_ms:
-                continue
-            last[(s, e)] = t
-            recent.append(t)
-            got.append((t, s, e))
-        live = [
-            [t, s, e] for (s, e), t in last.items() if t > end_ms - max(cfg.cooldown_ms, MINUTE_MS + 1)
-        ]
-        return pd.DataFrame(got, columns=["ts", "symbol", "event"]), json.dumps(sorted(live, key=json.dumps)) if live else ""
-
     if cfg.cooldown_ms < MINUTE_MS:
         raise ValueError("the cooldown must cover the cap window")
     # At most ``cap`` pairs a minute start to cool down, so of an instant's candidates, in their order, no
@@ -85,7 +94,7 @@ def accept(
     place = F.dense_rank().over(Window.partitionBy("ts").orderBy("symbol", "event"))
     slim = slim.withColumn("_n", place).filter(F.col("_n") <= enough).drop("_n")
     warm = max(cfg.cooldown_ms, MINUTE_MS) + MINUTE_MS
-    return handoff_fold(slim, cfg.slice_ms, warm, fold, slim.schema, slice_rows=cfg.slice_rows)
+    return handoff_fold(slim, cfg.slice_ms, warm, partial(_Accepted, cfg), slim.schema, slice_rows=cfg.slice_rows)
 
 
 def alert_decisions(

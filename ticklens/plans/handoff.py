@@ -13,26 +13,42 @@ one value per key and slice, carried over the slices by a window per key, guesse
 the rows first and then taken from the results. Only slices with a wrong state or a
 wrong memory run again; the results of the others stay where they are.
 
-A slice ends at a multiple of the slice length or, before that, where it has its number of rows. So a slice's task
-holds a bounded number of rows however dense the time is, but for what one bucket of a second has. Warm-up rows come
-from at most ``WARM_SLICES`` slices before; a guess from less is repaired.
+A slice ends at a multiple of the slice length or, before that, where it has its number of rows, but for what one
+bucket of a second has. Warm-up rows come from at most ``WARM_SLICES`` slices before; a guess from less is repaired.
+Spark sorts the rows of a slice and its warm-up, and they stream through the rule batch by batch, so Python holds
+one batch and what the rule keeps, however many rows a slice has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import gcd
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklens.plans.slices import SLICE, Run, running, slice_of
-from ticklens.session import cut_lineage
+from ticklens.session import cut_lineage, stored
 
-Fold = Callable[[pd.DataFrame, str, int], tuple[pd.DataFrame, str]]
+
+class Rule(Protocol):
+    """A sequential rule on its way through the rows of a slice."""
+
+    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The output of the next rows in order."""
+
+    def state(self, end_ms: int) -> str:
+        """What matters from ``end_ms`` on, written canonically; '' if nothing does."""
+
+
+Fold = Callable[[str], Rule]
 
 
 @dataclass(frozen=True)
@@ -85,9 +101,85 @@ def _last_per_slice(rows: DataFrame, m: Memory, value: Column) -> DataFrame:
 
 
 def _carried(values: DataFrame) -> DataFrame:
-    """(slice, key, was): the value that each key brings into each of its slices."""
+    """(slice, key, was, value): the value that each key brings into each of its slices, and what it has there."""
     w = Window.partitionBy(_KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return values.select(SLICE, _KEY, F.last("value", ignorenulls=True).over(w).alias(WAS))
+    return values.select(SLICE, _KEY, F.last("value", ignorenulls=True).over(w).alias(WAS), "value")
+
+
+class _Pass:
+    """One slice on its way: warm-up rows first where its entry is unknown, then its own rows."""
+
+    def __init__(self, fold: Fold, sl: int, start_ms: int, end_ms: int, state: str | None) -> None:
+        self.fold, self.sl, self.start_ms, self.end_ms, self.entry = fold, sl, start_ms, end_ms, state
+        self.warm: Rule | None = None
+        self.rule: Rule | None = None
+
+    def before(self, rows: pd.DataFrame) -> None:
+        self.warm = self.warm or self.fold("")
+        self.warm.step(rows)
+
+    def own(self, rows: pd.DataFrame) -> pd.DataFrame:
+        if self.rule is None:
+            if self.entry is None:
+                self.entry = self.warm.state(self.start_ms) if self.warm else ""
+            self.rule = self.fold(self.entry)
+        return self.rule.step(rows)
+
+    def exit(self) -> str:
+        return self.rule.state(self.end_ms) if self.rule else self.entry or ""
+
+
+def _streamed(rows: DataFrame, heads: DataFrame, fold: Fold, out: T.StructType, order: Sequence[str], remembers: bool) -> DataFrame:
+    """Every slice of ``rows`` through the rule. Behind its output, each has one row with its states.
+
+    ``heads``: slice, _start, _end and the entry state, null where the warm-up rows (of another ``_home``) give it.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    extra = [T.StructField(SLICE, T.LongType()), T.StructField("state_in", T.StringType()), T.StructField("state_out", T.StringType())]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in out.fields), *extra])
+    made, names = to_arrow_schema(schema), out.fieldNames()
+    columns = rows.columns
+
+    def batch_of(got: pd.DataFrame, sl: int, state_in: str | None = None, state_out: str | None = None) -> pa.RecordBatch:
+        n = len(got)
+        said = {SLICE: [sl] * n, "state_in": [state_in] * n, "state_out": [state_out] * n}
+        arrays = [pa.array(said[f.name] if f.name in said else got[f.name], f.type, from_pandas=True) for f in made]
+        return pa.RecordBatch.from_arrays(arrays, schema=made)
+
+    def last_row(held: _Pass) -> pa.RecordBatch:
+        state = held.exit()
+        return batch_of(pd.DataFrame([{c: None for c in names}]), held.sl, held.entry, state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Pass | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sl, at, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in (SLICE, "_at", "_home"))
+            own = home == sl
+            new = (np.diff(sl) != 0) | (np.diff(own) != 0) | (at[1:] == 0) | (at[:-1] == 0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if at[a] == 0:
+                    if held:
+                        yield last_row(held)
+                    start, end, state = (batch.column(c)[a].as_py() for c in ("_start", "_end", "state"))
+                    held = _Pass(fold, int(sl[a]), start, end, state)
+                    continue
+                part = batch.slice(a, b - a).select(columns).to_pandas()
+                if own[a]:
+                    got = held.own(part)
+                    if len(got):
+                        yield batch_of(got, held.sl)
+                else:
+                    held.before(part.assign(**{WAS: None}) if remembers else part)
+        if held:
+            yield last_row(held)
+
+    both = rows.withColumn("_at", F.lit(1)).unionByName(heads.withColumns({"_at": F.lit(0), "_home": F.col(SLICE)}), allowMissingColumns=True)
+    both = both.repartition(SLICE).sortWithinPartitions(SLICE, "_at", *(F.asc_nulls_last(c) for c in order))
+    return both.mapInArrow(run, schema)
 
 
 def handoff_fold(
@@ -98,80 +190,53 @@ def handoff_fold(
     out: T.StructType,
     memory: Memory | None = None,
     slice_rows: int = SLICE_ROWS,
+    order: Sequence[str] = ("ts", "symbol", "event"),
 ) -> DataFrame:
-    """``fold(rows of a slice, state in, end of slice) -> (output rows, state out)``.
+    """What the rule ``fold(state in)`` puts out for ``rows`` in ``order``, which starts with ``ts``.
 
-    ``rows`` has a ``ts`` column; ``fold`` sorts the rows itself. The state must be
-    written canonically, pruned to what matters from the end of the slice on. With a ``memory``,
-    rows have one more column ``_was``: what their key brings into the slice.
+    With a ``memory``, rows have one more column ``_was``: what their key brings into the slice.
     """
-    names = out.fieldNames()
-    schema = T.StructType(
-        [
-            *[T.StructField(f.name, f.dataType) for f in out.fields],
-            T.StructField(SLICE, T.LongType()),
-            T.StructField("state_in", T.StringType()),
-            T.StructField("state_out", T.StringType()),
-        ]
-    )
-
-    def result(sl: int, own: pd.DataFrame, state: str) -> pd.DataFrame:
-        got, after = fold(own, state, int(own["_end"].iloc[0]))
-        got = got.reindex(columns=names)
-        # A last row without output always reports the states.
-        got = pd.concat([got, pd.DataFrame([{c: None for c in names}])], ignore_index=True)
-        got[SLICE], got["state_in"], got["state_out"] = sl, state, after
-        return got[[*names, SLICE, "state_in", "state_out"]].astype(
-            {c: object for c in names}
-        )
-
-    remembers = memory is not None
-
-    def first_run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sl = int(key[0])
-        own = (pdf["_home"] == sl).to_numpy()
-        if not own.any():
-            return pd.DataFrame(columns=[*names, SLICE, "state_in", "state_out"])
-        state = ""
-        if not own.all():
-            before = pdf[~own]
-            _, state = fold(before.assign(**{WAS: None}) if remembers else before, "", int(pdf["_start"].iloc[0]))
-        return result(sl, pdf[own], state)
-
-    def rerun(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return result(int(key[0]), pdf, entry["state"].iloc[0])
-
+    names, remembers = out.fieldNames(), memory is not None
     own, cuts = row_slices(rows, slice_ms, slice_rows, warm_ms)
+    own = cut_lineage(own)  # read by every pass
     warm = own.withColumn("_home", F.col(SLICE)).withColumn(SLICE, F.explode(F.sequence(SLICE, "_upto"))).drop("_upto")
-    warm = warm.join(cuts, SLICE)
-    own = own.drop("_upto").join(cuts, SLICE)
-    was = None
+    own = own.drop("_upto").withColumn("_home", F.col(SLICE))
     keyed = lambda df: df.withColumn(_KEY, F.struct(memory.key))
+    with_was = lambda df, was: keyed(df).join(was.select(SLICE, _KEY, WAS), [SLICE, _KEY], "left").drop(_KEY)
+    now = None
     if memory:
         seen = cut_lineage(_last_per_slice(own, memory, memory.guess))
-        was = _carried(seen)
-        warm = keyed(warm).join(was, [SLICE, _KEY], "left").drop(_KEY)
-    done = cut_lineage(warm.groupBy(SLICE).applyInPandas(first_run, schema))
-    marker = F.col(names[0]).isNull()
+        now = _carried(seen)
+        warm = with_was(warm, now)
+    heads = cuts.withColumn("state", F.lit(None).cast("string"))
+    told = F.col("state_out").isNotNull()  # the last row of a slice
+    got = stored(_streamed(warm, heads, fold, out, ["ts", *(c for c in order if c != "ts")], remembers))
+    rounds, kept, found = [got], None, None  # the states and memories of the slices that stay as they are
     by_slice = Window.orderBy(SLICE)  # one row per slice
     while True:
-        states = done.filter(marker).select(SLICE, "state_in", "state_out")
-        before = F.coalesce(F.lag("state_out").over(by_slice), F.lit(""))
-        wrong = states.withColumn("state", before)
+        states = got.filter(told).select(SLICE, "state_in", "state_out", F.lit(len(rounds) - 1).alias("_round"))
+        states = states if kept is None else kept.unionByName(states)
+        states = states.withColumn("state", F.coalesce(F.lag("state_out").over(by_slice), F.lit("")))
         differs = F.col("state") != F.col("state_in")
         if memory:
-            found = _last_per_slice(done.filter(~marker), memory, memory.value)
-            now = cut_lineage(_carried(seen.select(SLICE, _KEY).join(found, [SLICE, _KEY], "left")))
-            moved = now.join(was.withColumnRenamed(WAS, "_old"), [SLICE, _KEY])
-            moved = moved.filter(~F.col(WAS).eqNullSafe(F.col("_old"))).select(SLICE).distinct()
-            wrong = wrong.join(moved.withColumn("moved", F.lit(True)), SLICE, "left")
+            last = _last_per_slice(got.filter(~told), memory, memory.value)
+            found = last if found is None else found.unionByName(last)
+            new = stored(_carried(seen.select(SLICE, _KEY).join(found, [SLICE, _KEY], "left")))
+            moved = new.join(now.select(SLICE, _KEY, F.col(WAS).alias("_old")), [SLICE, _KEY])
+            moved = moved.filter(~F.col(WAS).eqNullSafe(F.col("_old"))).select(SLICE, F.lit(True).alias("moved")).distinct()
+            states = states.join(moved, SLICE, "left")
             differs = differs | F.col("moved").isNotNull()
-            was = now
-        wrong = cut_lineage(wrong.filter(differs).select(SLICE, "state"))
+            now = new
+        states = stored(states.select(SLICE, "state_in", "state_out", "_round", "state", differs.alias("_wrong")))
+        wrong = states.filter("_wrong").select(SLICE, "state")
         if wrong.isEmpty():
-            return done.filter(~marker).select(*names)
+            break
+        kept = states.filter("NOT _wrong").select(SLICE, "state_in", "state_out", "_round")
         again = own.join(wrong.select(SLICE), SLICE, "left_semi")
         if memory:
-            again = keyed(again).join(was, [SLICE, _KEY], "left").drop(_KEY)
-        again = again.groupBy(SLICE).cogroup(wrong.groupBy(SLICE)).applyInPandas(rerun, schema)
-        done = done.join(wrong.select(SLICE), SLICE, "left_anti").unionByName(cut_lineage(again))
+            again = with_was(again, now)
+            found = now.join(wrong.select(SLICE), SLICE, "left_anti").select(SLICE, _KEY, "value")
+        got = stored(_streamed(again, cuts.join(wrong, SLICE), fold, out, ["ts", *(c for c in order if c != "ts")], remembers))
+        rounds.append(got)
+    done = reduce(DataFrame.unionByName, [r.filter(~told).withColumn("_round", F.lit(i)) for i, r in enumerate(rounds)])
+    return done.join(states.select(SLICE, "_round"), [SLICE, "_round"], "left_semi").select(*names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder: a lost executor costs a re-read only."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it again, for tables that a loop makes from themselves.
+
+    A checkpoint keeps the plan's estimated size, the product over its joins: its digits double from round to round
+    and take the driver's time and memory. Of files, the true size is known.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
