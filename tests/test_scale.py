@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.operators import delivery, ranking
+from ticklens.operators import delivery, ledger, ranking
 from ticklens.operators.alerts import accept
 from ticklens.operators.delivery import dedupe_deliveries
 from ticklens.operators.runs import status_runs
@@ -26,6 +26,50 @@ def test_running_keeps_null_keys_and_times(spark):
         ("a", None): 5, ("a", 5): 6, ("a", 1500): 8, (None, None): 6, (None, 7): 9, (None, 2500): 13}
 
 
+def test_running_values_need_no_join(spark):
+    df = spark.createDataFrame([(k, t, float(t)) for k in ("a", None) for t in range(0, 5000, 700)], "k string, ts long, v double")
+    runs = [Run("s", "sum", F.col("v")), Run("was", "last", F.col("v"), inclusive=False), Run("top", "max", F.col("v"))]
+    out = running(df, ["k"], slice_of(F.col("ts"), 1000), ["ts"], runs)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(k, t): (sum(range(0, t + 1, 700)), t - 700 if t else None, t) for k in ("a", None) for t in range(0, 5000, 700)}
+    assert {(r.k, r.ts): (r.s, r.was, r.top) for r in out.collect()} == want
+
+
+def test_round_trips_take_one_pass(spark, monkeypatch):
+    """One running value and no checkpoint; trips as a plain loop finds them, null keys included."""
+    rng = random.Random(4)
+    rows = [(k, t * 1_000, rng.choice([0.0, 0.0, 1.0, -2.0]), float(t * t)) for k in ("a", "b", None) for t in range(60)]
+    want = []
+    for key in ("a", "b", None):
+        opened = None
+        for _, t, q, pnl in (r for r in rows if r[0] == key):
+            if q and opened is None:
+                opened = (t, pnl)
+            elif not q and opened:
+                want.append((str(key), opened[0], t, pnl - opened[1]))
+                opened = None
+    calls = []
+    run = ledger.running
+    monkeypatch.setattr(ledger, "running", lambda *a: (calls.append("running"), run(*a))[1])
+    cut = ledger.cut_lineage
+    monkeypatch.setattr(ledger, "cut_lineage", lambda df: (calls.append("cut"), cut(df))[1])
+    df = spark.createDataFrame(rows, "k string, ts long, position_qty double, realized_pnl_session double")
+    got = ledger.round_trips(df, ["k"], ["ts"], slice_ms=7_000).collect()
+    assert sorted((str(r.k), r.open_ts, r.close_ts, r.trip_pnl) for r in got) == sorted(want)
+    assert calls == ["running"]
+
+
+def test_ledger_reduces_only_keys_of_several_stretches(spark, monkeypatch):
+    fills = [("s", k, i, i, 1, "BUY", 1.0, 10.0 + i) for k, n in (("long", 25), ("p", 9), ("q", 3)) for i in range(n)]
+    df = spark.createDataFrame(fills, "session_id string, symbol string, ts long, order_id long, trade_id long, side string, fill_qty double, fill_price double")
+    sizes = []
+    deal = ledger.by_cell_arrays
+    monkeypatch.setattr(ledger, "by_cell_arrays", lambda df, *a: (sizes.append(df.count()), deal(df, *a))[1])
+    got = {(r.symbol, r.ts): r.entry_price for r in ledger.position_ledger(df, stretch=10).collect()}
+    assert sizes == [25, 3, 37 + 2]
+    assert all(abs(e - (10 + i / 2)) < 1e-9 for (_, i), e in got.items())
+
+
 def test_status_runs_keep_null_keys(spark):
     df = spark.createDataFrame([(None, 5, "x"), (None, 1500, "x"), ("a", 5, "y")], "k string, ts long, status string")
     got = {(r.k, r.ts): r.status_since for r in status_runs(df, ["k"], slice_ms=1000).collect()}

@@ -7,14 +7,16 @@ Rows are cut into time slices and every window runs over ``(key, slice)``.
   the neighbouring slices whose frames can reach it; the copies are dropped
   after the window has been taken (``home_rows``).
 * Unbounded frames (running sum, max, last value): ``running`` takes one partial
-  per ``(key, slice)``, scans the partials (few rows per key), and adds what came
-  in to the in-slice value.
+  per ``(key, slice)``, scans the partials (few rows per key), and puts what comes
+  into a slice in front of its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,17 +62,6 @@ class Run:
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _combine(kind: str, carried: Column, local: Column) -> Column:
-    if kind == "sum":
-        zero = F.lit(0)
-        return F.coalesce(carried, zero) + F.coalesce(local, zero)
-    if kind == "max":
-        return F.greatest(carried, local)
-    if kind == "min":
-        return F.least(carried, local)
-    return F.coalesce(local, carried)
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,8 +76,8 @@ def running(
     Null keys are keys like any other; rows without a place in time come first.
     """
     keys = list(keys)
-    # A cell is a struct, so that nulls in it meet each other in the join below.
-    base = df.withColumn("_sl", slice_expr).withColumn("_cell", F.struct(*keys, "_sl"))
+    cell = [*keys, "_sl"]
+    base = df.withColumn("_sl", slice_expr)
     order_key = F.struct(*[F.col(c) for c in order])
 
     partials = []
@@ -96,25 +87,28 @@ def running(
         else:
             p = _AGG[r.kind](r.expr)
         partials.append(p.alias(f"_p{i}"))
-    level = base.groupBy(*keys, "_sl").agg(*partials)
+    level = base.groupBy(*cell).agg(*partials)
+    kinds = [level.schema[f"_p{i}"].dataType for i in range(len(runs))]
 
     before = Window.partitionBy(*keys).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for i, r in enumerate(runs):
         c = F.col(f"_p{i}")
         v = F.last(c, ignorenulls=True) if r.kind == "last" else _AGG[r.kind](c)
-        carried.append(v.over(before).alias(f"_c{i}"))
-    level = level.select(F.struct(*keys, "_sl").alias("_cell"), *carried)
-
-    inside = Window.partitionBy("_cell").orderBy(*order)
-    joined = base.join(level, "_cell")
+        carried.append(v.over(before).cast(kinds[i]).alias(f"_e{i}"))
+    level = level.select(*cell, *carried)
+
+    # What comes into a cell is its first row, so one sort serves all and nothing is joined; windows take null keys as keys.
+    comes = reduce(or_, (F.col(f"_e{i}").isNotNull() for i in range(len(runs))))
+    first = level.filter(comes).withColumn("_at", F.lit(0))
+    rows = base.select("*", *(r.expr.cast(kinds[i]).alias(f"_e{i}") for i, r in enumerate(runs)), F.lit(1).alias("_at"))
+    both = rows.unionByName(first, allowMissingColumns=True)
+    inside = Window.partitionBy(*cell).orderBy("_at", *order)
     local = []
     for i, r in enumerate(runs):
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
-        v = F.last(r.expr, ignorenulls=True) if r.kind == "last" else _AGG[r.kind](r.expr)
-        local.append(v.over(frame).alias(f"_v{i}"))
-    joined = joined.select("*", *local)
-    out = [F.col(c) for c in df.columns]
-    for i, r in enumerate(runs):
-        out.append(_combine(r.kind, F.col(f"_c{i}"), F.col(f"_v{i}")).alias(r.out))
-    return joined.select(*out)
+        c = F.col(f"_e{i}")
+        v = F.last(c, ignorenulls=True) if r.kind == "last" else _AGG[r.kind](c)
+        v = F.coalesce(v.over(frame), F.lit(0)) if r.kind == "sum" else v.over(frame)
+        local.append(v.cast(kinds[i]).alias(r.out))
+    return both.select(*df.columns, "_at", *local).filter("_at = 1").drop("_at")
