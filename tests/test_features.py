@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ticklens.operators import rolling
 from ticklens.operators.rolling import feature_columns, limit_symbols, rolling_columns
 from ticklens.operators.thin import snapshot_ticks
 from ticklens.plans.replay import REPLAY_ORDER, ChainConfig, replay
@@ -138,3 +139,21 @@ def test_hot_symbol_is_cut_into_bounded_windows(spark):
     assert at["n_range"] == 30_000 and at["n_w1s"] == 100
     plan = roll._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_window_tasks_follow_the_rows(spark, monkeypatch):
+    """Ten times the symbols: more tasks of the window stage, none with more rows, the same values."""
+    monkeypatch.setattr(rolling, "TASK_ROWS", 400)
+    tape = "CAST(id % {n} AS STRING) symbol; id * 7 % 60000 ts; id seq; id % 3 > 0 is_trade; 100D + id % 5 price; 1D qty; id % 2 = 0 is_buyer_maker; 99D bid; 101D ask; 1D bid_qty; 2D ask_qty"  # noqa: E501
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    most, tasks = [], []
+    try:
+        for n in (30, 300):
+            df = spark.range(100 * n).selectExpr(*tape.format(n=n).split("; "))
+            sizes = [r["count"] for r in rolling_columns(df).groupBy(F.spark_partition_id()).count().collect()]
+            tasks.append(rolling._tasks(df, 1_000))
+            most.append(max(sizes))
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == tasks[-1] and len(sizes) > tasks[-1] / 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks[1] > 9 * tasks[0] and max(most) <= 400

@@ -134,6 +134,22 @@ def _carry_in(
     return entered.unionByName(fresh, allowMissingColumns=True)
 
 
+TASK_ROWS = 150_000  # of the window stage, whose rows are wide
+FEW_TASKS = 12  # up to here the session's own number does
+
+
+def _tasks(tape: DataFrame, cadence_ms: int) -> int:
+    """How many tasks the window stage needs: ticks of all symbols at most, each bucket in two slices.
+
+    Counted in one pass, since the number of shuffle partitions does not follow the input.
+    """
+    row = tape.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("symbol").alias("symbols"), (F.max("ts") - F.min("ts")).alias("span")
+    ).first()
+    ticks = row["symbols"] * ((row["span"] or 0) // cadence_ms + 2)
+    return -(-(ticks + 2 * row["n"]) // TASK_ROWS)
+
+
 # Rows of one instant, in order: what a tick sees, the tick, what comes after it.
 _STEPS = 4
 _SEEN, _TICK, _AFTER, _STATE = range(_STEPS)
@@ -206,6 +222,12 @@ def rolling_columns(
     asked = asked.select("symbol", SLICE, _pos(F.col("t"), _TICK).alias("pos"))
     rows = copies.unionByName(_state_rows(spine, slice_ms), allowMissingColumns=True)
     rows = rows.unionByName(asked, allowMissingColumns=True)
+    tasks = _tasks(tape, cfg.cadence_ms) if on_grid else 0
+    if tasks > FEW_TASKS:
+        conf = tape.sparkSession.conf
+        if tasks > int(conf.get("spark.sql.shuffle.partitions")):  # later shuffles have as many rows; small parts coalesce
+            conf.set("spark.sql.shuffle.partitions", str(tasks))
+        rows = rows.repartition(tasks, "symbol", SLICE)
 
     part = Window.partitionBy("symbol", SLICE)
     by_pos = part.orderBy("pos")
