@@ -86,3 +86,16 @@ def test_a_line_that_unlike_texts_share_costs_pairs_in_proportion(spark, monkeyp
     near = [any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(2000, i)) for i in range(2000, 2030)]
     assert kept == set(range(2000)) | {i for i, again in zip(range(2000, 2030), near, strict=True) if not again}
     assert sum(seen) < 30 * len(rows)  # all pairs would be two million
+
+
+def test_fingerprints_lead_to_near_copies(spark, monkeypatch):
+    """Without the prefix filter: most long texts that differ in a word meet by their fingerprints, unlike ones never."""
+    rng = random.Random(9)
+    rows = [data.prose(rng, "en", 500) for _ in range(20)]
+    rows += [r + " more" for r in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(similar, "LEVELS", 0)
+    kept = {r.doc_id for r in similar.one_of_each(docs).collect()}
+    assert kept >= set(range(20)) and len(kept) <= 30
+    monkeypatch.undo()
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(range(20))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklens.session import cut_lineage
+from ticklens.llm.common import new_folder, remove_folder
+
+
+def _written(links: DataFrame) -> tuple[DataFrame, str]:
+    """``links`` as files, whose true size is known; a checkpoint's estimate has four times the digits after each round."""
+    folder = new_folder(links.sparkSession, "links")
+    links.write.parquet(folder)
+    return links.sparkSession.read.schema(links.schema).parquet(folder), folder
 
 
 def _round(links: DataFrame) -> DataFrame:
@@ -29,7 +36,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Rounds needed grow with the logarithm of the longest chain. Only a count and a checksum
     of the links come back to the driver. No links give no rows; loops and repeats do no harm.
     """
-    links = cut_lineage(
+    links, folder = _written(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark = None
@@ -40,7 +47,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = now
         if not now[0]:
             break
-        links = cut_lineage(_round(links))
+        before, (links, folder) = folder, _written(_round(links))
+        remove_folder(links.sparkSession, before)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
