@@ -99,3 +99,19 @@ def test_fingerprints_lead_to_near_copies(spark, monkeypatch):
     assert kept >= set(range(20)) and len(kept) <= 30
     monkeypatch.undo()
     assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(range(20))
+
+
+def test_stages_give_back_what_the_encoder_put_by(spark, monkeypatch):
+    """Python workers are used again: a task of another stage begins without the encoder's words."""
+    docs = spark.createDataFrame([(i, f"some words {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    model, tasks, kind = public_tokenizers.path("piece_bpe_32k.model"), [], type(docs)
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *more, **how: tasks.append(f) or own(self, f, *more, **how))
+    langid.predict(docs, langid.fit(docs), ["doc_id"])
+    similar.sets(docs, "text", similar.frequent(docs, "text", 5))
+    assert len(tasks) == 6
+    for task in tasks:
+        pieces.encoder(model).encode(["some words"])
+        assert pieces.encoder.cache_info().currsize == 1
+        list(task(iter(())))
+        assert pieces.encoder.cache_info().currsize == 0

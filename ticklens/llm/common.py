@@ -67,6 +67,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BATCH, str(BATCH_BYTES))
 
 
+#: How to drop what this process has put by for later tasks.
+PUT_BY: list[Callable[[], object]] = []
+
+
+def drop_put_by() -> None:
+    """Gives back what tasks of another operator put by in this process: Python workers are used again and never shrink alone."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if not PUT_BY:
+        return
+    while PUT_BY:
+        PUT_BY.pop()()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import remainder, set_aside, small_batches
+from ticklens.llm.common import drop_put_by, remainder, set_aside, small_batches
 
 if TYPE_CHECKING:
     import numpy as np
@@ -101,6 +101,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_put_by()
         seen = np.zeros(WIDTH, "int64")
         for batch in batches:
             for t in batch.column("text"):
@@ -179,6 +180,7 @@ def fit(
         return batch.filter(pa.array([bool(LETTER.search(t.as_py())) for t in batch.column("text")], pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_put_by()
         for batch in batches:
             batch = lettered(batch)
             vs = [normalised(counts(t.as_py()), idf).astype("float32").tobytes() for t in batch.column("text")]
@@ -198,6 +200,7 @@ def fit(
         return nothing
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_put_by()
         for batch in batches:
             batch = lettered(batch)
             out = []
@@ -239,6 +242,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text")
         return model.langs[j], min(1.0, max(0.0, float(cos[j]))), bool(cos[j] < model.least[j, band(tf)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_put_by()
         for batch in batches:
             said = [one(t.as_py()) for t in batch.columns[at]]
             made = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]

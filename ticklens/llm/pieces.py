@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticklens.llm.common import small_batches, text_of
+from ticklens.llm.common import PUT_BY, small_batches, text_of
 
 if TYPE_CHECKING:
     import numpy as np
@@ -298,7 +298,8 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(model: str) -> Encoder:
-    """One encoder per process and model."""
+    """One encoder per process and model, until another operator's task needs the room."""
+    PUT_BY.append(encoder.cache_clear)
     return Encoder(model)
 
 
