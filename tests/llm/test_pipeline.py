@@ -88,6 +88,54 @@ def test_a_line_that_unlike_texts_share_costs_pairs_in_proportion(spark, monkeyp
     assert sum(seen) < 30 * len(rows)  # all pairs would be two million
 
 
+def test_texts_that_are_half_shared_lines_cost_hardly_a_pair(spark, monkeypatch):
+    """900 texts of three out of twenty lines and as many words of their own: their rarest shingles are nobody else's."""
+    rng, seen = random.Random(7), []
+    lines = [data.prose(rng, "en", 12) for _ in range(20)]
+    rows = [" ".join([*rng.sample(lines, 3), data.prose(rng, "fr", 30)]) for _ in range(900)]
+    rows += [r + " more" for r in rows[:20]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(similar, "FREQUENT", 10**9)
+    alike = similar.alike
+    monkeypatch.setattr(similar, "alike", lambda pairs, *more: seen.append(pairs.count()) or alike(pairs, *more))
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(range(900))
+    assert sum(seen) < 10 * len(rows)  # 86,700 before shingles were counted
+
+
+@pytest.mark.parametrize(("crowded", "tile"), [(32, 96), (3, 7)])
+def test_a_crowd_of_copies_meets_in_tiles(spark, monkeypatch, crowded, tile):
+    """Changed copies of two texts, many of them just below the similarity: links are those of all pairs."""
+    rng = random.Random(11)
+    base = [data.prose(rng, "en", 120).split() for _ in range(2)]
+    rows = []
+    for i in range(240):
+        words = list(base[i % 2])
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = data.prose(rng, "de", 1)
+        rows.append(" ".join(words[: rng.randint(95, 120)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, map(str.lower, rows))]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    monkeypatch.setattr(similar, "TILE", tile)
+    tiled, met = [], similar._tiled
+    monkeypatch.setattr(similar, "_tiled", lambda *how: tiled.append(met(*how)) or tiled[-1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(root)
+    assert tiled
+
+
+def test_overlaps():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 12_000, n)) for n in sizes] for sizes in ((1, 40, 9000), (7000, 3)))
+    assert similar.overlaps(a, b).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+
+
 def test_fingerprints_lead_to_near_copies(spark, monkeypatch):
     """Without the prefix filter: most long texts that differ in a word meet by their fingerprints, unlike ones never."""
     rng = random.Random(9)
