@@ -166,6 +166,28 @@ def test_foreign_texts_and_noise_of_any_length_are_rejected(spark):
     assert [got[i] for i in range(len(rows.collect()))] == [True] * len(odd) + [False] * len(own)
 
 
+def test_limits_come_from_all_rows(spark):
+    """One text in a hundred is partly foreign: the limits hold for these also where the clustering sees few rows."""
+    rng = random.Random(8)
+    odd = lambda: data.prose(rng, "de", 30) + " " + data.prose(rng, "en", 20)
+    rows = [(i, odd() if i % 100 == 7 else data.prose(rng, "en", 50), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, max_fit_rows=20, clusters=2)
+    seen: dict[tuple[int, int], list[float]] = {}
+    for i, text, _ in rows:
+        if crc32(str(i).encode()) % 5:
+            for part in [text[:n] for n in langid.BEGINNINGS if n < len(text)] + [text]:
+                tf = langid.counts(part)
+                cos = model.centroids @ langid.normalised(tf, model.idf)
+                seen.setdefault((int(cos.argmax()), langid.band(tf)), []).append(float(cos.max()))
+    full = {k: v for k, v in seen.items() if len(v) >= langid.FEW}
+    assert len(full) > 4
+    for (j, b), cosines in full.items():
+        at = 0.005 * (len(cosines) - 1)
+        low, high = sorted(cosines)[int(at)], sorted(cosines)[int(at) + 1]
+        assert model.least[j, b] == pytest.approx(0.5 * (low + (high - low) * (at - int(at))), abs=1 / langid.STEPS)
+
+
 def test_outliers_take_no_centroid():
     np = pytest.importorskip("numpy")
     rng = np.random.default_rng(1)

@@ -5,8 +5,9 @@ found by spherical k-means on its vectors. A text gets the language of the centr
 cosine and is rejected when that cosine is far below what the centroid's own texts of its size reach; size is the
 number of different n-grams, so that a short text and one that repeats itself are held to what short texts reach.
 
-Document frequencies are counted over every learnable row; only the clustering and the limits of rejection work
-on a sample, of ``max_fit_rows`` rows in all, chosen by a hash of id and text; letterless texts are left out of it. Rows whose crc32(doc_id) modulo 5 is 0 are held
+Document frequencies and the limits of rejection come from every learnable row, the latter from exact counts of the cosines
+that all of them and their beginnings reach, in steps of 1 / ``STEPS``. Only the clustering works on a sample, of
+``max_fit_rows`` rows in all, chosen by a hash of id and text; letterless texts are left out of both. Rows whose crc32(doc_id) modulo 5 is 0 are held
 out, rows without an id or a language teach nothing; language, source and id are no inputs of a
 prediction. Whole texts are read, one at a time in Arrow batches; nothing is shuffled but counts.
 
@@ -16,6 +17,7 @@ from, every text is ``und``. Repeated rows are predicted alike; other columns ar
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +39,7 @@ FOLDS = 5
 BANDS = 13  # of different n-grams, by powers of two
 BEGINNINGS = tuple(4 << i for i in range(11))  # characters
 FEW = 30  # cosines that a limit of its own takes
+STEPS = 4096  # of a cosine, where limits are counted
 SEEDS = 1024
 
 
@@ -137,29 +140,39 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def limits(own: np.ndarray, bands: np.ndarray, cosines: np.ndarray, k: int, share: float, slack: float) -> np.ndarray:
-    """Rejection cosine of each of a language's ``k`` centroids in each band.
+def quantile(steps: np.ndarray, share: float) -> float:
+    """The quantile ``share`` of cosines of which ``steps`` has the counts, between neighbours in proportion."""
+    import numpy as np
+
+    up_to = np.cumsum(steps)
+    at = share * (up_to[-1] - 1)
+    low, high = (int(np.searchsorted(up_to, k, side="right")) for k in (math.floor(at), math.ceil(at)))
+    return (low + (high - low) * (at - math.floor(at))) / STEPS
+
+
+def limits(steps: np.ndarray, share: float, slack: float) -> np.ndarray:
+    """Rejection cosine of each of a language's centroids in each band; ``steps`` counts cosines by centroid, band and step.
 
     ``slack`` times the quantile ``share`` of the centroid's own cosines there, of the language's if it has few. A band
     that is rare in the whole language accepts what the band below accepts.
     """
     import numpy as np
 
-    out = np.zeros((k, BANDS))
-    first = int(bands.min())
+    out = np.zeros(steps.shape[:2])
+    first = int(np.flatnonzero(steps.sum(axis=(0, 2)))[0])
     for b in range(first, BANDS):
-        here = bands == b
-        for j in range(k):
-            mine = cosines[here & (own == j)]
-            some = mine if len(mine) >= FEW else cosines[here]
-            limit = slack * float(np.quantile(some, share)) if len(some) else np.inf
+        here = steps[:, b].sum(axis=0)
+        for j in range(len(steps)):
+            mine = steps[j, b]
+            some = mine if mine.sum() >= FEW else here
+            limit = slack * quantile(some, share) if some.any() else np.inf
             out[j, b] = min(limit, out[j, b - 1]) if here.sum() < FEW and b > first else limit
     out[:, :first] = out[:, first : first + 1]
     return out
 
 
 def fit(
-    docs: DataFrame, max_fit_rows: int = 2048, clusters: int = 4, share: float = 0.005, slack: float = 0.5, **names: str
+    docs: DataFrame, max_fit_rows: int = 2048, clusters: int = 4, share: float = 0.005, slack: float = 0.5, **columns: str
 ) -> Model:
     """Centroids per language, and what each rejects (see ``limits``)."""
     import numpy as np
@@ -167,7 +180,7 @@ def fit(
 
     small_batches(docs.sparkSession)
     nothing = Model([], np.zeros((0, WIDTH)), np.zeros((0, BANDS)), np.ones(WIDTH))
-    rows = learnable(docs, **names)
+    rows = learnable(docs, **columns)
     n_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not n_of:
         return nothing
@@ -196,8 +209,11 @@ def fit(
         for lang, vs in some.items()
         if vs
     }
+    del some
     if not found:
         return nothing
+    number = {lang: k for k, lang in enumerate(found)}
+    names = ["lang", "own", "band", "step"]
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_put_by()
@@ -205,22 +221,21 @@ def fit(
             batch = lettered(batch)
             out = []
             for lang, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
-                for part in (*(t[:n] for n in BEGINNINGS if n < len(t)), t):
-                    tf = counts(part)
-                    cos = found[lang] @ normalised(tf, idf)
-                    j = int(np.argmax(cos))
+                for part in (*(t[:n] for n in BEGINNINGS if n < len(t)), t) if lang in found else ():
                     if LETTER.search(part):
-                        out.append((lang, j, band(tf), float(cos[j])))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["lang", "own", "band", "cos"])  # noqa: E501
-
-    seen: dict[str, list[tuple[int, int, float]]] = {lang: [] for lang in found}
-    for r in picked.mapInArrow(reached, "lang string, own int, band int, cos double").collect():
-        seen[r.lang].append((r.own, r.band, r.cos))
-    least = []
-    for lang, c in found.items():
-        own, bands, cosines = (np.array(x) for x in zip(*seen[lang], strict=True))
-        least.append(limits(own, bands, cosines, len(c), share, slack))
+                        tf = counts(part)
+                        cos = found[lang] @ normalised(tf, idf)
+                        j = int(np.argmax(cos))
+                        out.append((number[lang], j, band(tf), min(STEPS, int(cos[j] * STEPS))))
+            each, n = np.unique(np.array(out, "int32").reshape(-1, 4), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, each.T.copy()), pa.array(n)], [*names, "n"])
+
+    steps = [np.zeros((len(c), BANDS, STEPS + 1), "int64") for c in found.values()]
+    seen = rows.mapInArrow(reached, "lang int, own int, band int, step int, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    seen = seen.toArrow()
+    for lang, own, size, step, n in zip(*(seen.column(c).to_pylist() for c in (*names, "n")), strict=True):
+        steps[lang][own, size, step] = n
+    least = [limits(x, share, slack) for x in steps]
     langs = [lang for lang, c in found.items() for _ in range(len(c))]
     return Model(langs, np.concatenate(list(found.values())), np.concatenate(least), idf)
 
