@@ -73,16 +73,22 @@ PUT_BY: list[Callable[[], object]] = []
 
 def drop_put_by() -> None:
     """Gives back what tasks of another operator put by in this process: Python workers are used again and never shrink alone."""
-    import ctypes
     import gc
 
-    import pyarrow as pa
-
     if not PUT_BY:
         return
     while PUT_BY:
         PUT_BY.pop()()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: an idle Python worker counts beside the tasks that run."""
+    import ctypes
+
+    import pyarrow as pa
+
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
         trim(0)
